@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,7 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def offsets(column: pa.Array) -> np.ndarray:
     """Byte lengths as offsets from 0; nulls count as empty."""
-    lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
 
 

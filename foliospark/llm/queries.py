@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.decontaminate import find_contamination
 from foliospark.llm.packing import pack_documents
+from foliospark.llm.simhash import near_duplicates
 from foliospark.llm.secrets import BASE, find_secrets
 
 
@@ -20,6 +21,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,5 +55,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op8_decontamination, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_best_fit_packing, op8_decontamination, op9_secret_scan)}
 ORACLE: dict[str, str] = {}
