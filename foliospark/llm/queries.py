@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.decontaminate import find_contamination
 from foliospark.llm.packing import pack_documents
-from foliospark.llm.simhash import near_duplicates
+from foliospark.llm.pii import KINDS, pseudonymise
 from foliospark.llm.secrets import BASE, find_secrets
+from foliospark.llm.simhash import near_duplicates
+from foliospark.llm.toxicity import fit, held_out, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymise(table(spark, sf_dir, "documents"), spans="pii_spans")
+    counts = (F.size(F.filter("pii_spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS)
+    return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), *counts)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,6 +38,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = score_toxicity(documents, fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("span_ends", "span_starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -55,5 +69,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_best_fit_packing, op8_decontamination, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan)}
 ORACLE: dict[str, str] = {}
