@@ -25,7 +25,8 @@ def tokenizer_path() -> str:
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymise(table(spark, sf_dir, "documents"), spans="pii_spans")
-    counts = (F.size(F.filter("pii_spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS)
+    of = lambda kind: F.filter("pii_spans", lambda s: s["kind"] == kind)
+    counts = (F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS)
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), *counts)
 
 
