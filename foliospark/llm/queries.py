@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.decontaminate import find_contamination
+from foliospark.llm.fingerprints import fingerprint_edits
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.pii import KINDS, pseudonymise
 from foliospark.llm.secrets import BASE, find_secrets
@@ -70,5 +71,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan)}
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
 ORACLE: dict[str, str] = {}
