@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.decontaminate import find_contamination
 from foliospark.llm.fingerprints import fingerprint_edits
+from foliospark.llm.html import extract_pages
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.pii import KINDS, pseudonymise
 from foliospark.llm.secrets import BASE, find_secrets
@@ -31,6 +32,10 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), *counts)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -75,5 +80,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op3_html_extraction, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
 ORACLE: dict[str, str] = {}
