@@ -12,6 +12,7 @@ from foliospark.llm.packing import pack_documents
 from foliospark.llm.pii import KINDS, pseudonymise
 from foliospark.llm.secrets import BASE, find_secrets
 from foliospark.llm.simhash import near_duplicates
+from foliospark.llm.substrings import drop_repeated_windows
 from foliospark.llm.toxicity import fit, held_out, score_toxicity
 
 
@@ -36,6 +37,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,5 +85,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op3_html_extraction, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
 ORACLE: dict[str, str] = {}
