@@ -45,6 +45,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         frame.write.mode("overwrite").parquet(path)
+        self.spark._jvm.System.gc()  # shuffle files of the plan just written go once the driver drops it
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._scratch_path = path
         return kept

@@ -13,6 +13,7 @@ from foliospark.llm.pii import KINDS, pseudonymise
 from foliospark.llm.secrets import BASE, find_secrets
 from foliospark.llm.simhash import near_duplicates
 from foliospark.llm.substrings import drop_repeated_windows
+from foliospark.llm.suffixes import drop_repeated_bytes
 from foliospark.llm.toxicity import fit, held_out, score_toxicity
 
 
@@ -33,6 +34,10 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), *counts)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -85,5 +90,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_suffix_array_dedup, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
 ORACLE: dict[str, str] = {}
