@@ -36,6 +36,9 @@ CARRY = 2048
 SLACK = 8
 END_ID = 1
 
+#: Marks that the tokenizer always parts from a letter or digit before them.
+_MARKS = b".,;:!?*#$%&"
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long"
 
 
@@ -49,26 +52,43 @@ def _tokenizer(path: str):
 
 
 class WordIds(dict):
-    """word (bytes without ASCII white space) -> its ids as little-endian uint32 bytes.
+    """word (bytes without ASCII white space, A-Z lowered) -> its ids as little-endian uint32 bytes.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words.
+    The tokenizer lowers its input and drops white space, and no token crosses it, so a text's ids
+    are those of its words. Words not met before are encoded together, one space between them.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = _tokenizer(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def ids(self, text: bytes) -> bytes:
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words; what follows a last letter or digit is split off, as the tokenizer does."""
+        parts: list[tuple[bytes, bytes]] = []
+        for w in words:
+            head = w.rstrip(_MARKS)
+            whole = not head or len(head) == len(w) or not head.decode("utf-8", "replace")[-1].isalnum()
+            parts.append((w, b"") if whole else (head, w[len(head) :]))
+        new = list({p for pair in parts for p in pair if p}.difference(self))
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            first = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded))
+            cuts = [0, *(4 * np.searchsorted(first, ends)).tolist()]
+            self.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+        self.update((w, self[head] + self[tail]) for w, (head, tail) in zip(words, parts, strict=True) if tail)
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        split = [t.lower().split() for t in texts]
+        self.learn(list(set().union(*split).difference(self)))
+        get = self.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +121,8 @@ def _local(path: str, capacity: int):
         cache, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                ids = cache.ids(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.ids(texts_of(batch)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
