@@ -150,6 +150,21 @@ def _scan(index) -> callable:
     return scan
 
 
+def _keep_clean(index) -> callable:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, block = WordHashes(), index.value
+        for batch in slices(batches):
+            arrays = [cache.array(words_of(t)) for t in texts_of(batch)]
+            lengths = np.array([len(x) for x in arrays], np.int64)
+            full = np.flatnonzero(lengths)
+            marked, _ = block.hits(np.concatenate(arrays), (np.cumsum(lengths) - lengths)[full], lengths[full])
+            hit = np.zeros(len(arrays), bool)
+            hit[np.unique(np.repeat(np.arange(len(arrays)), lengths)[marked])] = True
+            yield batch.filter(pa.array(~hit))
+
+    return keep
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """Items in blocks, read through the driver one partition at a time."""
     block, size = [], 0
@@ -193,3 +208,11 @@ def _united(documents: DataFrame, passes: list[DataFrame], window: int, k: int)
     joined = merged.withColumn("spans", F.aggregate("spans", empty, step))
     rows = F.explode(F.array_repeat(F.lit(1), (F.col("copies") / len(passes)).cast("int")))
     return joined.select("doc_id", "text_key", "n_words", F.col("spans.span_starts").alias("span_starts"), F.col("spans.span_ends").alias("span_ends"), "item_ids", rows.alias("row")).drop("row")
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = KGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``documents``, all columns, in which no benchmark window occurs; one pass for each block, in one scan."""
+    spark, clean = documents.sparkSession, documents
+    for block in _blocks(benchmark, block_bytes):
+        clean = clean.mapInArrow(_keep_clean(spark.sparkContext.broadcast(Index(block, k, window))), documents.schema)
+    return clean

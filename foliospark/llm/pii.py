@@ -289,22 +289,22 @@ def _next_start(text: str, m: re.Match) -> int:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _scan(key: bytes, names: list[str]):
+def _scan(key: bytes, names: list[str], spans: str | None):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             done = [(None, []) if t is None else replaced(t, key) for t in batch.column("text").to_pylist()]
-            spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done], kind)
             columns = [pa.array([t for t, _ in done], pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "_pii_spans"])
+            if spans:
+                columns.append(pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done], kind))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *([spans] if spans else [])])
 
     return scan
 
 
 def pseudonymise(documents: DataFrame, *, key: bytes = DEFAULT_KEY, spans: str | None = None) -> DataFrame:
-    """All columns of ``documents`` with pseudonyms in ``text``; ``spans`` names a column for what was replaced."""
+    """All columns of ``documents`` with pseudonyms in ``text``; ``spans`` names a further column for what was replaced (a column of that name must not exist)."""
     typed = documents.withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*typed.schema.fields, T.StructField("_pii_spans", T._parse_datatype_string(SPANS))])
-    done = typed.mapInArrow(_scan(key, typed.columns), schema)
-    return done.withColumnRenamed("_pii_spans", spans) if spans else done.drop("_pii_spans")
+    added = [T.StructField(spans, T._parse_datatype_string(SPANS))] if spans else []
+    return typed.mapInArrow(_scan(key, typed.columns, spans), T.StructType([*typed.schema.fields, *added]))
