@@ -37,11 +37,9 @@ def path_values(record: Column, path: str | Sequence[str | int]) -> Column:
     """All values at a path; every list on the way, and at its end, is fanned out."""
     values = F.filter(F.array(record), lambda v: v.isNotNull())
     for key in split_key(path):
-        if isinstance(key, int):
-            values = F.filter(F.transform(values, _getter(key)), lambda v: v.isNotNull())
-        else:
-            values = _fan_out(F.transform(_fan_out(values), _getter(key)))
-    return values
+        values = F.transform(values if isinstance(key, int) else _fan_out(values), _getter(key))
+        values = F.filter(values, lambda v: v.isNotNull())
+    return _fan_out(values)
 
 
 def _getter(key: str | int):

@@ -148,7 +148,7 @@ class ViewTable(CacheTable):
 
 
 class JdbcTable(CacheTable):
-    """In a SQL database through JDBC; writes replace the table in one transaction of the driver's dialect."""
+    """In a SQL database through JDBC; the new version goes to a staging table before it replaces the old."""
 
     def __init__(self, spark: SparkSession, url: str, table: str = "cache", namespace: str | None = None, ttl: int | None = None, properties: dict | None = None) -> None:
         super().__init__(spark, "", namespace, ttl)
@@ -158,7 +158,9 @@ class JdbcTable(CacheTable):
         return self.spark.read.jdbc(self.url, self.table, properties=self.properties)
 
     def _replace(self, frame: DataFrame) -> None:
-        frame.write.option("truncate", "true").jdbc(self.url, self.table, mode="overwrite", properties=self.properties)
+        frame.write.jdbc(self.url, f"{self.table}_new", mode="overwrite", properties=self.properties)
+        staged = self.spark.read.jdbc(self.url, f"{self.table}_new", properties=self.properties)
+        staged.write.option("truncate", "true").jdbc(self.url, self.table, mode="overwrite", properties=self.properties)
 
 
 def open_store(kind: str, spark: SparkSession, **options) -> CacheTable:

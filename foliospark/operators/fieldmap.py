@@ -63,8 +63,10 @@ class FieldMap:
         return out
 
     def normalise(self, records: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str | None = "; ") -> DataFrame:
-        """records -> the kept columns and one column for each field."""
-        return records.select(*keep, *self.columns(F.col(record), delimiter))
+        """records -> the kept columns and one column for each field; a kept column wins over a field of its name."""
+        keep = list(keep)
+        names = [n for n in self.names if n not in keep]
+        return records.select(*keep, *(c for n, c in zip(self.names, self.columns(F.col(record), delimiter), strict=True) if n in names))
 
 
 class AcademicMap(FieldMap):
