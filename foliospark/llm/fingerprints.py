@@ -16,7 +16,6 @@ fingerprint; fewer words than a shingle make one shingle; extra columns are igno
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,23 +25,23 @@ BINS, BITS, SHINGLE = 256, 4, 5
 #: Bits of a hash below its bin number (hashes are cut to 63 bits).
 LOW = 55
 EMPTY = (1 << LOW) - 1
-PROBES = 8
+#: First places of a bin's order that are probed, and full bins below which ranks are compared instead.
+PROBES, FEW = 24, 16
+_PRIME = (1 << 31) - 1
 #: Rows that a bucket of neighbouring ids holds when ids are dense, and the most buckets.
 BUCKET_ROWS, MAX_BUCKETS = 2048, 20_000
 
 
-def _orders() -> tuple[list[list[int]], list[list[int]]]:
-    """For each bin the first bins it probes, and the rank at which it would probe each."""
-    order = [random.Random(1009 * i + 7).sample(range(BINS), BINS) for i in range(BINS)]
-    rank = [[0] * BINS for _ in range(BINS)]
-    for i, own in enumerate(order):
-        for at, j in enumerate(own):
-            rank[i][j] = at
-    return [own[:PROBES] for own in order], rank
+def _rank(i, j):
+    """A pseudo-random number below 2**31 by which bin ``i`` orders the bins ``j`` (integers or columns)."""
+    x = i * BINS + j + 1
+    return (x * x % _PRIME) * 48271 % _PRIME
 
 
-def _literal(rows: list[list[int]]) -> Column:
-    return F.expr(f"array({','.join('array(' + ','.join(map(str, r)) + ')' for r in rows)})")
+def _probes() -> Column:
+    """For each bin the first bins in its order, one after the other."""
+    first = [sorted(range(BINS), key=lambda j, i=i: (_rank(i, j), j))[:PROBES] for i in range(BINS)]
+    return F.expr(f"array({','.join(str(j) for own in first for j in own)})")
 
 
 def _shingles(hashed: Column) -> Column:
@@ -60,31 +59,35 @@ def minima(hashes: Column) -> Column:
     return F.filter(F.zip_with(ordered, before, first), lambda x: x.isNotNull())
 
 
-def low_bits(bins: Column) -> Column:
-    """Each bin's low bits after densification, as hexadecimal digits."""
-    probes, ranks = _orders()
-    digit = lambda x: F.substring(F.lit("0123456789abcdef"), (x.bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"), F.lit(1))
-    value = lambda j: F.nullif(F.get(bins, j).bitwiseAND(F.lit(EMPTY)), F.lit(EMPTY))
-    full = F.filter(F.transform(bins, lambda x, j: F.when(x.bitwiseAND(F.lit(EMPTY)) != EMPTY, j)), lambda j: j.isNotNull())
-    all_probes, all_ranks = _literal(probes), _literal(ranks)
+def densified(bins: Column, full: Column, probes: Column) -> Column:
+    """Each bin's own hash, or for an empty one a hash of the borrowed value and the bin.
 
-    def dense(x: Column, i: Column) -> Column:
-        own = F.nullif(x.bitwiseAND(F.lit(EMPTY)), F.lit(EMPTY))
-        tried = [value(F.get(F.get(all_probes, i), F.lit(t))) for t in range(PROBES)]
-        nearest = F.array_min(F.transform(full, lambda j: F.get(F.get(all_ranks, i), j) * BINS + j))
-        borrowed = F.coalesce(*tried, value(nearest % BINS))  # hashed with the bin, or one value would fill many bins alike
-        return digit(F.coalesce(own, F.when(borrowed.isNotNull(), F.xxhash64(borrowed, i)), F.lit(EMPTY)))
+    ``bins`` has nulls for empty bins, ``full`` the numbers of the others, ``probes`` each bin's first choices. A bin borrows
+    from the first non-empty one in its order: the least rank where few are full, else by
+    probing (both find the same one).
+    """
+    def borrow(i: Column) -> Column:
+        nearest = (F.array_min(F.transform(full, lambda j: _rank(i.cast("long"), j) * BINS + j)) % BINS).cast("int")
+        tried = [F.get(probes, i * PROBES + t) for t in range(PROBES)]
+        probed = F.coalesce(*(F.when(F.get(bins, j).isNotNull(), j) for j in tried), nearest)
+        return F.get(bins, F.when(F.size(full) < FEW, nearest).otherwise(probed))
 
-    return F.array_join(F.transform(bins, dense), "")
+    # hashed with the bin, or one value would fill many bins alike
+    return F.transform(bins, lambda x, i: F.coalesce(x, F.xxhash64(borrow(i), i)))
 
 
 def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the fingerprint of a text column; the steps are projections of their own, computed once."""
+    """Adds the fingerprint of a text column; each step is a projection of its own, computed once."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     step = frame.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
     step = step.withColumn("_s", F.transform(_shingles(F.col("_w")), lambda s: s.bitwiseAND(F.lit((1 << 63) - 1)))).drop("_w")
-    step = step.withColumn("_b", minima(F.col("_s"))).drop("_s")
-    return step.withColumn(name, low_bits(F.col("_b"))).drop("_b")
+    step = step.withColumn("_m", minima(F.col("_s"))).drop("_s")
+    step = step.withColumn("_b", F.transform("_m", lambda x: F.nullif(x.bitwiseAND(F.lit(EMPTY)), F.lit(EMPTY)))).drop("_m")
+    step = step.withColumn("_f", F.filter(F.transform("_b", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull()))
+    step = step.withColumn("_p", _probes())  # one node of the plan, whatever refers to it
+    step = step.withColumn("_d", densified(F.col("_b"), F.col("_f"), F.col("_p"))).drop("_b", "_f", "_p")
+    digits = F.transform("_d", lambda x: F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1))))
+    return step.withColumn(name, F.lower(F.array_join(digits, ""))).drop("_d")
 
 
 def likeness(a: Column, b: Column) -> Column:
