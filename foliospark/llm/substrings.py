@@ -30,16 +30,23 @@ from foliospark.llm.superkmers import super_kmers
 WINDOW, GRAM = 50, 8
 HOT = 1000
 NO_ID = (1 << 63) - 1
-KEYS = ["mini", "c1", "c2"]
+#: A content: its minimiser and a hash of its symbols, 128 bits together.
+KEYS = ["mini", "c1"]
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text, and what identifies a row in the steps between: ord (the id; the largest if null) and tkey."""
+    """doc_id, text, and what identifies a row in the steps between: ord (the id; the largest if null) and tkey.
+
+    ``tkey`` is a hash of the text; where all ids are distinct the id is enough, and it is 0.
+    """
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    distinct = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tkey"),
+        (F.lit(0).cast("long") if distinct else F.xxhash64(text)).alias("tkey"),
     )
 
 
@@ -56,7 +63,7 @@ def _occurrences(window: int, gram: int):
             k = super_kmers(symbols, lengths, window, gram)
             own = pa.array(k.doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64)) for x in (k.minimiser, *k.content)]
+                [pa.array(x.view(np.int64)) for x in (k.minimiser, k.content)]
                 + [batch.column("ord").take(own), batch.column("tkey").take(own), pa.array(k.start.astype(np.int32)), pa.array(k.count.astype(np.int32))],
                 names=[*KEYS, "ord", "tkey", "start", "count"],
             )
@@ -72,9 +79,9 @@ def _pack(window: int):
             rows: list[tuple] = []
             for text, order, asked in zip(texts_of(batch), batch.column("ord").to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 words = text.split()
-                rows += [(a["mini"], a["c1"], a["c2"], order, b" ".join(words[a["start"] : a["start"] + a["count"] + window - 1])) for a in asked]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=[*KEYS, "ord", "packed"])
+                rows += [(a["mini"], a["c1"], order, b" ".join(words[a["start"] : a["start"] + a["count"] + window - 1])) for a in asked]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=[*KEYS, "ord", "packed"])
 
     return pack
 
@@ -135,12 +142,12 @@ def _compare(window: int, count: Callable):
 
         def flushed() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int32()))], names=[*KEYS, "windows"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.list_(pa.int32()))], names=[*KEYS, "windows"])
 
         for bucket in buckets(batches):
             for row, windows in zip(bucket, count([(r["ord"], r["packed"]) for r in bucket], window), strict=True):
                 if windows:
-                    out.append((row["mini"], row["c1"], row["c2"], sorted(windows)))
+                    out.append((row["mini"], row["c1"], sorted(windows)))
             if len(out) >= 5000:
                 yield flushed()
                 out.clear()
@@ -151,28 +158,39 @@ def _compare(window: int, count: Callable):
 
 
 def repeated_windows(rows: DataFrame, occurrences: DataFrame, scratch: Scratch, window: int, packer, comparer, hot_windows, hot: int = HOT) -> DataFrame:
-    """Per row (ord, tkey) the super-k-mers with repeats: array of struct(start, count, windows; null: all)."""
+    """Per row (ord, tkey) the super-k-mers with repeats: array of struct(start, count, windows; null: all).
+
+    Each step that others read, and each that shuffles much, is a table of its own, so that
+    shuffle files of one step go before the next one writes.
+    """
     spot = F.struct("ord", "tkey", "start", "count")
-    contents = scratch.keep(occurrences.groupBy(*KEYS).agg(F.min(spot).alias("first")), "contents")
+    contents = scratch.keep(occurrences.groupBy(*KEYS).agg(F.min(spot).alias("first"), F.max("ord").alias("last_ord")), "contents")
     rivals = contents.groupBy("mini").agg(F.count("*").alias("rivals")).where(F.col("rivals") > 1)
     contested = contents.join(rivals, "mini").select(*KEYS, "first.*", (F.col("rivals") > hot).alias("hot"))
-    asked = contested.groupBy("ord", "tkey").agg(F.collect_list(F.struct(*KEYS, "start", "count", "hot")).alias("asked"))
+    ask = F.collect_list(F.struct(*KEYS, "start", "count", "hot"))
+    asked = scratch.keep(contested.groupBy("ord", "tkey").agg(ask.alias("asked"), F.max("hot").alias("hot")), "asked")
     wanted = rows.select("ord", "tkey", "text").join(asked, ["ord", "tkey"])
     of = lambda is_hot: wanted.select("ord", "text", F.filter("asked", lambda a: a["hot"] == F.lit(is_hot)).alias("asked"))
-    packed = of(False).mapInArrow(packer(window), "mini long, c1 long, c2 long, ord long, packed binary")
-    cold = packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(comparer, "mini long, c1 long, c2 long, windows array<int>")
-    if contested.where("hot").isEmpty():
-        found = cold
-    else:
-        each = scratch.keep(of(True).where(F.size("asked") > 0).mapInArrow(hot_windows(window), "w1 long, w2 long, mini long, c1 long, c2 long, ord long, at int"), "hot")
+    packed = of(False).mapInArrow(packer(window), "mini long, c1 long, ord long, packed binary")
+    found = packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(comparer, "mini long, c1 long, windows array<int>")
+    if not asked.where("hot").isEmpty():
+        found = scratch.keep(found, "cold")
+        each = of(True).where(F.size("asked") > 0).mapInArrow(hot_windows(window), "w1 long, w2 long, mini long, c1 long, ord long, at int")
+        each = scratch.keep(each, "hot")
         owner = each.groupBy("w1", "w2").agg(F.min("ord").alias("owner"))
         late = each.join(owner, ["w1", "w2"]).where(F.col("ord") > F.col("owner"))
-        found = cold.unionByName(late.groupBy(*KEYS).agg(F.sort_array(F.collect_set("at")).alias("windows")))
-    found = scratch.keep(found.dropDuplicates(KEYS), "found")
-    known = contents.select(*KEYS, F.col("first.ord").alias("first_ord")).join(found, KEYS, "left")
-    marks = occurrences.join(known, KEYS).where((F.col("ord") > F.col("first_ord")) | F.col("windows").isNotNull())
-    spans = F.struct("start", "count", F.when(F.col("ord") == F.col("first_ord"), F.col("windows")).alias("windows"))
-    return marks.groupBy("ord", "tkey").agg(F.collect_list(spans).alias("marks"))
+        found = found.unionByName(late.groupBy(*KEYS).agg(F.sort_array(F.collect_set("at")).alias("windows")))
+    found = scratch.keep(found, "found")
+    # contents that a later document has too, or of which the first document has repeats
+    several = contents.where(F.col("last_ord") > F.col("first.ord")).select(*KEYS, F.col("first.ord").alias("first_ord"))
+    known = several.join(found, KEYS, "full")
+    marks = occurrences.join(known, KEYS)
+    whole = F.col("ord") > F.col("first_ord")
+    spans = F.struct("start", "count", F.when(F.coalesce(whole, F.lit(False)), F.lit(None)).otherwise(F.col("windows")).alias("windows"))
+    marks = marks.where(F.coalesce(whole, F.lit(False)) | F.col("windows").isNotNull())
+    marks = scratch.keep(marks.groupBy("ord", "tkey").agg(F.collect_list(spans).alias("marks")), "marks")
+    scratch.drop(contents, asked, found, occurrences)
+    return marks
 
 
 def covered(marks: list[dict], length: int, window: int) -> np.ndarray:
@@ -214,6 +232,6 @@ def drop_repeated_windows(documents: DataFrame, *, window: int = WINDOW, gram: i
     """documents(doc_id, text) -> word counts, removed word spans, and the kept words with their SHA-256."""
     scratch = Scratch(documents.sparkSession, "windows")
     rows = keyed(documents)
-    found = scratch.keep(rows.select("ord", "tkey", "text").mapInArrow(_occurrences(window, gram), "mini long, c1 long, c2 long, ord long, tkey long, start int, count int"), "occurrences")
+    found = scratch.keep(rows.select("ord", "tkey", "text").mapInArrow(_occurrences(window, gram), "mini long, c1 long, ord long, tkey long, start int, count int"), "occurrences")
     marks = repeated_windows(rows, found, scratch, window, _pack, _compare(window, first_owners), _unpack_hot, hot)
     return rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "marks").mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,end:int>>")

@@ -162,7 +162,7 @@ def _shared_occurrences(window: int, gram: int):
             chosen = chosen[chosen < len(k.doc)]  # rows of equal ids share their answers
             own = pa.array(k.doc[chosen])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[chosen].view(np.int64)) for x in (k.minimiser, *k.content)]
+                [pa.array(x[chosen].view(np.int64)) for x in (k.minimiser, k.content)]
                 + [batch.column("ord").take(own), batch.column("tkey").take(own), pa.array(k.start[chosen].astype(np.int32)), pa.array(k.count[chosen].astype(np.int32))],
                 names=[*KEYS, "ord", "tkey", "start", "count"],
             )
@@ -278,9 +278,9 @@ def _pack(window: int):
         for batch in slices(batches):
             rows: list[tuple] = []
             for text, order, asked in zip(texts_of(batch), batch.column("ord").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                rows += [(a["mini"], a["c1"], a["c2"], order, text[a["start"] : a["start"] + a["count"] + window - 1]) for a in asked]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=[*KEYS, "ord", "packed"])
+                rows += [(a["mini"], a["c1"], order, text[a["start"] : a["start"] + a["count"] + window - 1]) for a in asked]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=[*KEYS, "ord", "packed"])
 
     return pack
 
@@ -321,14 +321,15 @@ def drop_repeated_bytes(documents: DataFrame, *, window: int = WINDOW, gram: int
     """documents(doc_id, text) -> byte counts, removed byte spans, and the bytes kept with their SHA-256."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "bytes")
-    rows = keyed(documents).withColumn("okey", F.coalesce("doc_id", "tkey"))
+    rows = keyed(documents).withColumn("okey", F.coalesce("doc_id", F.xxhash64("text")))
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = min(60_000, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
     sent = rows.select("okey", "text").mapInArrow(_send_minimisers(window, gram, buckets), _BLOBS)
     shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "okey long, at array<int>")
     shared = scratch.keep(shared.groupBy("okey").agg(F.flatten(F.collect_list("at")).alias("at")), "shared")
-    found = rows.join(shared, "okey").select("ord", "tkey", "text", "at").mapInArrow(_shared_occurrences(window, gram), "mini long, c1 long, c2 long, ord long, tkey long, start int, count int")
+    found = rows.join(shared, "okey").select("ord", "tkey", "text", "at").mapInArrow(_shared_occurrences(window, gram), "mini long, c1 long, ord long, tkey long, start int, count int")
     found = scratch.keep(found, "occurrences")
+    scratch.drop(shared)
     marks = repeated_windows(rows, found, scratch, window, _pack, _compare(window), _hot_windows, hot)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>"
     return rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "marks").mapInArrow(_strip(window), schema)

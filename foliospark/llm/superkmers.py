@@ -14,7 +14,7 @@ import numpy as np
 
 from foliospark.llm.common import inside, mixed, rolling, sliding_min
 
-_BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
+_BASE = 0xD6E8FEB86659FD93
 
 
 @dataclass
@@ -25,7 +25,7 @@ class SuperKmers:
     start: np.ndarray
     count: np.ndarray
     minimiser: np.ndarray
-    content: tuple[np.ndarray, np.ndarray]
+    content: np.ndarray
 
 
 def _span_hashes(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
@@ -45,12 +45,11 @@ def super_kmers(symbols: np.ndarray, lengths: np.ndarray, size: int, gram: int)
     at = np.flatnonzero(inside(starts, lengths, size, len(symbols))[: len(low)]) if len(low) else np.empty(0, np.int64)
     if not len(at):
         none, hashes = np.empty(0, np.int64), np.empty(0, np.uint64)
-        return SuperKmers(none, none, none, hashes, (hashes, hashes))
+        return SuperKmers(none, none, none, hashes, hashes)
     fresh = np.concatenate(([True], (np.diff(at) != 1) | (low[at[1:]] != low[at[:-1]])))
     first = at[fresh]
     count = np.diff(np.append(np.flatnonzero(fresh), len(at)))
     doc = np.searchsorted(starts, first, side="right") - 1
     # documents without symbols share a start with the one behind them; the last one counts
     last = first + count + size - 1
-    content = tuple(_span_hashes(mixed(symbols + np.uint64(i)), first, last, base) for i, base in enumerate(_BASES))
-    return SuperKmers(doc, first - starts[doc], count, low[first], content)
+    return SuperKmers(doc, first - starts[doc], count, low[first], _span_hashes(mixed(symbols), first, last, _BASE))
