@@ -46,7 +46,7 @@ _PATTERNS = {
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}(?P<amex>[ -])\d{6}(?P=amex)\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": rf"(?<![\w./-])(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}|\d{{1,2}} (?:{_MONTH})\.?,? \d{{4}}|(?:{_MONTH})\.? \d{{1,2}},? \d{{4}})(?![\w/-])",
-    "phone": r"(?<![\w+(.-])(?:(?:\+|00)\d{1,3}(?:[ .-]?\(?\d{2,8}\)?){1,6}|(?:1[ .-])?(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}(?P<dash>[-. ])\d{3}(?P=dash)\d{4}))(?![\w-])",
+    "phone": r"(?<![\w+(.-])(?:(?:\+|00)[1-9]\d{0,2}(?:[ .-]?\(?\d{2,8}\)?){1,6}|(?:1[ .-])?(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}(?P<dash>[-. ])\d{3}(?P=dash)\d{4}))(?![\w-])",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in KINDS[1:]))
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")

@@ -136,8 +136,10 @@ def check_packing(rows, got, capacity):
 
 def test_packing(docs, sample):
     rows = [*sample, (None, None), (7, ""), (7, "again")]
+    used, least = check_packing(rows, pack_documents(docs(rows).coalesce(1), tokenizer_path()).collect(), 4096)
+    assert used <= least * 1.02 + 1
     used, least = check_packing(rows, pack_documents(docs(rows).repartition(20), tokenizer_path()).collect(), 4096)
-    assert used <= least * 1.03 + 1
+    assert used <= least * 1.1 + 1  # ten documents a partition: bins merge whole
     used, _ = check_packing(rows[:30], pack_documents(docs(rows[:30]).repartition(9), tokenizer_path(), capacity=100, carry=3).collect(), 100)
     assert pack_documents(docs([]), tokenizer_path()).count() == 0
 
