@@ -48,6 +48,8 @@ def _getter(key: str | int):
 
 def extract_key(record: Column, path: str) -> Column:
     """The value of a flat dotted key if the record has it, else that at the path (a list of one dictionary on the way is entered)."""
+    if "." not in path:
+        return path_values(record, path)
     flat = F.get_json_object(record, _step(path))
     return F.when(flat.isNotNull(), _fan_out(F.array(flat))).otherwise(path_values(record, path))
 

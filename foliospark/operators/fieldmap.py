@@ -41,32 +41,30 @@ class FieldMap:
     def names(self) -> list[str]:
         return list(dict.fromkeys(["provider_name", *self.fields, *self.extras]))
 
-    def values(self, record: Column, name: str) -> Column:
-        """All values of a field, from the first of its paths that has any; null if none has."""
-        paths = (dict(self.fields) | dict(self.extras)).get(name)
-        paths = [p for p in ([paths] if isinstance(paths, str) else paths or []) if p]
-        if not paths:
-            return F.lit(None).cast("array<string>")
-        found = [F.when(F.size(v) > 0, v) for v in (extract_key(record, p) for p in paths)]
-        return F.coalesce(*found)
-
-    def columns(self, record: Column, delimiter: str | None = "; ") -> list[Column]:
-        """One column for each field, collapsed to text."""
-        out = []
-        for name in self.names:
-            value = F.lit(self.provider_name) if name == "provider_name" else collapse(self.values(record, name), delimiter)
-            if name == "provider_name":
-                value = F.coalesce(F.get_json_object(record, "$.provider_name"), F.lit(self.defaults.get(name)), value)
-            elif name in self.defaults:
-                value = F.coalesce(F.nullif(value, F.lit("")), F.lit(self.defaults[name]))
-            out.append(value.cast("string").alias(name))
-        return out
+    def paths(self, name: str) -> list[str]:
+        """The paths of a field, in the order in which they are tried."""
+        found = {**self.fields, **self.extras}.get(name)
+        return [p for p in ([found] if isinstance(found, str) else found or []) if p]
 
     def normalise(self, records: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str | None = "; ") -> DataFrame:
-        """records -> the kept columns and one column for each field; a kept column wins over a field of its name."""
+        """records -> the kept columns and one column for each field; a kept column wins over a field of its name.
+
+        Each path is read once, in a projection below the one that combines them.
+        """
         keep = list(keep)
         names = [n for n in self.names if n not in keep]
-        return records.select(*keep, *(c for n, c in zip(self.names, self.columns(F.col(record), delimiter), strict=True) if n in names))
+        column = {p: f"_path_{i}" for i, p in enumerate(dict.fromkeys(p for n in names for p in self.paths(n)))}
+        own = F.get_json_object(F.col(record), "$.provider_name").alias("_provider_name")
+        read = records.select(*keep, own, *(extract_key(F.col(record), p).alias(c) for p, c in column.items()))
+        return read.select(*keep, *(self._value(n, column, delimiter).cast("string").alias(n) for n in names))
+
+    def _value(self, name: str, column: Mapping[str, str], delimiter: str | None) -> Column:
+        default = self.defaults.get(name)
+        if name == "provider_name":
+            return F.coalesce("_provider_name", F.lit(default), F.lit(self.provider_name))
+        found = [F.when(F.size(column[p]) > 0, collapse(F.col(column[p]), delimiter)) for p in self.paths(name)]
+        value = F.coalesce(*found) if found else F.lit(None).cast("string")
+        return value if default is None else F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
 class AcademicMap(FieldMap):

@@ -77,7 +77,9 @@ def filter_records(frame: DataFrame, record: str = "record", keep_keys: Iterable
 def select_paths(frame: DataFrame, keys: Mapping[str, str] | Iterable[str], record: str = "record", keep: Iterable[str] = (), delimiter: str | None = "; ") -> DataFrame:
     """Projection by path with rename: names -> paths, or paths that name themselves."""
     named = dict(keys) if isinstance(keys, Mapping) else {k: k for k in keys if k}
-    return frame.select(*keep, *(collapse(extract_key(F.col(record), p), delimiter).alias(n) for n, p in named.items()))
+    keep = list(keep)
+    read = frame.select(*keep, *(extract_key(F.col(record), p).alias(f"_path_{i}") for i, p in enumerate(named.values())))
+    return read.select(*keep, *(collapse(F.col(f"_path_{i}"), delimiter).alias(n) for i, n in enumerate(named)))
 
 
 # --- extraction of records and metadata from a page ---
@@ -94,7 +96,8 @@ def page_metadata(pages: DataFrame, keys: Mapping[str, str], content: str = "con
     """Metadata values at explicit paths, one column each; whole numbers in plain form."""
     from foliospark.functions.scalars import try_int
 
-    return pages.select(*keep, *(try_int(collapse(extract_key(F.col(content), p))).alias(n) for n, p in keys.items()))
+    keep = list(keep)
+    return select_paths(pages, keys, content, keep).select(*keep, *(try_int(F.col(n)).alias(n) for n in keys))
 
 
 def _is_record(value: Any, marks: tuple[str, ...]) -> bool:
