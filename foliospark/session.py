@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Maps merge like dictionaries (the last value wins), times are UTC, Python gets Arrow batches.
@@ -23,3 +28,18 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_foliospark_shipped", False):
+        return
+    root = Path(__file__).parent
+    fd, archive = tempfile.mkstemp(suffix=".zip", prefix="foliospark-")
+    os.close(fd)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._foliospark_shipped = True
