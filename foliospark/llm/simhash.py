@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import Scratch, mixed, slices, texts_of
@@ -197,6 +197,23 @@ def near_duplicates(documents: DataFrame, *, max_bits: int = MAX_BITS) -> DataFr
     return marked.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def body_hash(documents: DataFrame) -> Column:
+    """A hash of the text that tells rows of equal or null ids apart."""
+    return F.coalesce(F.md5(documents["text"].cast("string")), F.lit(""))
+
+
+def one_of_each(documents: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """All columns of ``documents``, one row of each root of rows(doc_id, body, root): the smallest id, null only where there is no other."""
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("least"))
+    first = scratch.keep(least.select(F.col("least.doc_id").alias("_id"), F.col("least.body").alias("_body")), "first")
+    key = documents["doc_id"].cast("long").eqNullSafe(first["_id"]) & (body_hash(documents) == first["_body"])
+    kept = documents.join(first, key, "left_semi")
+    copies = rows.groupBy("doc_id", "body").count().where("count > 1")
+    if copies.join(first, copies["doc_id"].eqNullSafe(first["_id"]) & (copies["body"] == first["_body"]), "left_semi").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
 def drop_near_duplicates(documents: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     """All columns of ``documents``, one row of each component: that of its smallest id."""
     found = near_duplicates(documents.select("doc_id", "text"), max_bits=max_bits)

@@ -248,3 +248,39 @@ def test_rolling_and_minimum():
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
     assert substrings.WINDOW == suffixes.WINDOW == 50
+
+
+def near_copies(rng):
+    """Rows of 200 random words, and copies with one to four words changed, some of them in chains."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows = []
+    for _ in range(30):
+        base = [word() for _ in range(200)]
+        for changed in (0, 1, 2, 3, 4):
+            text = list(base)
+            for at in rng.sample(range(5, 190), changed):
+                text[at] = word()
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def test_the_stage_drops_near_copies_of_jaccard_80(spark, docs):
+    import corpus_pipeline
+
+    rows = near_copies(random.Random(9)) + corpus(7, 20)
+    rows = [(k if i is not None else None, t) for k, (i, t) in enumerate(rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard((rows[a][1] or "").lower(), (rows[b][1] or "").lower()) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    wanted = {find(k) for k in range(len(rows))}
+    kept = corpus_pipeline.near_dedup(spark, docs(rows), "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(rows[k][0]) for k in wanted)
