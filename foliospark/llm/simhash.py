@@ -65,7 +65,8 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(texts_of(batch)).view(np.int64))], names=["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fingerprints(texts_of(batch)).view(np.int64))], names=[*names, "fp"])
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -184,14 +185,20 @@ def near_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS)
     return first.where("kind = 0").unionByName(second).select("a", "b")
 
 
+def _components(narrow: DataFrame, max_bits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``narrow`` with fingerprints for texts, and of each fingerprint the smallest id and the component's root."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text"]
+    marked = scratch.keep(narrow.mapInArrow(_fingerprint, ", ".join([*fields, "fp long"])), "fingerprints")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    labels = component_labels(near_links(distinct, scratch, max_bits), scratch)
+    return marked, distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, fp and component_id (smallest doc_id reachable over links)."""
     scratch = Scratch(documents.sparkSession, "simhash")
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = scratch.keep(narrow.mapInArrow(_fingerprint, "doc_id long, fp long"), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = component_labels(near_links(distinct, scratch, max_bits), scratch)
-    rooted = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"))
+    marked, rooted = _components(narrow, max_bits, scratch)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     owner = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
@@ -216,11 +223,7 @@ def one_of_each(documents: DataFrame, rows: DataFrame, scratch: Scratch) -> Data
 
 def drop_near_duplicates(documents: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     """All columns of ``documents``, one row of each component: that of its smallest id."""
-    found = near_duplicates(documents.select("doc_id", "text"), max_bits=max_bits)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "fp")
-    scratch = Scratch(documents.sparkSession, "simhash-kept")
-    first = scratch.keep(first, "first")
-    kept = documents.join(first.select("_kept").distinct(), documents["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    if first.groupBy("_kept").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    scratch = Scratch(documents.sparkSession, "simhash")
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), body_hash(documents).alias("body"), F.col("text").cast("string").alias("text"))
+    marked, rooted = _components(narrow, max_bits, scratch)
+    return one_of_each(documents, marked.join(rooted.select("fp", "root"), "fp"), scratch)

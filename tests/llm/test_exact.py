@@ -284,3 +284,11 @@ def test_the_stage_drops_near_copies_of_jaccard_80(spark, docs):
     kept = corpus_pipeline.near_dedup(spark, docs(rows), "")
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(rows[k][0]) for k in wanted)
+
+
+def test_clean_rows_of_null_and_equal_ids_stay(spark, docs):
+    rng = random.Random(2)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (9, texts[5]), (9, texts[5])]
+    wanted = sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5])], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in drop_near_duplicates(docs(rows)).collect()), key=str) == wanted
