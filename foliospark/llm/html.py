@@ -5,7 +5,8 @@ punctuation marks per node are computed, smoothed over the nodes in page order,
 thresholded; nodes of paths above the threshold vote with their characters for the
 element that holds the article. All blocks of that element are its text, but for elements
 that are no article text by their tag, role, class or id (menus, notices, forms, adverts,
-reader comments and the like) and lists of links only.
+reader comments and the like) and lists of links only. A class or id only hints: it does not
+count on an element around the articles or, on pages without, around most of the votes.
 
 Defined cases: null or empty html has an empty text; unclosed, misnested and unknown tags
 are tolerated (a block closes an open paragraph, an end tag closes what it encloses);
@@ -42,25 +43,30 @@ HINTS = frozenset(
     " footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promoted promotion recommended"
     " related share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget".split()
 )
+#: Words that make the hint after them a state of the layout, and words of ids that say nothing beside a hint.
+STATES, NEUTRAL = frozenset("has no not with without".split()), frozenset("area bar block box container content list section wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an open element of the key closes at their start.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIERS = frozenset("table ul ol dl td th article section div body html main aside blockquote".split())
 
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|(?P<other>[!?/][^>]*)(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s/>="']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?|"[^"]*"|'[^']*'""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、،]")
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 SIGMA, RADIUS = 1.0, 2
 #: Share of the mean fused ratio that a path needs, and of the votes that an element needs.
 THRESHOLD, SHARE = 0.6, 0.7
+#: Share of the votes with which an element around all articles, inside a main element, is no comment section.
+MOST = 0.5
 
 
 class Element:
-    __slots__ = ("apart", "key", "name", "number", "parent")
+    __slots__ = ("apart", "hinted", "key", "name", "number", "parent")
 
-    def __init__(self, name: str, key: str, number: int, parent: Element | None, apart: bool) -> None:
-        self.name, self.key, self.number, self.parent, self.apart = name, key, number, parent, apart
+    def __init__(self, name: str, key: str, number: int, parent: Element | None, apart: bool, hinted: bool = False) -> None:
+        self.name, self.key, self.number, self.parent, self.apart, self.hinted = name, key, number, parent, apart, hinted
 
 
 class Block:
@@ -70,26 +76,32 @@ class Block:
         self.element, self.pieces = element, []
 
 
-def _is_apart(name: str, attrs: str, stack: list[Element]) -> tuple[bool, str]:
-    """Whether an element holds no article text, and the class word that its path shows."""
+def _is_apart(name: str, attrs: str, stack: list[Element]) -> tuple[bool, bool, str]:
+    """Whether an element holds no article text, whether its class or id hints so, and the class word that its path shows."""
     inner = any(e.name in ("article", "main") for e in stack)
     if name in APART or name == "header" and not inner:
-        return True, name
+        return True, False, name
     words: list[str] = []
+    hinted = False
     for m in _ATTR.finditer(attrs):
+        if not m[1]:
+            continue
         kind, value = m[1].lower(), (m[2] or "").strip("\"'")
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return True, name
+            return True, False, name
         if kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, name
+            return True, False, name
         if kind == "role" and value.lower() in ROLES:
-            return True, name
+            return True, False, name
         if kind in ("class", "id"):
-            words += [w.lower() for w in _PART.findall(value)]
-    if name in ("html", "body", "article", "main"):
-        return False, name
-    hinted = [w for w in words if w in HINTS or w == "header" and not inner]
-    return bool(hinted), f"{name}.{words[0]}" if words else name
+            for token in value.split():
+                parts = [w.lower() for w in _PART.findall(token)]
+                words += parts
+                hits = [w for a, w in zip(["", *parts], parts, strict=False) if (w in HINTS or w == "header" and not inner) and a not in STATES]
+                if kind == "id" and (name in HEADINGS or inner and not all(w in HINTS or w in NEUTRAL or w.isdigit() for w in parts)):
+                    continue
+                hinted |= bool(hits)
+    return False, hinted, f"{name}.{words[0]}" if words and name not in ("html", "body", "article", "main") else name
 
 
 def parse(html: str) -> list[Block]:
@@ -140,8 +152,8 @@ def parse(html: str) -> list[Block]:
         if name in VOID:
             continue
         number += 1
-        apart, key = _is_apart(name, m["attrs"], stack)
-        own = Element(name, key, number, stack[-1], apart or stack[-1].apart)
+        apart, hinted, key = _is_apart(name, m["attrs"], stack)
+        own = Element(name, key, number, stack[-1], apart or stack[-1].apart, hinted)
         if name in RAW:
             if not m["attrs"].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -203,6 +215,7 @@ def extract_text(html: str | None) -> str:
     scores = [max((next(ratios) for _ in b.pieces), default=0.0) for b in blocks]
     usable = [bool(t) and not b.element.apart for t, b in zip(texts, blocks, strict=True)]
     _drop_link_lists(blocks, texts, linked, usable)
+    _drop_hinted(blocks, texts, linked, scores, usable)
     kept = [i for i, ok in enumerate(usable) if ok]
     if not kept:
         return ""
@@ -228,6 +241,36 @@ def _home(votes: list[tuple[Element, int]]) -> Element | None:
     return next((e for e in around if e.name == "article"), around[0] if around else best)
 
 
+def _drop_hinted(blocks: list[Block], texts: list[str], linked: list[int], scores: list[float], usable: list[bool]) -> None:
+    """Marks blocks in hinted elements as unusable, unless the element holds all articles or, where there is none, ``SHARE`` of the votes."""
+    open_ = [i for i, ok in enumerate(usable) if ok]
+    chains = {i: list(_chain(blocks[i].element)) for i in open_}
+    marked = {e for c in chains.values() for e in c if e.hinted and e.name not in ("html", "body", "article", "main")}
+    if not marked:
+        return
+    mean = sum(scores[i] for i in open_) / len(open_)
+    votes = {i: len(texts[i]) for i in open_ if scores[i] >= THRESHOLD * mean and linked[i] <= 0.5 * len(texts[i])}
+    held: dict[Element, int] = {}
+    for i, n in votes.items():
+        for e in chains[i]:
+            held[e] = held.get(e, 0) + n
+    total = sum(votes.values())
+    real = {e for c in chains.values() for e in c if e.name in ("article", "main") and not e.hinted}
+    real = {e for e in real if e.name == "article"} or real
+    around = [set(_chain(e)) for e in real]
+    for e in list(marked):
+        if real:
+            within = any(x.name == "main" for x in _chain(e))
+            keep = all(e in a for a in around) and (not within or held.get(e, 0) >= MOST * total)
+        else:
+            keep = total > 0 and held.get(e, 0) >= SHARE * total
+        if keep:
+            marked.discard(e)
+    for i in open_:
+        if any(e in marked for e in chains[i]):
+            usable[i] = False
+
+
 def _drop_link_lists(blocks: list[Block], texts: list[str], linked: list[int], usable: list[bool]) -> None:
     """Marks the items of lists that hold links only (three items or more) as unusable."""
     lists: dict[Element, list[int]] = {}

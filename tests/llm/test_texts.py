@@ -275,3 +275,24 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert "a.b@c.org" not in next(r["text"] for r in spark.read.parquet(f"{tmp_path}/pii").collect() if r["doc_id"] == 302)
     assert seen["packing"] == seen["pii"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen["packing"]
+
+
+# --- hints in pages, and pages without an article ---
+
+LONG = "A sentence, with marks; and more of it, so that it counts. "
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body><div class='content has-sidebar'><article><p>Body text, long enough.</p></article></div></body>", "Body text, long enough."),
+        ("<body><div class='layout sidebar-left'><article><p>Body text, long enough.</p></article></div></body>", "Body text, long enough."),
+        ("<article><h2 id='cookies'>Cookies</h2><p>Text, here.</p><section id='related-work'><p>Others, too.</p></section></article>", "Cookies\nText, here.\nOthers, too."),
+        ("<article><div title='The hidden coast'><p>Text, here.</p></div></article>", "Text, here."),
+        ("<article><p>Text, here.</p><section class='comments'><article><p>Nice, thanks!</p></article></section></article>", "Text, here."),
+        ("<article><p>Text, here.</p></article><div class='related'><article><p>Other, thing.</p></article></div>", "Text, here."),
+        ("<article><p>Text, here.</p><div hidden><p>Gone, now.</p></div><div id='comments'><p>Nice, thanks!</p></div></article>", "Text, here."),
+    ],
+)
+def test_hints_only_vote(html, text):
+    assert extract_text(html) == text
