@@ -221,12 +221,22 @@ def extract_text(html: str | None) -> str:
         return ""
     mean = sum(scores[i] for i in kept) / len(kept)
     content = [i for i in kept if scores[i] >= THRESHOLD * mean and linked[i] <= 0.5 * len(texts[i])] or kept
-    home = _home([(blocks[i].element, len(texts[i])) for i in content])
+    home = _home([(blocks[i].element, len(texts[i])) for i in content], [blocks[i].element for i in _with_headings(kept, content, blocks)])
     return "\n".join(texts[i] for i in kept if home is None or any(e is home for e in _chain(blocks[i].element)))
 
 
-def _home(votes: list[tuple[Element, int]]) -> Element | None:
-    """The innermost container with ``SHARE`` of the votes, or the article or main element around it."""
+def _with_headings(kept: list[int], content: list[int], blocks: list[Block]) -> list[int]:
+    """The content blocks and the headings next to them."""
+    chosen, order = set(content), [*kept]
+    for seq in (order, order[::-1]):
+        for a, b in zip(seq, seq[1:], strict=False):
+            if a in chosen and b not in chosen and any(e.name in HEADINGS for e in _chain(blocks[b].element)):
+                chosen.add(b)
+    return sorted(chosen)
+
+
+def _home(votes: list[tuple[Element, int]], all_of: list[Element]) -> Element | None:
+    """The article or main element around ``SHARE`` of the votes, or else the innermost container of ``all_of``."""
     chars: dict[Element, int] = {}
     for element, count in votes:
         for e in _chain(element):
@@ -234,11 +244,16 @@ def _home(votes: list[tuple[Element, int]]) -> Element | None:
                 chars[e] = chars.get(e, 0) + count
     total = sum(c for _, c in votes)
     fit = [e for e, c in chars.items() if c >= SHARE * total]
-    if not fit:
-        return None
-    best = max(fit, key=lambda e: sum(1 for _ in _chain(e)))
-    around = [e for e in _chain(best) if e.name in ("article", "main")]
-    return next((e for e in around if e.name == "article"), around[0] if around else best)
+    if fit:
+        best = max(fit, key=lambda e: sum(1 for _ in _chain(e)))
+        around = [e for e in _chain(best) if e.name in ("article", "main")]
+        if around:
+            return next((e for e in around if e.name == "article"), around[0])
+    common = [e for e in _chain(all_of[0]) if e.name in CONTAINERS]
+    for element in all_of[1:]:
+        within = set(_chain(element))
+        common = [e for e in common if e in within]
+    return common[0] if common else None
 
 
 def _drop_hinted(blocks: list[Block], texts: list[str], linked: list[int], scores: list[float], usable: list[bool]) -> None:

@@ -296,3 +296,11 @@ LONG = "A sentence, with marks; and more of it, so that it counts. "
 )
 def test_hints_only_vote(html, text):
     assert extract_text(html) == text
+
+
+def test_pages_without_an_article_keep_all_parts():
+    body, code = LONG * 8, "x = f(a, b); " * 60
+    page = f"<body><div class=top>Site</div><div id=content><h1>Title</h1><div class=lead><p>{LONG}</p></div><div class=body><p>{body}</p><p>{body}</p></div></div></body>"
+    assert extract_text(page).split("\n")[-4:] == ["Title", LONG.strip(), body.strip(), body.strip()]
+    page = f"<body><p>{LONG * 4}</p><div class=code><pre>{code * 5}</pre></div><p>{LONG * 4}</p></body>"
+    assert extract_text(page).count(LONG.strip()) == 8
