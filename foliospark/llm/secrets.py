@@ -35,8 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
-_HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+_HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9A-Fa-f]{2}){24,})(?![0-9A-Za-z])")
 #: A run of text without these cannot hold a base64 or hex candidate.
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{40}")
 
@@ -127,8 +127,8 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
             if data := decoded(m[0]):
                 spans += [(m.start(), m.end(), kind) for kind, test in (("der", is_der), ("blob", is_blob)) if test(data)]
         for m in _HEX_ANY.finditer(text):
-            data = bytes.fromhex(m[0])
-            spans += [(m.start(), m.end(), kind) for kind, test in (("der", is_der), ("blob", is_blob)) if test(data)]
+            data = bytes.fromhex(m[1])
+            spans += [(m.start(1), m.end(), kind) for kind, test in (("der", is_der), ("blob", is_blob)) if test(data)]
     return spans
 
 

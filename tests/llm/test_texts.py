@@ -304,3 +304,13 @@ def test_pages_without_an_article_keep_all_parts():
     assert extract_text(page).split("\n")[-4:] == ["Title", LONG.strip(), body.strip(), body.strip()]
     page = f"<body><p>{LONG * 4}</p><div class=code><pre>{code * 5}</pre></div><p>{LONG * 4}</p></body>"
     assert extract_text(page).count(LONG.strip()) == 8
+
+
+def test_keys_after_an_equals_sign_and_any_hex():
+    blob = b"".join(struct.pack(">I", len(x)) + x for x in (b"ssh-rsa", b"\1\0\1", bytes(40)))
+    for value, kind in ((base64.b64encode(KEY).decode(), "der"), (base64.b64encode(blob).decode(), "blob"), (KEY.hex(), "der")):
+        for before in ("PRIVATE_KEY=", "DATA =", "u?k=", "k: "):
+            assert confirmed(before + value) == [(len(before), len(before + value), kind)]
+    assert confirmed("0x" + KEY.hex()) == [(2, 2 + 2 * len(KEY), "der")]
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(KEY.hex()))
+    assert confirmed(mixed) == [(0, len(mixed), "der")]
