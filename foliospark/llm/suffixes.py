@@ -1,335 +1,522 @@
 """Removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
 
-Which parts of the corpus can hold a repeat at all is settled first, exactly: every 50-byte
-window has a minimiser (its smallest hash of 24 bytes), so a window that two documents share
-lies in super-k-mers of one minimiser in both. Minimisers travel as packed blobs to buckets,
-which answer where a minimiser is shared. Super-k-mers with a shared minimiser go on; equal
-ones are settled by their first document (see ``substrings``), and the rest, strings that
-share a minimiser but differ, are indexed:
-
-The strings of whole minimiser buckets are dealt into shards. Each shard's rotations are
-sorted by prefix doubling, which gives its transform. The transforms are merged by
-iterative interleave refinement: the interleave, one shard number for each rotation, starts
-unsorted; one stable counting sort by the transform's bytes puts it in the order of one
-byte more of every rotation, and the block boundaries that appear in round h mark a common
-prefix of h - 1. No suffix is sorted again. After 50 rounds the blocks are the repeated
-intervals: sets of positions whose next 50 bytes are equal.
+Documents are dealt by a hash into shards of about ``SHARD_BYTES``. Every 50-byte window has
+a minimiser (its smallest hash of ``gram`` bytes), so equal windows lie in super-k-mers of one
+minimiser wherever they are, and an index may be cut by minimiser without losing a repeat.
+
+1. *Filter.* Each shard sends its distinct minimisers to buckets, which answer whether
+   another document has them too. Strings whose minimiser no other document has cannot hold
+   a repeat and are not indexed. This is all the filter decides.
+2. *Shard transforms.* Each shard sorts the suffixes of its strings once, by prefix doubling,
+   and so has its transform, which it cuts by minimiser bucket. Strings of which every window
+   occurs in a smaller document of the same shard are settled by that order and left out.
+3. *Merge.* A bucket gets the transforms of all shards, bytes and string ends, no strings. The
+   interleave of the shards starts unsorted; each round sorts it stably by the next bytes of
+   the transforms (as many as fit a machine word), which puts it in the order of that many
+   bytes more; a place where the bytes or the blocks before them differ starts a new block,
+   that is, bounds the common prefix. Blocks of one document only are left behind. No suffix is
+   sorted again. After ``window`` bytes the blocks are the repeated intervals: all places whose
+   next 50 bytes are equal, and those that are not of the smallest document are removed.
+
+A minimiser with more than ``hot`` occurrences doesn't go to one bucket: its strings are cut into
+single windows, each to the bucket of its own hash, and indexed by the same merge. A bucket
+then holds a window at most once for each shard.
 
 Defined cases: null texts are empty; documents shorter than the window keep all; rows
 without an id count as later than all others; rows of equal ids are not repeats of each other;
-strings are judged on the input; extra columns are ignored.
+strings are judged on the input; texts of any length are read in pieces that overlap; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Scratch, mixed, rolling, runs, slices, texts_of
-from foliospark.llm.substrings import HOT, KEYS, covered, keyed, repeated_windows
-from foliospark.llm.superkmers import SuperKmers, super_kmers
+from foliospark.llm.common import Scratch, inside, mixed, rolling, runs, sliding_min, texts_of
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
 #: A byte that UTF-8 never has ends each indexed string.
 END = 0xFF
-SHARDS, MERGE_BYTES = 4, 1 << 20
-#: Super-k-mers gathered before a worker sends their minimisers, and bytes of input per bucket.
-FLUSH, BUCKET_BYTES = 400_000, 2 << 20
+NO_ID = (1 << 63) - 1
+#: Bytes of text in a shard, and of indexed strings that are sorted together (below 2 ** 21).
+SHARD_BYTES, SORT_BYTES = 3 << 20, 1 << 19
+#: Bytes of text for each bucket of minimisers, and for each bucket of strings.
+ASK_BYTES, MERGE_BYTES = 16 << 20, 1 << 20
+#: Bytes of a text that are read at a time.
+PIECE = 1 << 20
+HOT = 20_000
 
 _SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LOW = np.uint64((1 << 48) - 1)
+_NONE = np.empty(0, np.int64)
+
+
+# --- super-k-mers ---
+
+
+def _piece_runs(data: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(piece, start, count, key) of the super-k-mers of pieces that lie one after the other."""
+    starts = np.cumsum(lengths) - lengths
+    low = sliding_min(rolling(_SYMBOLS[data], gram), window - gram + 1)
+    at = np.flatnonzero(inside(starts, lengths, window, len(data))[: len(low)]) if len(low) else _NONE
+    if not len(at):
+        return _NONE, _NONE, _NONE, np.empty(0, np.uint64)
+    fresh = np.concatenate(([True], (np.diff(at) != 1) | (low[at[1:]] != low[at[:-1]])))
+    ordinal = np.arange(len(at)) - np.repeat(np.flatnonzero(fresh), np.diff(np.append(np.flatnonzero(fresh), len(at))))
+    fresh |= ordinal % (window - gram + 1) == 0  # a repetitive text's runs are cut, or strings would have any length
+    first = at[fresh]
+    count = np.diff(np.append(np.flatnonzero(fresh), len(at)))
+    piece = np.searchsorted(starts, first, side="right") - 1  # empty pieces share a start with the next one; the last counts
+    return piece, first - starts[piece], count, mixed(low[first])  # the smallest of many hashes is small: mixed again
+
+
+def super_kmers(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, start, count, key) of runs of windows with one minimiser; texts are read in pieces that overlap by window - 1."""
+    found, held, size = [], [], 0
+
+    def flush() -> None:
+        nonlocal held, size
+        data = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
+        piece, start, count, key = _piece_runs(data, np.array([len(p) for _, _, p in held], np.int64), window, gram)
+        own, base = np.array([t for t, _, _ in held], np.int64), np.array([b for _, b, _ in held], np.int64)
+        found.append((own[piece], base[piece] + start, count, key))
+        held, size = [], 0
+
+    for t, text in enumerate(texts):
+        for base in range(0, max(1, len(text) - window + 1), PIECE):
+            piece = text[base : base + PIECE + window - 1]
+            held.append((t, base, piece))
+            size += len(piece)
+            if size >= PIECE:
+                flush()
+    if held:
+        flush()
+    if not found:
+        return _NONE, _NONE, _NONE, np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _distinct(key: np.ndarray, row: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """The distinct keys by bucket (as bucket << 48 | 48 bits), with occurrences, whether several rows have them, and each key's place."""
+    place = (_bucket(key, buckets).astype(np.uint64) << np.uint64(48)) | (key & _LOW)
+    unique, inverse, counts = np.unique(place, return_inverse=True, return_counts=True)
+    least, most = np.full(len(unique), len(row) and row.max()), np.zeros(len(unique), np.int64)
+    np.minimum.at(least, inverse, row)
+    np.maximum.at(most, inverse, row)
+    return unique, counts, least != most, inverse
+
 
+# --- shards ---
 
-def byte_super_kmers(texts: list[bytes], window: int, gram: int) -> SuperKmers:
-    return super_kmers(_SYMBOLS[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64), window, gram)
-
-
-def _ordinals(doc: np.ndarray) -> np.ndarray:
-    """Counts from 0 within each document (equal values lie together)."""
-    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
-    at = np.flatnonzero(fresh)
-    return np.arange(len(doc)) - np.repeat(at, np.diff(np.append(at, len(doc))))
-
-
-_BLOBS = "bucket int, blob binary"
-
-
-def _packed(mini: np.ndarray, key: np.ndarray, at: np.ndarray, passed_key: np.ndarray, passed_at: np.ndarray) -> bytes:
-    """Records by document, so that differences are small, and zstd."""
-    order = np.lexsort((at, key))
-    passed = np.lexsort((passed_at, passed_key))
-    low = mini[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    parts = [np.array([len(mini), len(passed_key)], "<i8")]
-    parts += [low, np.diff(key[order], prepend=np.int64(0)), np.diff(at[order], prepend=np.int32(0)).astype("<i4")]
-    parts += [np.diff(passed_key[passed], prepend=np.int64(0)), np.diff(passed_at[passed], prepend=np.int32(0)).astype("<i4")]
-    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, passed = np.frombuffer(blob, "<i8", 2).tolist()
-    at = 16
-    low = np.zeros((n, 8), np.uint8)
-    low[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-    out, at = [low.view("<u8").ravel()], at + 6 * n
-    for kind, count in (("<i8", n), ("<i4", n), ("<i8", passed), ("<i4", passed)):
-        out.append(np.cumsum(np.frombuffer(blob, kind, count, at), dtype=kind))
-        at += int(kind[2]) * count
-    return tuple(out)
-
-
-def _send_minimisers(window: int, gram: int, buckets: int):
-    def flush(held: list[tuple[np.ndarray, ...]], codec: pa.Codec) -> pa.RecordBatch:
-        mini, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((key, mini))
-        mini, key, at = mini[order], key[order], at[order]
-        fresh = np.concatenate(([True], mini[1:] != mini[:-1]))
-        firsts = np.flatnonzero(fresh)
-        sizes = np.diff(np.append(firsts, len(mini)))
-        lasts = firsts + sizes - 1
-        shared = np.repeat(key[firsts] != key[lasts], sizes)  # by several documents here: known without asking
-        ask = ~shared | fresh
-        bucket = (((mini >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64)
-        numbers, blobs = [], []
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            s = slice(cuts[b], cuts[b + 1])
-            a, p = ask[s], shared[s]
-            numbers.append(b)
-            blobs.append(_packed(mini[s][a], key[s][a], at[s][a], key[s][p], at[s][p]))
-        # the size goes first, as the codec needs it to decompress
-        data = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in blobs]
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "blob"])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, codec = [], 0, pa.Codec("zstd", compression_level=1)
-        for batch in slices(batches, limit=1 << 20):
-            k = byte_super_kmers(texts_of(batch), window, gram)
-            if len(k.doc):
-                held.append((k.minimiser, batch.column("okey").to_numpy()[k.doc], _ordinals(k.doc).astype(np.int32)))
-                count += len(k.doc)
-            if count >= FLUSH:
-                yield flush(held, codec)
-                held, count = [], 0
-        if held:
-            yield flush(held, codec)
-
-    return send
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs sorted by bucket -> (okey, at): ordinals of super-k-mers whose minimiser several documents have."""
-    codec = pa.Codec("zstd")
-
-    def settle(blobs: list[bytes]) -> pa.RecordBatch:
-        parts = [_unpacked(codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)) for x in blobs]
-        mini, key, at, passed_key, passed_at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((key, mini))
-        mini, key, at = mini[order], key[order], at[order]
-        firsts = np.flatnonzero(np.concatenate(([True], mini[1:] != mini[:-1]))) if len(mini) else np.empty(0, np.int64)
-        sizes = np.diff(np.append(firsts, len(mini)))
-        shared = np.repeat(key[firsts] != key[firsts + sizes - 1], sizes)
-        key, at = np.concatenate((key[shared], passed_key)), np.concatenate((at[shared], passed_at))
-        order = np.lexsort((at, key))
-        key, at = key[order], at[order]
-        firsts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        ends = pa.array(np.append(firsts, len(key)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(key[firsts]), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32)))], names=["okey", "at"])
-
-    held, now = [], None
+
+def _runs_of(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """Rows of equal ``name`` from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            if bucket != now and held:
-                yield settle(held)
+        own = batch.column(name).to_numpy()
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and held[-1].column(name)[0].as_py() != own[a]:
+                yield pa.Table.from_batches(held)
                 held = []
-            now = bucket
-            held.append(blob)
+            held.append(batch.slice(a, b - a))
     if held:
-        yield settle(held)
+        yield pa.Table.from_batches(held)
 
 
-def _shared_occurrences(window: int, gram: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
-            k = byte_super_kmers(texts_of(batch), window, gram)
-            if not len(k.doc):
-                continue
-            firsts = np.searchsorted(k.doc, np.arange(batch.num_rows))
-            chosen = np.unique(np.concatenate([np.asarray(a, np.int64) + f for a, f in zip(batch.column("at").to_pylist(), firsts.tolist(), strict=True)]))
-            chosen = chosen[chosen < len(k.doc)]  # rows of equal ids share their answers
-            own = pa.array(k.doc[chosen])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[chosen].view(np.int64)) for x in (k.minimiser, k.content)]
-                + [batch.column("ord").take(own), batch.column("tkey").take(own), pa.array(k.start[chosen].astype(np.int32)), pa.array(k.count[chosen].astype(np.int32))],
-                names=[*KEYS, "ord", "tkey", "start", "count"],
-            )
+def _texts(table: pa.Table) -> list[bytes]:
+    return [x for batch in table.to_batches() for x in texts_of(batch)]
 
-    return emit
 
+def _numbers(table: pa.Table) -> np.ndarray:
+    """Each row's number in its shard: rows are sorted by (ord, tkey), equal ones share a number."""
+    order, tkey = table.column("ord").to_numpy(), table.column("tkey").to_numpy()
+    return np.cumsum(np.concatenate(([False], (order[1:] != order[:-1]) | (tkey[1:] != tkey[:-1])))) if len(order) else _NONE
 
-# --- the index over strings that share a minimiser but differ ---
 
+def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """data[cuts[i]:cuts[i + 1]] as the rows of a binary column."""
+    values = np.ascontiguousarray(data).view(np.uint8)
+    ends = (np.asarray(cuts) * data.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)]).cast(pa.binary())
 
-def rotations(data: np.ndarray, depth: int) -> np.ndarray:
-    """The rotations of ``data`` in the order of their first ``depth`` bytes, by prefix doubling."""
-    n = len(data)
-    wrapped = np.concatenate((data, np.resize(data, 8)))
-    rank = np.zeros(n, np.uint64)
-    for i in range(8):
-        rank = (rank << np.uint64(8)) | wrapped[i : i + n]
-    length = 8
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if length >= depth:
-            return order
-        sorted_rank = rank[order]
-        dense = np.empty(n, np.uint64)
-        dense[order] = np.cumsum(np.concatenate(([False], sorted_rank[1:] != sorted_rank[:-1]))).astype(np.uint64)
-        rank = (dense << np.uint64(32)) | dense[(np.arange(n) + length) % n]
-        length *= 2
 
+_ASKS = "bucket int, shard long, keys binary, counts binary"
+
+
+def _ask(window: int, gram: int, buckets: int):
+    """Rows sorted by shard -> for each bucket the shard's distinct minimisers and their occurrences (top bit: in several rows)."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs_of(batches, "shard"):
+            text, _, _, key = super_kmers(_texts(table), window, gram)
+            unique, counts, several, _ = _distinct(key, _numbers(table)[text], buckets)
+            bucket = (unique >> np.uint64(48)).astype(np.int64)
+            firsts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else _NONE
+            cuts = np.append(firsts, len(bucket))
+            low = np.ascontiguousarray(unique.view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+            held = (np.minimum(counts, 0x7FFF) | (several.astype(np.int64) << 15)).astype("<u2")
+            shard = np.full(len(firsts), table.column("shard")[0].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int32)), pa.array(shard), _binary(low, cuts), _binary(held, cuts)], names=["bucket", "shard", "keys", "counts"])
+
+    return ask
+
+
+def _flat(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column as one array, and each row's number of elements."""
+    rows = table.column(name).to_pylist()
+    data = np.frombuffer(b"".join(rows), kind)
+    return data, np.array([len(r) for r in rows], np.int64) // np.dtype(kind).itemsize
+
+
+def _answer(hot: int):
+    """Asks sorted by bucket -> for each shard a byte for each minimiser: 0 own, 1 shared, 2 shared and hot."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs_of(batches, "bucket"):
+            raw, sizes = _flat(table, "keys", "V6")
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :6] = raw.view(np.uint8).reshape(-1, 6)
+            held, _ = _flat(table, "counts", "<u2")
+            _, inverse, shards = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
+            total, several = np.zeros(len(shards), np.int64), shards > 1
+            np.add.at(total, inverse, held.astype(np.int64) & 0x7FFF)
+            several[inverse[held >> 15 == 1]] = True
+            status = (several.astype(np.uint8) + (several & (total > hot)))[inverse].astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([table.column("shard").combine_chunks(), table.column("bucket").combine_chunks(), _binary(status, np.concatenate(([0], np.cumsum(sizes))))], names=["shard", "bucket", "status"])
 
-def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleaves the transforms of ``shards`` in the order of ``depth`` bytes.
+    return answer
 
-    Returns for each place of the merged order its shard, its rotation there, and the number
-    of its block: the rotations whose first ``depth`` bytes are equal. A place starts a block in
-    round h if its common prefix with the place before is h - 1 bytes long.
+
+# --- transforms ---
+
+
+def sorted_suffixes(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts all suffixes of strings by (suffix up to its END, string), by prefix doubling.
+
+    String i is data[ends[i - 1]:ends[i]] and ends with END. Returns the positions in order, and
+    for each place whether its first ``window`` bytes differ from those of the place before (or
+    are cut off).
     """
-    sorted_rotations = [rotations(s, depth) for s in shards]
-    transform = np.concatenate([s[order - 1] for s, order in zip(shards, sorted_rotations, strict=True)])
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
-    block = np.zeros(len(interleave), np.int32)
-    merged = np.empty_like(transform)
-    for _ in range(depth):
-        merged[np.argsort(interleave, kind="stable")] = transform  # the k-th place of a shard has its k-th byte
-        order = np.argsort(merged, kind="stable")
-        interleave, first, inner = interleave[order], merged[order], block[order]
-        starts = (first[1:] != first[:-1]) | (inner[1:] != inner[:-1])
-        block[0] = 0
-        np.cumsum(starts, out=block[1:])
-    place = np.argsort(interleave, kind="stable")
-    rotation = np.empty(len(interleave), np.int64)
-    rotation[place] = np.concatenate(sorted_rotations)
-    return interleave, rotation, block
-
-
-def repeated_positions(data: np.ndarray, ends: np.ndarray, order: np.ndarray, window: int, shards: int = SHARDS) -> np.ndarray:
-    """Of strings in ``data`` (each ends with END, ``ends`` exclusive) the positions of windows that a string of smaller ``order`` has too."""
-    cuts = [0]
-    for k in range(1, shards):
-        cut = int(np.searchsorted(ends, len(data) * k // shards))
-        if 0 < cut < len(ends) and ends[cut - 1] > cuts[-1]:
-            cuts.append(int(ends[cut - 1]))
-    pieces = [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
-    shard, rotation, block = merge_transforms(pieces, window)
-    position = rotation + np.array(cuts)[shard]
-    string = np.searchsorted(ends, position, side="right")
-    real = ends[string] - 1 - position >= window
-    position, block, owner = position[real], block[real], order[string[real]]
-    if not len(position):
-        return position
-    firsts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    n = len(data)
+    bits = np.uint64(max(1, int(n).bit_length()))
+    low = np.uint64((1 << int(bits)) - 1)
+    lengths = np.diff(ends, prepend=0)
+    left = np.repeat(ends.astype(np.int32), lengths) - np.arange(n, dtype=np.int32)  # bytes up to and with END
+    width = (64 - int(bits)) // 8
+    key = np.zeros(n, np.uint64)
+    for d in range(width):
+        key <<= np.uint64(8)
+        key[: n - d] |= data[d:]
+    short = np.flatnonzero(left < width)
+    key[short] &= ~((np.uint64(1) << (8 * (width - left[short])).astype(np.uint64)) - np.uint64(1))
+    key = (key << bits) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & low).astype(np.int32)
+    key >>= bits
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    heads = np.flatnonzero(fresh)
+    rank = np.empty(n + 1, np.int32)
+    rank[n] = 0
+    rank[order] = np.repeat(heads + 1, np.diff(np.append(heads, n)))  # from 1; 0 is past the end
+    reached, known, length = 0, None, width
+    place = np.arange(n, dtype=np.int32)
+    while True:
+        if length <= window:
+            known, reached = rank.copy(), length
+        elif known is None:
+            raise ValueError("the window is shorter than the bytes of one key")
+        single = np.concatenate((fresh, [True]))
+        open_ = ~(single[:-1] & single[1:])
+        if not open_.any() or length > lengths.max():
+            break
+        order_, at = order[place[open_]], place[open_]
+        after = np.where(left[order_] > length, rank[np.minimum(order_ + length, n)], 0)
+        key = (rank[order_].astype(np.uint64) << bits) | after.astype(np.uint64)
+        if 3 * int(bits) <= 64:
+            key = (key << bits) | order_.astype(np.uint64)
+            key.sort()
+            order_ = (key & low).astype(np.int32)
+            key >>= bits
+        else:
+            by = np.lexsort((order_, key))
+            order_, key = order_[by], key[by]
+        order[at] = order_
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order_] = np.repeat(at[head] + 1, np.diff(np.append(np.flatnonzero(head), len(at))))
+        place, fresh = at, head
+        length *= 2
+    # equal prefixes of `window` bytes: equal ones of `reached` bytes at the place and at window - reached behind it
+    whole = left[order] > window
+    a, b = known[order], known[np.minimum(order + (window - reached), n)]
+    differs = np.ones(n, bool)
+    differs[1:] = ~(whole[1:] & whole[:-1] & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+    return order, differs
+
+
+def _late(blocks: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places that are not of the smallest owner of their block (blocks: where one starts)."""
+    if not len(blocks):
+        return np.empty(0, bool)
+    firsts = np.flatnonzero(blocks)
     least = np.minimum.reduceat(owner, firsts)
-    return np.sort(position[owner > np.repeat(least, np.diff(np.append(firsts, len(block))))])
-
-
-def _compare(window: int):
-    """Packed strings sorted by minimiser -> repeated windows of each, some whole buckets at a time."""
-
-    def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        strings = table.column("packed").to_pylist()
-        data = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
-        ends = np.cumsum([len(s) + 1 for s in strings])
-        at = repeated_positions(data, ends, table.column("ord").to_numpy(), window)
-        string = np.searchsorted(ends, at, side="right")
-        own, firsts = np.unique(string, return_index=True)
-        within = at - np.concatenate(([0], ends))[string]
-        windows = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(at)).astype(np.int32)), pa.array(within.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([*(pa.array(table.column(k).to_numpy()[own]) for k in KEYS), windows], names=[*KEYS, "windows"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in slices(batches, "packed", MERGE_BYTES // 4):
-            mini = batch.column("mini").to_numpy()
-            if size >= MERGE_BYTES:  # ends with the last whole bucket
-                last = held[-1].column("mini")[-1].as_py()
-                cut = int(np.searchsorted(mini, last, side="right"))
-                if cut < len(mini):
-                    if cut:
-                        held.append(batch.slice(0, cut))
-                    yield settle(held)
-                    held, size, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            size += batch.nbytes
-        if held:
-            yield settle(held)
-
-    return compare
-
-
-def _pack(window: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows: list[tuple] = []
-            for text, order, asked in zip(texts_of(batch), batch.column("ord").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                rows += [(a["mini"], a["c1"], order, text[a["start"] : a["start"] + a["count"] + window - 1]) for a in asked]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=[*KEYS, "ord", "packed"])
-
-    return pack
-
-
-def _hot_windows(window: int):
+    return owner > np.repeat(least, np.diff(np.append(firsts, len(blocks))))
+
+
+def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings data[start:start + length], END after each, one after the other; their ends."""
+    ends = np.cumsum(length + 1)
+    at = np.arange(ends[-1]) - np.repeat(ends - length - 1 - start, length + 1)
+    out = data[np.minimum(at, len(data) - 1)]
+    out[ends - 1] = END
+    return out, ends
+
+
+_TRANSFORMS = "bucket int, shard long, transform binary, row binary, start binary, ord binary, done binary"
+_MARKS = "shard long, row int, first int, count int"
+
+
+def _marked(string: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first, count) of the runs of windows among (string, offset)."""
+    if not len(string):
+        return _NONE, _NONE, _NONE
+    key = np.sort((string.astype(np.int64) << 32) | offset)
+    firsts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1] + 1)))
+    return key[firsts] >> 32, key[firsts] & 0xFFFFFFFF, np.diff(np.append(firsts, len(key)))
+
+
+class Strings:
+    """Strings of one shard: where they lie in its data and in their rows, and who has them."""
+
+    def __init__(self, bucket: np.ndarray, row: np.ndarray, at: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, hot: np.ndarray) -> None:
+        self.bucket, self.row, self.at, self.start, self.length, self.owner, self.hot = self.all = bucket, row, at, start, length, owner, hot
+
+    def pick(self, which: np.ndarray) -> Strings:
+        return Strings(*(x[which] for x in self.all))
+
+    def parts(self) -> Iterator[Strings]:
+        """Some strings of about ``SORT_BYTES`` at a time, sorted by bucket."""
+        ends, a = np.cumsum(self.length + 1), 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SORT_BYTES, side="right")))
+            yield self.pick(a + np.argsort(self.bucket[a:b], kind="stable"))
+            a = b
+
+
+def shard_transform(data: np.ndarray, own: Strings, shard: int, window: int, buckets: int) -> tuple[pa.RecordBatch, Strings]:
+    """The transforms of some strings cut by bucket, with what their order settles; and the windows of hot strings that it doesn't."""
+    strings, ends = _gather(data, own.at, own.length)
+    heads = ends - own.length - 1
+    order, differs = sorted_suffixes(strings, ends, window)
+    string = np.repeat(np.arange(len(ends), dtype=np.int32), own.length + 1)[order]
+    offset = order - heads[string]
+    real = own.length[string] - offset >= window
+    late = _late(differs, own.owner[string]) & real
+    gone = np.bincount(string[late], minlength=len(ends)) == own.length - window + 1
+    told = late & (gone | own.hot)[string]
+    s, first, count = _marked(string[told], offset[told])
+    done = np.column_stack((own.row[s], own.start[s] + first, count)).astype("<i4")
+    kept = ~gone & ~own.hot
+    of, stays = np.flatnonzero(kept), kept[string]
+    order, string_ = order[stays], string[stays]
+    # strings lie by bucket, so this puts the suffixes by bucket and leaves their order within
+    by = np.sort((own.bucket[string_].astype(np.uint64) << np.uint64(32)) | np.arange(len(order), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+    order, string_ = order[by.astype(np.int32)], string_[by.astype(np.int32)]
+    before = np.where(order == heads[string_], np.uint8(END), strings[order - 1])
+    numbers = np.unique(np.concatenate((own.bucket[of], own.bucket[s])))
+    limits = np.append(numbers, numbers[-1] + 1 if len(numbers) else 0)
+    cut = lambda bucket: np.searchsorted(bucket, limits)
+    columns = [
+        pa.array(numbers.astype(np.int32)),
+        pa.array(np.full(len(numbers), shard, np.int64)),
+        _binary(before, cut(own.bucket[string_])),
+        _binary(own.row[of].astype("<i4"), cut(own.bucket[of])),
+        _binary(own.start[of].astype("<i4"), cut(own.bucket[of])),
+        _binary(own.owner[of].astype("<i8"), cut(own.bucket[of])),
+        _binary(done.ravel(), 3 * cut(own.bucket[s])),
+    ]
+    rest = real & ~late & (own.hot & ~gone)[string]
+    s, offset = string[rest], offset[rest]
+    hashes = rolling(_SYMBOLS[strings], window, 0xD6E8FEB86659FD93)[heads[s] + offset] if len(s) else np.empty(0, np.uint64)
+    single = Strings(_bucket(hashes, buckets), own.row[s], own.at[s] + offset, own.start[s] + offset, np.full(len(s), window), own.owner[s], np.zeros(len(s), bool))
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "transform", "row", "start", "ord", "done"]), single
+
+
+def _transforms(window: int, gram: int, asks: int, buckets: int):
+    """Answers, then rows, of each shard -> its transforms."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for text, order, asked in zip(texts_of(batch), batch.column("ord").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                for a in asked:
-                    part = _SYMBOLS[np.frombuffer(text[a["start"] : a["start"] + a["count"] + window - 1], np.uint8)]
-                    hashes = [rolling(x, window, b).view(np.int64) for x, b in ((part, 0x9FB21C651E98DF25), (mixed(part), 0xD6E8FEB86659FD93))]
-                    ids = [np.full(a["count"], a[k]) for k in KEYS]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, *ids, np.full(a["count"], order), np.arange(a["count"], dtype=np.int32))], names=["w1", "w2", *KEYS, "ord", "at"])
+        for table in _runs_of(batches, "shard"):
+            shard, answers = table.column("shard")[0].as_py(), pa.compute.is_valid(table.column("status"))
+            told, rows = table.filter(answers), table.filter(pa.compute.invert(answers))
+            if not told.num_rows:
+                continue
+            texts, number, owner = _texts(rows), _numbers(rows), rows.column("ord").to_numpy()
+            text, start, count, key = super_kmers(texts, window, gram)
+            _, _, _, place = _distinct(key, number[text], asks)
+            by = np.argsort(told.column("bucket").to_numpy(), kind="stable")
+            statuses = told.column("status").to_pylist()
+            status = np.frombuffer(b"".join(statuses[i] for i in by.tolist()), np.uint8)[place]
+            chosen = np.flatnonzero(status)
+            if not len(chosen):
+                continue
+            text, start = text[chosen], start[chosen]
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            base = np.cumsum([0, *(len(t) for t in texts[:-1])])
+            mine = Strings(_bucket(key[chosen], buckets), number[text], base[text] + start, start, count[chosen] + window - 1, owner[text], status[chosen] == 2)
+            for part in mine.parts():
+                batch, single = shard_transform(data, part, shard, window, buckets)
+                yield batch
+                for more in single.parts():
+                    yield shard_transform(data, more, shard, window, buckets)[0]
 
     return emit
 
 
+# --- the merge ---
+
+
+def merge_transforms(transform: np.ndarray, sizes: np.ndarray, counts: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges shard transforms that lie one after the other; (string, offset) of each window that a smaller owner has too.
+
+    A shard's rows are its suffixes in order; the last ``counts`` of them are its strings' ENDs, in the order of the strings.
+    """
+    n = len(transform)
+    if not n:
+        return _NONE, _NONE
+    # the row of the suffix one byte longer: within a shard, rows by the byte before them
+    key = (np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(40)) | (transform.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    longer = np.empty(n, np.int32)
+    longer[(key & np.uint64(0xFFFFFFFF)).astype(np.int32)] = np.arange(n, dtype=np.int32)
+    # every string backwards from its END, all at once
+    string, back, length = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(len(owner), np.int32)
+    own = np.arange(len(owner), dtype=np.int32)
+    row = np.repeat(np.cumsum(sizes) - counts - (np.cumsum(counts) - counts), counts) + own
+    steps = 0
+    while len(row):
+        string[row], back[row] = own, steps
+        more = transform[row] != END
+        length[own[~more]] = steps
+        row, own = longer[row[more]], own[more]
+        steps += 1
+    # the interleave: places that have a whole window of their string before them
+    now = np.flatnonzero(length[string] - back >= window).astype(np.int32)
+    rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)[string]
+    block, read = np.zeros(len(now), np.int32), 0
+    while read < window and len(now):
+        bits = np.uint64(len(now).bit_length())
+        width = min(window - read, (64 - int(bits)) // 8)
+        symbol = np.zeros(len(now), np.uint64)
+        for k in range(width):
+            symbol |= transform[now].astype(np.uint64) << np.uint64(8 * k)
+            now = longer[now]
+        symbol = (symbol << bits) | np.arange(len(now), dtype=np.uint64)
+        symbol.sort()  # stable: the place is part of the key
+        by = (symbol & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+        symbol >>= bits
+        now, inner = now[by], block[by]
+        starts = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (inner[1:] != inner[:-1])))
+        block = np.cumsum(starts, dtype=np.int32)
+        read += width
+        if read >= window // 3:  # blocks of one owner hold no repeat, nor will what they refine to
+            firsts = np.flatnonzero(starts)
+            held = rank[now]
+            mixed_ = np.minimum.reduceat(held, firsts) != np.maximum.reduceat(held, firsts)
+            stay = mixed_[block - 1]
+            now, block, starts = now[stay], block[stay], starts[stay]
+    late = now[_late(starts, rank[now])] if len(now) else now
+    return string[late].astype(np.int64), (length[string[late]] - back[late]).astype(np.int64)
+
+
+def _merge(window: int):
+    """Transforms sorted by bucket -> the repeated windows of each row of each shard."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs_of(batches, "bucket"):
+            shard = table.column("shard").to_numpy()
+            (transform, sizes), (row, counts), (start, _), (owner, _), (done, told) = (_flat(table, *x) for x in (("transform", "u1"), ("row", "<i4"), ("start", "<i4"), ("ord", "<i8"), ("done", "<i4")))
+            s, first, count = _marked(*merge_transforms(transform, sizes, counts, owner, window))
+            done = done.reshape(-1, 3)
+            columns = (
+                np.concatenate((np.repeat(shard, told // 3), np.repeat(shard, counts)[s])),
+                *(np.concatenate((done[:, k], x)).astype(np.int32) for k, x in enumerate((row[s], start[s] + first, count))),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "row", "first", "count"])
+
+    return merge
+
+
 def _strip(window: int):
+    """Marks, then rows, of each shard -> its rows with what is kept of them."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), span)
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[tuple] = []
-            for text, marks in zip(texts_of(batch), batch.column("marks").to_pylist(), strict=True):
+        for table in _runs_of(batches, "shard"):
+            marks = pa.compute.is_valid(table.column("first"))
+            told, rows = table.filter(marks), table.filter(pa.compute.invert(marks))
+            row, first, count = (told.column(c).to_numpy() for c in ("row", "first", "count"))
+            by = np.argsort(row, kind="stable")
+            row, first, count = row[by], first[by], count[by]
+            out, size = [], 0
+            ids, number = rows.column("doc_id").to_pylist(), _numbers(rows)
+            for text, doc_id, a, b in zip(_texts(rows), ids, np.searchsorted(row, number).tolist(), np.searchsorted(row, number, side="right").tolist(), strict=True):
                 kept, spans = text, []
-                if marks:
-                    gone = covered(marks, len(text), window)
+                if a < b:
+                    edge = np.zeros(len(text) + 1, np.int32)
+                    np.add.at(edge, first[a:b], 1)
+                    np.add.at(edge, first[a:b] + count[a:b] + window - 1, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
                     spans = list(zip(*(x.tolist() for x in runs(gone)), strict=True))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in spans]))
-            columns = list(zip(*out, strict=True))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), span)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                out.append((doc_id, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in spans]))
+                size += len(kept)
+                if size > PIECE or len(out) >= 2000:
+                    yield _batch(out, kinds)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, kinds)
 
     return strip
 
 
+def _batch(out: list[tuple], kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *kinds), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+
+
+def _grouped(frame: DataFrame, run: Callable, schema: str, key: str, *order: str) -> DataFrame:
+    return frame.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def drop_repeated_bytes(documents: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """documents(doc_id, text) -> byte counts, removed byte spans, and the bytes kept with their SHA-256."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "bytes")
-    rows = keyed(documents).withColumn("okey", F.coalesce("doc_id", F.xxhash64("text")))
-    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = min(60_000, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
-    sent = rows.select("okey", "text").mapInArrow(_send_minimisers(window, gram, buckets), _BLOBS)
-    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "okey long, at array<int>")
-    shared = scratch.keep(shared.groupBy("okey").agg(F.flatten(F.collect_list("at")).alias("at")), "shared")
-    found = rows.join(shared, "okey").select("ord", "tkey", "text", "at").mapInArrow(_shared_occurrences(window, gram), "mini long, c1 long, ord long, tkey long, start int, count int")
-    found = scratch.keep(found, "occurrences")
-    scratch.drop(shared)
-    marks = repeated_windows(rows, found, scratch, window, _pack, _compare(window), _hot_windows, hot)
+    scratch = Scratch(documents.sparkSession, "bytes")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards, asks, buckets = (size // b + 1 for b in (SHARD_BYTES, ASK_BYTES, MERGE_BYTES))
+    rows = documents.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(NO_ID)).alias("ord"), F.xxhash64(text).alias("tkey"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("ord", "tkey"), F.lit(shards)))
+    told = _grouped(rows.select("shard", "ord", "tkey", "text"), _ask(window, gram, asks), _ASKS, "shard", "ord", "tkey")
+    answers = scratch.keep(_grouped(told, _answer(hot), "shard long, bucket int, status binary", "bucket"), "answers")
+    asked = answers.unionByName(rows.select("shard", "ord", "tkey", "text"), allowMissingColumns=True)
+    made = _grouped(asked, _transforms(window, gram, asks, buckets), _TRANSFORMS, "shard", "ord", "tkey")
+    marks = scratch.keep(_grouped(made, _merge(window), _MARKS, "bucket"), "marks")
+    scratch.drop(answers)
+    every = marks.unionByName(rows, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>"
-    return rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "marks").mapInArrow(_strip(window), schema)
+    return _grouped(every, _strip(window), schema, "shard", "ord", "tkey")

@@ -16,7 +16,7 @@ from foliospark.llm.decontaminate import drop_contaminated, find_contamination
 from foliospark.llm.fingerprints import fingerprint_edits
 from foliospark.llm.simhash import drop_near_duplicates, fingerprints, forest, near_duplicates
 from foliospark.llm.substrings import drop_repeated_windows
-from foliospark.llm.suffixes import drop_repeated_bytes, merge_transforms, repeated_positions, rotations
+from foliospark.llm.suffixes import drop_repeated_bytes, merge_transforms, sorted_suffixes
 
 
 def corpus(seed=3, n=40):
@@ -69,26 +69,57 @@ def test_byte_windows(spark, docs, hot):
     assert sorted(map(str, (tuple(r[:5]) for r in got))) == sorted(map(str, want))
 
 
-def test_many_buckets_merge(monkeypatch, spark, docs):
-    monkeypatch.setattr(suffixes, "MERGE_BYTES", 400)
-    test_byte_windows(spark, docs, 1000)
+def test_byte_windows_in_many_small_shards(monkeypatch, spark, docs):
+    for name, value in (("SHARD_BYTES", 300), ("MERGE_BYTES", 200), ("ASK_BYTES", 500), ("SORT_BYTES", 400), ("PIECE", 90)):
+        monkeypatch.setattr(suffixes, name, value)
+    test_byte_windows(spark, docs, 2)
+    test_byte_windows(spark, docs, 20_000)
 
 
-def test_merged_transforms_are_sorted():
-    rng = np.random.default_rng(1)
-    shards = [np.append(rng.integers(97, 99, n), 255).astype(np.uint8) for n in (40, 1, 90)]
-    shard, rotation, block = merge_transforms(shards, 6)
-    keys = [bytes(np.resize(np.roll(shards[s], -r), 6)) for s, r in zip(shard, rotation)]
-    assert keys == sorted(keys)
-    assert [a == b for a, b in zip(keys, keys[1:])] == [a == b for a, b in zip(block, block[1:])]
-    assert sorted(map(bytes, [np.resize(np.roll(shards[2], -r), 64) for r in rotations(shards[2], 64)])) == [bytes(np.resize(np.roll(shards[2], -r), 64)) for r in rotations(shards[2], 64)]
+def strings_with_owners(rng, window):
+    strings = [bytes(rng.integers(97, 99, rng.integers(window, 2 * window + 3)).astype(np.uint8)) for _ in range(rng.integers(3, 30))]
+    return strings, rng.integers(0, 12, len(strings))
 
 
-def test_repeated_positions_by_hand():
-    strings = [b"abcdefgh", b"xxabcdeyy", b"abcde"]
+def shard_of(strings):
     data = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
-    ends = np.cumsum([len(s) + 1 for s in strings])
-    assert repeated_positions(data, ends, np.array([2, 1, 3]), 5).tolist() == [0, 19]
+    return data, np.cumsum([len(s) + 1 for s in strings])
+
+
+def test_suffixes_are_sorted():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        strings, _ = strings_with_owners(rng, 8)
+        data, ends = shard_of(strings)
+        order, differs = sorted_suffixes(data, ends, 8)
+        string = np.searchsorted(ends, order, side="right")
+        keys = [(data[o : ends[k]].tobytes(), k) for o, k in zip(order, string)]
+        assert keys == sorted(keys)
+        same = [len(x) > 8 and len(y) > 8 and x[:8] == y[:8] for (x, _), (y, _) in zip(keys, keys[1:])]
+        assert (~differs[1:]).tolist() == same
+
+
+def test_merged_transforms_find_every_repeat():
+    rng = np.random.default_rng(2)
+    for window in (8, 13, 21):
+        for _ in range(40):
+            strings, owner = strings_with_owners(rng, window)
+            transforms, sizes, counts = [], [], []
+            for part in np.array_split(np.arange(len(strings)), 3):
+                data, ends = shard_of([strings[k] for k in part])
+                order, _ = sorted_suffixes(data, ends, window)
+                string = np.searchsorted(ends, order, side="right")
+                heads = np.concatenate(([0], ends[:-1]))
+                transforms.append(np.where(order == heads[string], 255, data[order - 1]).astype(np.uint8))
+                sizes.append(len(data))
+                counts.append(len(part))
+            found = merge_transforms(np.concatenate(transforms), np.array(sizes), np.array(counts), owner, window)
+            first = {}
+            for s, o in zip(strings, owner):
+                for i in range(len(s) - window + 1):
+                    first[s[i : i + window]] = min(first.get(s[i : i + window], o), o)
+            wanted = [(k, i) for k, (s, o) in enumerate(zip(strings, owner)) for i in range(len(s) - window + 1) if first[s[i : i + window]] < o]
+            assert sorted(zip(*(x.tolist() for x in found))) == wanted
 
 
 def simhash(text):
