@@ -21,6 +21,9 @@ SLICE_BYTES = 2 << 20
 #: Entries that a worker keeps in a word cache before it starts anew.
 CACHE_WORDS = 400_000
 
+#: Spark's setting by which a query removes its shuffle files once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,10 +45,15 @@ class Scratch:
         self.count = 0
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        """Writes ``frame`` and reads it again; the shuffle files of its plan go when the write ends."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        frame.write.mode("overwrite").parquet(path)
-        self.spark._jvm.System.gc()  # shuffle files of the plan just written go once the driver drops it
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._scratch_path = path
         return kept

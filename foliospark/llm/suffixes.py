@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import Scratch, inside, mixed, rolling, runs, sliding_min, texts_of
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 16
 #: A byte that UTF-8 never has ends each indexed string.
 END = 0xFF
 NO_ID = (1 << 63) - 1
@@ -208,63 +208,66 @@ def sorted_suffixes(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np
     """Sorts all suffixes of strings by (suffix up to its END, string), by prefix doubling.
 
     String i is data[ends[i - 1]:ends[i]] and ends with END. Returns the positions in order, and
-    for each place whether its first ``window`` bytes differ from those of the place before (or
-    are cut off).
+    the places (from 1) whose first ``window`` bytes equal those of the place before.
     """
     n = len(data)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = np.uint64((1 << int(bits)) - 1)
-    lengths = np.diff(ends, prepend=0)
-    left = np.repeat(ends.astype(np.int32), lengths) - np.arange(n, dtype=np.int32)  # bytes up to and with END
-    width = (64 - int(bits)) // 8
-    key = np.zeros(n, np.uint64)
-    for d in range(width):
-        key <<= np.uint64(8)
-        key[: n - d] |= data[d:]
-    short = np.flatnonzero(left < width)
-    key[short] &= ~((np.uint64(1) << (8 * (width - left[short])).astype(np.uint64)) - np.uint64(1))
-    key = (key << bits) | np.arange(n, dtype=np.uint64)
+    left = np.repeat(ends.astype(np.int32), np.diff(ends, prepend=0)) - np.arange(n, dtype=np.int32)  # bytes up to and with END
+    length = min(window, (64 - int(bits)) // 8)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)  # the next eight bytes of each position
+    key >>= np.uint64(64 - 8 * length)
+    short = np.flatnonzero(left < length)
+    key[short] &= ~((np.uint64(1) << (8 * (length - left[short])).astype(np.uint64)) - np.uint64(1))
+    key <<= bits
+    key |= np.arange(n, dtype=np.uint64)
     key.sort()
     order = (key & low).astype(np.int32)
     key >>= bits
-    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    fresh = np.empty(n + 1, bool)
+    fresh[0] = fresh[n] = True
+    np.not_equal(key[1:], key[:-1], out=fresh[1:n])
     heads = np.flatnonzero(fresh)
-    rank = np.empty(n + 1, np.int32)
-    rank[n] = 0
-    rank[order] = np.repeat(heads + 1, np.diff(np.append(heads, n)))  # from 1; 0 is past the end
-    reached, known, length = 0, None, width
+    rank = np.empty(n, np.int32)  # the place of the first one that is equal so far
+    rank[order] = np.repeat(heads[:-1].astype(np.int32), np.diff(heads))
     place = np.arange(n, dtype=np.int32)
+    alike, known, reached = place[:0], rank, length
     while True:
-        if length <= window:
-            known, reached = rank.copy(), length
-        elif known is None:
-            raise ValueError("the window is shorter than the bytes of one key")
-        single = np.concatenate((fresh, [True]))
-        open_ = ~(single[:-1] & single[1:])
-        if not open_.any() or length > lengths.max():
+        open_ = ~(fresh[:-1] & fresh[1:])
+        if length <= window:  # equal in this many bytes; looked at more closely at the end
+            known, reached, alike = (rank.copy() if 2 * length > window else rank), length, place[open_ & ~fresh[:-1]]
+        place = place[open_]
+        own = order[place]
+        more = left[own] > length  # others are equal up to their ENDs, and stay in the order of their strings
+        place, own = place[more], own[more]
+        if not len(place):
             break
-        order_, at = order[place[open_]], place[open_]
-        after = np.where(left[order_] > length, rank[np.minimum(order_ + length, n)], 0)
-        key = (rank[order_].astype(np.uint64) << bits) | after.astype(np.uint64)
+        key = rank[own].astype(np.uint64)
+        key <<= bits
+        key |= rank[own + length].astype(np.uint64)
         if 3 * int(bits) <= 64:
-            key = (key << bits) | order_.astype(np.uint64)
+            key <<= bits
+            key |= own.astype(np.uint64)
             key.sort()
-            order_ = (key & low).astype(np.int32)
+            own = (key & low).astype(np.int32)
             key >>= bits
         else:
-            by = np.lexsort((order_, key))
-            order_, key = order_[by], key[by]
-        order[at] = order_
-        head = np.concatenate(([True], key[1:] != key[:-1]))
-        rank[order_] = np.repeat(at[head] + 1, np.diff(np.append(np.flatnonzero(head), len(at))))
-        place, fresh = at, head
+            by = np.lexsort((own, key))
+            own, key = own[by], key[by]
+        order[place] = own
+        fresh = np.empty(len(place) + 1, bool)
+        fresh[0] = fresh[-1] = True
+        np.not_equal(key[1:], key[:-1], out=fresh[1:-1])
+        heads = np.flatnonzero(fresh)
+        rank[own] = np.repeat(place[heads[:-1]], np.diff(heads))
         length *= 2
     # equal prefixes of `window` bytes: equal ones of `reached` bytes at the place and at window - reached behind it
-    whole = left[order] > window
-    a, b = known[order], known[np.minimum(order + (window - reached), n)]
-    differs = np.ones(n, bool)
-    differs[1:] = ~(whole[1:] & whole[:-1] & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
-    return order, differs
+    a, b = order[alike], order[alike - 1]
+    whole = (left[a] > window) & (left[b] > window)
+    alike, a, b = alike[whole], a[whole], b[whole]
+    same = (known[a] == known[b]) & (known[a + (window - reached)] == known[b + (window - reached)])
+    return order, np.sort(alike[same])
 
 
 def _late(blocks: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -320,36 +323,48 @@ def shard_transform(data: np.ndarray, own: Strings, shard: int, window: int, buc
     """The transforms of some strings cut by bucket, with what their order settles; and the windows of hot strings that it doesn't."""
     strings, ends = _gather(data, own.at, own.length)
     heads = ends - own.length - 1
-    order, differs = sorted_suffixes(strings, ends, window)
-    string = np.repeat(np.arange(len(ends), dtype=np.int32), own.length + 1)[order]
-    offset = order - heads[string]
-    real = own.length[string] - offset >= window
-    late = _late(differs, own.owner[string]) & real
-    gone = np.bincount(string[late], minlength=len(ends)) == own.length - window + 1
-    told = late & (gone | own.hot)[string]
-    s, first, count = _marked(string[told], offset[told])
+    order, alike = sorted_suffixes(strings, ends, window)
+    held = np.unique(np.concatenate((alike - 1, alike)))  # the places of windows that repeat in these strings
+    blocks = ~np.isin(held, alike, assume_unique=True)
+    string = np.searchsorted(ends, order[held], side="right")
+    late = _late(blocks, own.owner[string])
+    string, offset_late = string[late], (order[held] - heads[string])[late]
+    gone = np.bincount(string, minlength=len(ends)) == own.length - window + 1
+    told = (gone | own.hot)[string]
+    s, first, count = _marked(string[told], offset_late[told])
     done = np.column_stack((own.row[s], own.start[s] + first, count)).astype("<i4")
     kept = ~gone & ~own.hot
-    of, stays = np.flatnonzero(kept), kept[string]
-    order, string_ = order[stays], string[stays]
+    of = np.flatnonzero(kept)
+    before = np.empty_like(strings)
+    before[1:] = strings[:-1]
+    before[heads] = END
+    if len(of) < len(ends):
+        order = order[np.repeat(kept, own.length + 1)[order]]
     # strings lie by bucket, so this puts the suffixes by bucket and leaves their order within
-    by = np.sort((own.bucket[string_].astype(np.uint64) << np.uint64(32)) | np.arange(len(order), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
-    order, string_ = order[by.astype(np.int32)], string_[by.astype(np.int32)]
-    before = np.where(order == heads[string_], np.uint8(END), strings[order - 1])
+    bucket = np.repeat(np.cumsum(np.diff(own.bucket, prepend=own.bucket[0]) != 0), own.length + 1).astype(np.uint64)[order]
+    bucket <<= np.uint64(32)
+    bucket |= np.arange(len(order), dtype=np.uint64)
+    bucket.sort()
+    before = before[order[(bucket & np.uint64(0xFFFFFFFF)).astype(np.int32)]]
+    bytes_of = np.bincount(own.bucket[of] - own.bucket[0], weights=own.length[of] + 1, minlength=1).astype(np.int64)
     numbers = np.unique(np.concatenate((own.bucket[of], own.bucket[s])))
-    limits = np.append(numbers, numbers[-1] + 1 if len(numbers) else 0)
+    limits = np.append(numbers, numbers[-1] + 1) if len(numbers) else own.bucket[:1]
+    bytes_of = np.append(bytes_of, np.zeros(max(0, limits[-1] - own.bucket[0] - len(bytes_of)), np.int64))
     cut = lambda bucket: np.searchsorted(bucket, limits)
     columns = [
         pa.array(numbers.astype(np.int32)),
         pa.array(np.full(len(numbers), shard, np.int64)),
-        _binary(before, cut(own.bucket[string_])),
+        _binary(before, np.concatenate(([0], np.cumsum(bytes_of)))[limits - own.bucket[0]]),
         _binary(own.row[of].astype("<i4"), cut(own.bucket[of])),
         _binary(own.start[of].astype("<i4"), cut(own.bucket[of])),
         _binary(own.owner[of].astype("<i8"), cut(own.bucket[of])),
         _binary(done.ravel(), 3 * cut(own.bucket[s])),
     ]
-    rest = real & ~late & (own.hot & ~gone)[string]
-    s, offset = string[rest], offset[rest]
+    cut_up = np.flatnonzero(own.hot & ~gone)
+    s = np.repeat(cut_up, own.length[cut_up] - window + 1)
+    offset = np.concatenate([np.arange(x) for x in own.length[cut_up] - window + 1]) if len(s) else s
+    rest = ~np.isin(heads[s] + offset, (heads[string] + offset_late)[(own.hot & ~gone)[string]]) if len(s) else np.empty(0, bool)
+    s, offset = s[rest], offset[rest]
     hashes = rolling(_SYMBOLS[strings], window, 0xD6E8FEB86659FD93)[heads[s] + offset] if len(s) else np.empty(0, np.uint64)
     single = Strings(_bucket(hashes, buckets), own.row[s], own.at[s] + offset, own.start[s] + offset, np.full(len(s), window), own.owner[s], np.zeros(len(s), bool))
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "transform", "row", "start", "ord", "done"]), single
@@ -416,28 +431,32 @@ def merge_transforms(transform: np.ndarray, sizes: np.ndarray, counts: np.ndarra
     # the interleave: places that have a whole window of their string before them
     now = np.flatnonzero(length[string] - back >= window).astype(np.int32)
     rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)[string]
-    block, read = np.zeros(len(now), np.int32), 0
-    while read < window and len(now):
-        bits = np.uint64(len(now).bit_length())
-        width = min(window - read, (64 - int(bits)) // 8)
-        symbol = np.zeros(len(now), np.uint64)
-        for k in range(width):
-            symbol |= transform[now].astype(np.uint64) << np.uint64(8 * k)
-            now = longer[now]
-        symbol = (symbol << bits) | np.arange(len(now), dtype=np.uint64)
-        symbol.sort()  # stable: the place is part of the key
-        by = (symbol & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
-        symbol >>= bits
-        now, inner = now[by], block[by]
-        starts = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (inner[1:] != inner[:-1])))
-        block = np.cumsum(starts, dtype=np.int32)
-        read += width
-        if read >= window // 3:  # blocks of one owner hold no repeat, nor will what they refine to
+    # the bytes before a place, one, two or four at a time, and where they lead
+    two = transform.astype(np.uint32) | transform[longer].astype(np.uint32) << np.uint32(8)
+    longer2 = longer[longer]
+    four, longer4 = two | two[longer2] << np.uint32(16), longer2[longer2]
+    widths = [(w, x, y) for w, x, y in ((4, four, longer4), (2, two, longer2), (1, transform, longer)) for _ in range((window if w == 4 else window % (2 * w)) // w)]
+    block, starts = np.zeros(len(now), np.int32), np.zeros(len(now), bool)
+    for k, (_, symbols, leads) in enumerate(widths):
+        if not len(now):
+            break
+        symbol = symbols[now].astype(np.uint64)
+        symbol <<= np.uint64(32)
+        symbol |= np.arange(len(now), dtype=np.uint64)  # the place is part of the key: a stable sort
+        symbol.sort()
+        by = (symbol & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        symbol >>= np.uint64(32)
+        now, block = leads[now[by]], block[by]
+        starts = np.empty(len(now), bool)
+        starts[0] = True
+        starts[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        if k % 3 == 2:  # blocks of one owner hold no repeat, nor will what they refine to
             firsts = np.flatnonzero(starts)
             held = rank[now]
-            mixed_ = np.minimum.reduceat(held, firsts) != np.maximum.reduceat(held, firsts)
-            stay = mixed_[block - 1]
-            now, block, starts = now[stay], block[stay], starts[stay]
+            several = np.minimum.reduceat(held, firsts) != np.maximum.reduceat(held, firsts)
+            stay = np.repeat(several, np.diff(np.append(firsts, len(now))))
+            now, starts = now[stay], starts[stay]
+        block = np.cumsum(starts, dtype=np.int32)
     late = now[_late(starts, rank[now])] if len(now) else now
     return string[late].astype(np.int64), (length[string[late]] - back[late]).astype(np.int64)
 
