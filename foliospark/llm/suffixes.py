@@ -45,10 +45,12 @@ WINDOW, GRAM = 50, 16
 #: A byte that UTF-8 never has ends each indexed string.
 END = 0xFF
 NO_ID = (1 << 63) - 1
-#: Bytes of text in a shard, and of indexed strings that are sorted together (below 2 ** 21).
-SHARD_BYTES, SORT_BYTES = 3 << 20, 1 << 19
+#: Bytes of text in a shard, and bytes of strings that go into transforms together (below 2 ** 22).
+SHARD_BYTES, SORT_BYTES = 3 << 20, 2 << 20
 #: Bytes of text for each bucket of minimisers, and for each bucket of strings.
-ASK_BYTES, MERGE_BYTES = 16 << 20, 1 << 20
+ASK_BYTES, MERGE_BYTES = 16 << 20, 2 << 20
+#: A shard sends its transforms in ``PARTS`` rows, each of one or more buckets; one more set for every ``PARTS_BYTES`` of text.
+PARTS, PARTS_BYTES = 1024, 64 << 30
 #: Bytes of a text that are read at a time.
 PIECE = 1 << 20
 HOT = 20_000
@@ -288,7 +290,7 @@ def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
     return out, ends
 
 
-_TRANSFORMS = "bucket int, shard long, transform binary, row binary, start binary, ord binary, done binary"
+_TRANSFORMS = "part int, shard long, transform binary, pieces binary, row binary, start binary, tail binary, ord binary, done binary"
 _MARKS = "shard long, row int, first int, count int"
 
 
@@ -302,75 +304,102 @@ def _marked(string: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Strings:
-    """Strings of one shard: where they lie in its data and in their rows, and who has them."""
+    """Strings of one shard: bucket, number of the row, where the row's text lies in the data, start there, windows, owner, whether the minimiser is hot."""
 
-    def __init__(self, bucket: np.ndarray, row: np.ndarray, at: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, hot: np.ndarray) -> None:
-        self.bucket, self.row, self.at, self.start, self.length, self.owner, self.hot = self.all = bucket, row, at, start, length, owner, hot
+    def __init__(self, bucket: np.ndarray, row: np.ndarray, base: np.ndarray, start: np.ndarray, count: np.ndarray, owner: np.ndarray, hot: np.ndarray) -> None:
+        self.bucket, self.row, self.base, self.start, self.count, self.owner, self.hot = self.all = bucket, row, base, start, count, owner, hot
 
-    def pick(self, which: np.ndarray) -> Strings:
+    def pick(self, which: np.ndarray | slice) -> Strings:
         return Strings(*(x[which] for x in self.all))
 
-    def parts(self) -> Iterator[Strings]:
-        """Some strings of about ``SORT_BYTES`` at a time, sorted by bucket."""
-        ends, a = np.cumsum(self.length + 1), 0
+    def parts(self, window: int) -> Iterator[Strings]:
+        """Some consecutive strings at a time, of about ``SORT_BYTES``."""
+        ends, a = np.cumsum(self.count + window), 0
         while a < len(ends):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SORT_BYTES, side="right")))
-            yield self.pick(a + np.argsort(self.bucket[a:b], kind="stable"))
+            yield self.pick(slice(a, b))
             a = b
 
+    def breaks(self) -> np.ndarray:
+        """Whether a string starts a stretch: it isn't of the row before, or its windows don't follow."""
+        at = self.base + self.start
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (at[1:] != at[:-1] + self.count[:-1]) | (self.base[1:] != self.base[:-1]) | (self.row[1:] != self.row[:-1])
+        return fresh
 
-def shard_transform(data: np.ndarray, own: Strings, shard: int, window: int, buckets: int) -> tuple[pa.RecordBatch, Strings]:
-    """The transforms of some strings cut by bucket, with what their order settles; and the windows of hot strings that it doesn't."""
-    strings, ends = _gather(data, own.at, own.length)
-    heads = ends - own.length - 1
-    order, alike = sorted_suffixes(strings, ends, window)
-    held = np.unique(np.concatenate((alike - 1, alike)))  # the places of windows that repeat in these strings
-    blocks = ~np.isin(held, alike, assume_unique=True)
-    string = np.searchsorted(ends, order[held], side="right")
-    late = _late(blocks, own.owner[string])
-    string, offset_late = string[late], (order[held] - heads[string])[late]
-    gone = np.bincount(string, minlength=len(ends)) == own.length - window + 1
+
+def shard_transform(data: np.ndarray, own: Strings, shard: int, window: int, buckets: int, each: int) -> tuple[pa.RecordBatch, Strings]:
+    """The transforms of some strings cut by bucket, with what their order settles; and the windows of hot strings that it doesn't.
+
+    Strings that follow one another in a row overlap, so their stretch is sorted once. The
+    suffixes of a string are put in the order of the stretch's suffixes, which is an order that
+    prepending a byte keeps, as a transform needs.
+    """
+    fresh = own.breaks()
+    firsts = np.flatnonzero(fresh)
+    stretch = np.cumsum(fresh) - 1
+    length = np.add.reduceat(own.count, firsts) + window - 1
+    text, ends = _gather(data, (own.base + own.start)[firsts], length)
+    at = (ends - length - 1)[stretch] + own.start - own.start[firsts][stretch]  # where each string starts in the sorted text
+    order, alike = sorted_suffixes(text, ends, window)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    # windows that a smaller row of this part has too
+    held = np.unique(np.concatenate((alike - 1, alike)))
+    where = order[held]
+    string = np.searchsorted(at, where, side="right") - 1
+    late = _late(~np.isin(held, alike, assume_unique=True), own.owner[string])
+    where, string = where[late], string[late]
+    gone = np.bincount(string, minlength=len(at)) == own.count
     told = (gone | own.hot)[string]
-    s, first, count = _marked(string[told], offset_late[told])
+    s, first, count = _marked(string[told], (where - at[string])[told])
     done = np.column_stack((own.row[s], own.start[s] + first, count)).astype("<i4")
-    kept = ~gone & ~own.hot
-    of = np.flatnonzero(kept)
-    before = np.empty_like(strings)
-    before[1:] = strings[:-1]
-    before[heads] = END
-    if len(of) < len(ends):
-        order = order[np.repeat(kept, own.length + 1)[order]]
-    # strings lie by bucket, so this puts the suffixes by bucket and leaves their order within
-    bucket = np.repeat(np.cumsum(np.diff(own.bucket, prepend=own.bucket[0]) != 0), own.length + 1).astype(np.uint64)[order]
-    bucket <<= np.uint64(32)
-    bucket |= np.arange(len(order), dtype=np.uint64)
-    bucket.sort()
-    before = before[order[(bucket & np.uint64(0xFFFFFFFF)).astype(np.int32)]]
-    bytes_of = np.bincount(own.bucket[of] - own.bucket[0], weights=own.length[of] + 1, minlength=1).astype(np.int64)
-    numbers = np.unique(np.concatenate((own.bucket[of], own.bucket[s])))
-    limits = np.append(numbers, numbers[-1] + 1) if len(numbers) else own.bucket[:1]
-    bytes_of = np.append(bytes_of, np.zeros(max(0, limits[-1] - own.bucket[0] - len(bytes_of)), np.int64))
-    cut = lambda bucket: np.searchsorted(bucket, limits)
+    # rows of the strings that are left, in the order of (bucket, suffix, string)
+    by = np.flatnonzero(~gone & ~own.hot)
+    by = by[np.argsort(own.bucket[by], kind="stable")]
+    bucket, size = own.bucket[by], own.count[by] + window
+    numbers, of = np.unique(bucket, return_inverse=True)
+    stops = np.cumsum(size)
+    place = np.arange(stops[-1] if len(by) else 0) + np.repeat(at[by] - (stops - size), size)
+    before = np.empty_like(text)
+    before[1:] = text[:-1]
+    before = before[place]
+    before[stops - size] = END
+    key = np.repeat(of.astype(np.uint64) << np.uint64(44), size)
+    key |= rank[place].astype(np.uint64) << np.uint64(22)
+    key |= np.arange(len(place), dtype=np.uint64)
+    key.sort()
+    key &= np.uint64((1 << 22) - 1)
+    shuffled = key.astype(np.int32)
+    turn = np.empty(len(shuffled), np.int32)
+    turn[shuffled] = np.arange(len(shuffled), dtype=np.int32)
+    heads = np.concatenate(([0], stops))[np.searchsorted(of, np.arange(len(numbers)))]
+    tail = turn[stops - 1] - heads[of]  # the row of each string's end, in its piece
+    parts = np.unique(np.concatenate((numbers, own.bucket[s])) // each)
+    cut = lambda part: np.searchsorted(part, np.append(parts, parts[-1] + 1) if len(parts) else [0])
+    limits, rows = cut(numbers // each), cut(bucket // each)
+    pieces = np.column_stack((numbers % each, np.diff(np.append(heads, len(place))), np.bincount(of, minlength=len(numbers)))).astype("<i4")
+    bytes_ = np.append(heads, len(place))[limits]
+    settled = np.argsort(own.bucket[s] // each, kind="stable")
     columns = [
-        pa.array(numbers.astype(np.int32)),
-        pa.array(np.full(len(numbers), shard, np.int64)),
-        _binary(before, np.concatenate(([0], np.cumsum(bytes_of)))[limits - own.bucket[0]]),
-        _binary(own.row[of].astype("<i4"), cut(own.bucket[of])),
-        _binary(own.start[of].astype("<i4"), cut(own.bucket[of])),
-        _binary(own.owner[of].astype("<i8"), cut(own.bucket[of])),
-        _binary(done.ravel(), 3 * cut(own.bucket[s])),
+        pa.array(parts.astype(np.int32)),
+        pa.array(np.full(len(parts), shard, np.int64)),
+        _binary(before[shuffled], bytes_),
+        _binary(pieces.ravel(), 3 * limits),
+        *(_binary(x.astype(kind), rows) for x, kind in ((own.row[by], "<i4"), (own.start[by], "<i4"), (tail, "<i4"), (own.owner[by], "<i8"))),
+        _binary(done[settled].ravel(), 3 * cut((own.bucket[s] // each)[settled])),
     ]
     cut_up = np.flatnonzero(own.hot & ~gone)
-    s = np.repeat(cut_up, own.length[cut_up] - window + 1)
-    offset = np.concatenate([np.arange(x) for x in own.length[cut_up] - window + 1]) if len(s) else s
-    rest = ~np.isin(heads[s] + offset, (heads[string] + offset_late)[(own.hot & ~gone)[string]]) if len(s) else np.empty(0, bool)
-    s, offset = s[rest], offset[rest]
-    hashes = rolling(_SYMBOLS[strings], window, 0xD6E8FEB86659FD93)[heads[s] + offset] if len(s) else np.empty(0, np.uint64)
-    single = Strings(_bucket(hashes, buckets), own.row[s], own.at[s] + offset, own.start[s] + offset, np.full(len(s), window), own.owner[s], np.zeros(len(s), bool))
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "transform", "row", "start", "ord", "done"]), single
+    s = np.repeat(cut_up, own.count[cut_up])
+    step = np.arange(len(s)) - np.repeat(np.cumsum(own.count[cut_up]) - own.count[cut_up], own.count[cut_up])
+    rest = ~np.isin(at[s] + step, where)
+    s, step = s[rest], step[rest]
+    hashes = rolling(_SYMBOLS[text], window, 0xD6E8FEB86659FD93)[at[s] + step] if len(s) else np.empty(0, np.uint64)
+    single = Strings(_bucket(hashes, buckets), own.row[s], own.base[s], own.start[s] + step, np.ones(len(s), np.int64), own.owner[s], np.zeros(len(s), bool))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "transform", "pieces", "row", "start", "tail", "ord", "done"]), single
 
 
-def _transforms(window: int, gram: int, asks: int, buckets: int):
+def _transforms(window: int, gram: int, asks: int, buckets: int, each: int):
     """Answers, then rows, of each shard -> its transforms."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,15 +417,15 @@ def _transforms(window: int, gram: int, asks: int, buckets: int):
             chosen = np.flatnonzero(status)
             if not len(chosen):
                 continue
-            text, start = text[chosen], start[chosen]
+            text = text[chosen]
             data = np.frombuffer(b"".join(texts), np.uint8)
             base = np.cumsum([0, *(len(t) for t in texts[:-1])])
-            mine = Strings(_bucket(key[chosen], buckets), number[text], base[text] + start, start, count[chosen] + window - 1, owner[text], status[chosen] == 2)
-            for part in mine.parts():
-                batch, single = shard_transform(data, part, shard, window, buckets)
+            mine = Strings(_bucket(key[chosen], buckets), number[text], base[text], start[chosen], count[chosen], owner[text], status[chosen] == 2)
+            for part in mine.parts(window):
+                batch, single = shard_transform(data, part, shard, window, buckets, each)
                 yield batch
-                for more in single.parts():
-                    yield shard_transform(data, more, shard, window, buckets)[0]
+                for k in range(0, len(single.row), SORT_BYTES // (2 * window)):  # each window alone, so that no two share a bucket unless they are equal
+                    yield shard_transform(data, single.pick(slice(k, k + SORT_BYTES // (2 * window))), shard, window, buckets, each)[0]
 
     return emit
 
@@ -404,53 +433,60 @@ def _transforms(window: int, gram: int, asks: int, buckets: int):
 # --- the merge ---
 
 
-def merge_transforms(transform: np.ndarray, sizes: np.ndarray, counts: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(transform: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tails: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges shard transforms that lie one after the other; (string, offset) of each window that a smaller owner has too.
 
-    A shard's rows are its suffixes in order; the last ``counts`` of them are its strings' ENDs, in the order of the strings.
+    A shard has ``sizes`` rows, one for each suffix of its ``counts`` strings, in order, and the row
+    of each string's end among them (``tails``). A row holds the byte before its suffix, or END.
     """
     n = len(transform)
     if not n:
         return _NONE, _NONE
-    # the row of the suffix one byte longer: within a shard, rows by the byte before them
-    key = (np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(40)) | (transform.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    # within a shard, the rows that a byte precedes, by that byte, are the rows that start with a byte, in order
+    rows = np.flatnonzero(transform != END)
+    segment = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    key = (segment[rows] << np.uint64(40)) | (transform[rows].astype(np.uint64) << np.uint64(32)) | rows.astype(np.uint64)
     key.sort()
-    longer = np.empty(n, np.int32)
-    longer[(key & np.uint64(0xFFFFFFFF)).astype(np.int32)] = np.arange(n, dtype=np.int32)
-    # every string backwards from its END, all at once
+    tail = np.repeat(np.cumsum(sizes) - sizes, counts) + tails
+    inner = np.ones(n, bool)
+    inner[tail] = False
+    longer = np.zeros(n, np.int32)  # the row of the suffix one byte longer
+    longer[(key & np.uint64(0xFFFFFFFF)).astype(np.int32)] = np.flatnonzero(inner)
+    # every string backwards from its end, all at once
     string, back, length = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(len(owner), np.int32)
-    own = np.arange(len(owner), dtype=np.int32)
-    row = np.repeat(np.cumsum(sizes) - counts - (np.cumsum(counts) - counts), counts) + own
-    steps = 0
+    row, own, steps = tail, np.arange(len(owner), dtype=np.int32), 0
     while len(row):
         string[row], back[row] = own, steps
         more = transform[row] != END
         length[own[~more]] = steps
         row, own = longer[row[more]], own[more]
         steps += 1
-    # the interleave: places that have a whole window of their string before them
-    now = np.flatnonzero(length[string] - back >= window).astype(np.int32)
-    rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)[string]
-    # the bytes before a place, one, two or four at a time, and where they lead
+    # the bytes before a row, up to five at a time, and the row they lead to
     two = transform.astype(np.uint32) | transform[longer].astype(np.uint32) << np.uint32(8)
     longer2 = longer[longer]
     four, longer4 = two | two[longer2] << np.uint32(16), longer2[longer2]
-    widths = [(w, x, y) for w, x, y in ((4, four, longer4), (2, two, longer2), (1, transform, longer)) for _ in range((window if w == 4 else window % (2 * w)) // w)]
-    block, starts = np.zeros(len(now), np.int32), np.zeros(len(now), bool)
-    for k, (_, symbols, leads) in enumerate(widths):
-        if not len(now):
-            break
+    ways = {1: (transform, longer), 2: (two, longer2), 4: (four, longer4), 5: (four.astype(np.uint64) | transform[longer4].astype(np.uint64) << np.uint64(32), longer[longer4])}
+    # the interleave: places that have a whole window of their string before them
+    now = np.flatnonzero(length[string] - back >= window).astype(np.int32)
+    rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)[string]
+    block, starts, read, rounds = np.zeros(len(now), np.int32), np.zeros(len(now), bool), 0, 0
+    while read < window and len(now):
+        bits = np.uint64(len(now).bit_length())
+        width = max(w for w in ways if w <= window - read and 8 * w + int(bits) <= 64)
+        symbols, leads = ways[width]
         symbol = symbols[now].astype(np.uint64)
-        symbol <<= np.uint64(32)
+        symbol <<= bits
         symbol |= np.arange(len(now), dtype=np.uint64)  # the place is part of the key: a stable sort
         symbol.sort()
-        by = (symbol & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        symbol >>= np.uint64(32)
+        by = (symbol & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+        symbol >>= bits
         now, block = leads[now[by]], block[by]
         starts = np.empty(len(now), bool)
         starts[0] = True
-        starts[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        if k % 3 == 2:  # blocks of one owner hold no repeat, nor will what they refine to
+        np.not_equal(symbol[1:], symbol[:-1], out=starts[1:])
+        starts[1:] |= block[1:] != block[:-1]
+        read, rounds = read + width, rounds + 1
+        if rounds in (3, 6):  # blocks of one owner hold no repeat, nor will what they refine to
             firsts = np.flatnonzero(starts)
             held = rank[now]
             several = np.minimum.reduceat(held, firsts) != np.maximum.reduceat(held, firsts)
@@ -461,24 +497,45 @@ def merge_transforms(transform: np.ndarray, sizes: np.ndarray, counts: np.ndarra
     return string[late].astype(np.int64), (length[string[late]] - back[late]).astype(np.int64)
 
 
+def _spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start:start + size] of each piece, one after the other."""
+    stops = np.cumsum(sizes)
+    return values[np.arange(stops[-1]) + np.repeat(starts - stops + sizes, sizes)]
+
+
 def _merge(window: int):
-    """Transforms sorted by bucket -> the repeated windows of each row of each shard."""
+    """Transforms sorted by part -> the repeated windows of each row of each shard; a part's buckets are merged some at a time."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs_of(batches, "bucket"):
+        for table in _runs_of(batches, "part"):
             shard = table.column("shard").to_numpy()
-            (transform, sizes), (row, counts), (start, _), (owner, _), (done, told) = (_flat(table, *x) for x in (("transform", "u1"), ("row", "<i4"), ("start", "<i4"), ("ord", "<i8"), ("done", "<i4")))
-            s, first, count = _marked(*merge_transforms(transform, sizes, counts, owner, window))
-            done = done.reshape(-1, 3)
-            columns = (
-                np.concatenate((np.repeat(shard, told // 3), np.repeat(shard, counts)[s])),
-                *(np.concatenate((done[:, k], x)).astype(np.int32) for k, x in enumerate((row[s], start[s] + first, count))),
+            (transform, _), (row, strings), (start, _), (tail, _), (owner, _), (done, told), (pieces, held) = (
+                _flat(table, *x) for x in (("transform", "u1"), ("row", "<i4"), ("start", "<i4"), ("tail", "<i4"), ("ord", "<i8"), ("done", "<i4"), ("pieces", "<i4"))
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "row", "first", "count"])
+            done = done.reshape(-1, 3)
+            yield _found(np.repeat(shard, told // 3), *done.T)
+            home = np.repeat(shard, strings)
+            bucket, sizes, counts = pieces.reshape(-1, 3).T.astype(np.int64)
+            at, first = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+            by = np.argsort(bucket, kind="stable")
+            total, ends, a = np.cumsum(sizes[by]), np.flatnonzero(np.diff(bucket[by], append=-1)) + 1, 0
+            while a < len(by):
+                full = int(np.searchsorted(total, (total[a - 1] if a else 0) + MERGE_BYTES, side="right"))
+                b = int(ends[max(np.searchsorted(ends, full, side="right") - 1, np.searchsorted(ends, a, side="right"))])  # whole buckets, one at least
+                p = by[a:b]
+                of = _spread(np.arange(len(row)), first[p], counts[p])
+                s, o, c = _marked(*merge_transforms(_spread(transform, at[p], sizes[p]), sizes[p], counts[p], tail[of], owner[of], window))
+                s = of[s]
+                yield _found(home[s], row[s], start[s] + o, c)
+                a = b
 
     return merge
 
 
+def _found(shard: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard), *(pa.array(x.astype(np.int32)) for x in (row, first, count))], names=["shard", "row", "first", "count"])
+
+
 def _strip(window: int):
     """Marks, then rows, of each shard -> its rows with what is kept of them."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -527,14 +584,15 @@ def drop_repeated_bytes(documents: DataFrame, *, window: int = WINDOW, gram: int
     scratch = Scratch(documents.sparkSession, "bytes")
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards, asks, buckets = (size // b + 1 for b in (SHARD_BYTES, ASK_BYTES, MERGE_BYTES))
+    shards, asks, parts = size // SHARD_BYTES + 1, size // ASK_BYTES + 1, PARTS * (size // PARTS_BYTES + 1)
+    each = size // (parts * MERGE_BYTES) + 1  # buckets in a part
     rows = documents.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(NO_ID)).alias("ord"), F.xxhash64(text).alias("tkey"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("ord", "tkey"), F.lit(shards)))
     told = _grouped(rows.select("shard", "ord", "tkey", "text"), _ask(window, gram, asks), _ASKS, "shard", "ord", "tkey")
     answers = scratch.keep(_grouped(told, _answer(hot), "shard long, bucket int, status binary", "bucket"), "answers")
     asked = answers.unionByName(rows.select("shard", "ord", "tkey", "text"), allowMissingColumns=True)
-    made = _grouped(asked, _transforms(window, gram, asks, buckets), _TRANSFORMS, "shard", "ord", "tkey")
-    marks = scratch.keep(_grouped(made, _merge(window), _MARKS, "bucket"), "marks")
+    made = _grouped(asked, _transforms(window, gram, asks, parts * each, each), _TRANSFORMS, "shard", "ord", "tkey")
+    marks = scratch.keep(_grouped(made, _merge(window), _MARKS, "part"), "marks")
     scratch.drop(answers)
     every = marks.unionByName(rows, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>"

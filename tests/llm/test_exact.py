@@ -70,7 +70,7 @@ def test_byte_windows(spark, docs, hot):
 
 
 def test_byte_windows_in_many_small_shards(monkeypatch, spark, docs):
-    for name, value in (("SHARD_BYTES", 300), ("MERGE_BYTES", 200), ("ASK_BYTES", 500), ("SORT_BYTES", 400), ("PIECE", 90)):
+    for name, value in (("SHARD_BYTES", 300), ("MERGE_BYTES", 200), ("ASK_BYTES", 500), ("SORT_BYTES", 400), ("PIECE", 90), ("PARTS", 3)):
         monkeypatch.setattr(suffixes, name, value)
     test_byte_windows(spark, docs, 2)
     test_byte_windows(spark, docs, 20_000)
@@ -104,7 +104,7 @@ def test_merged_transforms_find_every_repeat():
     for window in (8, 13, 21):
         for _ in range(40):
             strings, owner = strings_with_owners(rng, window)
-            transforms, sizes, counts = [], [], []
+            transforms, sizes, counts, tails = [], [], [], []
             for part in np.array_split(np.arange(len(strings)), 3):
                 data, ends = shard_of([strings[k] for k in part])
                 order, _ = sorted_suffixes(data, ends, window)
@@ -113,7 +113,8 @@ def test_merged_transforms_find_every_repeat():
                 transforms.append(np.where(order == heads[string], 255, data[order - 1]).astype(np.uint8))
                 sizes.append(len(data))
                 counts.append(len(part))
-            found = merge_transforms(np.concatenate(transforms), np.array(sizes), np.array(counts), owner, window)
+                tails += np.argsort(order)[ends - 1].tolist()
+            found = merge_transforms(np.concatenate(transforms), np.array(sizes), np.array(counts), np.array(tails), owner, window)
             first = {}
             for s, o in zip(strings, owner):
                 for i in range(len(s) - window + 1):
