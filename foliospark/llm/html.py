@@ -1,24 +1,32 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-Text nodes are grouped by their root-to-leaf tag path. For each path the characters and the
-punctuation marks per node are computed, smoothed over the nodes in page order, fused, and
-thresholded; nodes of paths above the threshold vote with their characters for the
-element that holds the article. All blocks of that element are its text, but for elements
-that are no article text by their tag, role, class or id (menus, notices, forms, adverts,
-reader comments and the like) and lists of links only. A class or id only hints: it does not
-count on an element around the articles or, on pages without, around most of the votes.
-
-Defined cases: null or empty html has an empty text; unclosed, misnested and unknown tags
-are tolerated (a block closes an open paragraph, an end tag closes what it encloses);
-an unfinished comment, script or tag hides the rest of the page, as in browsers; equal and
-null ids are rows like any other; extra columns are ignored.
+Text nodes are grouped by their root-to-leaf tag path. For each path the characters, the
+punctuation marks and the link characters per node are aggregated, fused into one ratio,
+smoothed over the nodes in page order, and thresholded against the mean by characters and priors: the
+nodes of the paths above it are the content. Two priors weigh in the ratio: being inside an
+article or main element, and a class or id that names a notice, an advert, a comment section
+or the like. Elements whose tag or role says that they are no article (menus, forms, scripts,
+footers) are no candidates at all.
+
+The text is what lies in the innermost element around all content nodes (or the article or
+main element that is in): its content nodes and what stands between them; before the first
+and behind the last one only paragraphs, items, cells and headings, no bare text. A part with a telling class or
+id stays out unless its nodes are content, and such a word doesn't count on an element around
+the articles or, on pages without, around most of the content.
+
+Defined cases: null or empty html has an empty text; tags and attributes are read as browsers
+do (a slash closes nothing, a quote counts only behind an equals sign, what is open at the end
+of the page hides the rest); unclosed, misnested and unknown tags are tolerated (a block closes
+an open paragraph, an end tag closes what it encloses); time is linear in the page, whatever
+the nesting; equal and null ids are rows like any other; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -35,7 +43,6 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style textarea title noscript iframe template svg math canvas object audio video noframes xmp".split())
 APART = frozenset("nav footer aside form head menu dialog button select option label search input".split()) | RAW
-CONTAINERS = frozenset("article main section div td body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of class and id values that mark an element as no article text.
 HINTS = frozenset(
@@ -50,23 +57,31 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIERS = frozenset("table ul ol dl td th article section div body html main aside blockquote".split())
 
-_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|(?P<other>[!?/][^>]*)(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""([^\s/>="']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?|"[^"]*"|'[^']*'""")
+_OPEN = re.compile(r"<(?:!--(?P<comment>-?>|.*?(?:--!?>|\Z))|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)|[!?/][^>]*(?:>|\Z))", re.S)
+#: One step inside a tag: blanks and slashes, its end, or an attribute.
+_STEP = re.compile(r"""[\s/]+|(?P<close>>)|(?P<name>=?[^\s/>=]*)(?:\s*=\s*(?:"(?P<double>[^"]*)(?:"|(?P<cut>\Z))|'(?P<single>[^']*)(?:'|(?P<cut2>\Z))|(?P<plain>[^\s>"'][^\s>]*))?)?""", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、،]")
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
-SIGMA, RADIUS = 1.0, 2
-#: Share of the mean fused ratio that a path needs, and of the votes that an element needs.
-THRESHOLD, SHARE = 0.6, 0.7
-#: Share of the votes with which an element around all articles, inside a main element, is no comment section.
-MOST = 0.5
+SIGMA, RADIUS = 0.5, 2
+#: Share of the mean ratio (by characters) that a path needs; weight of an article, and of a telling class or id.
+THRESHOLD, ARTICLE, HINT = 0.3, 3.0, 0.1
+#: Shares of the content with which a hinted element is no such part: on pages without an article, and inside a main element.
+SHARE, MOST = 0.7, 0.5
+#: Elements that are text on their own, wherever they stand.
+TEXTUAL = HEADINGS | frozenset("p li dt dd pre blockquote td th caption figcaption summary".split())
 
 
 class Element:
-    __slots__ = ("apart", "hinted", "key", "name", "number", "parent")
+    __slots__ = ("apart", "hinted", "inner", "linked", "listed", "name", "number", "parent", "path", "textual")
 
-    def __init__(self, name: str, key: str, number: int, parent: Element | None, apart: bool, hinted: bool = False) -> None:
-        self.name, self.key, self.number, self.parent, self.apart, self.hinted = name, key, number, parent, apart, hinted
+    def __init__(self, name: str, number: int, parent: Element | None, path: int, apart: bool = False, hinted: bool = False) -> None:
+        self.name, self.number, self.parent, self.path = name, number, parent, path
+        self.hinted, self.apart = hinted, apart or (parent is not None and parent.apart)
+        self.inner = name in ("article", "main") or (parent is not None and parent.inner)
+        self.linked = name == "a" or (parent is not None and parent.linked)
+        self.listed = number if name in ("ul", "ol") else parent.listed if parent is not None else None
+        self.textual = name in TEXTUAL or (name not in BLOCK and parent is not None and parent.textual)
 
 
 class Block:
@@ -76,17 +91,28 @@ class Block:
         self.element, self.pieces = element, []
 
 
-def _is_apart(name: str, attrs: str, stack: list[Element]) -> tuple[bool, bool, str]:
-    """Whether an element holds no article text, whether its class or id hints so, and the class word that its path shows."""
-    inner = any(e.name in ("article", "main") for e in stack)
+def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """The attributes of the tag whose name ends at ``at``, and where the tag ends; past the page if it doesn't."""
+    found: list[tuple[str, str]] = []
+    while at < len(html):
+        m = _STEP.match(html, at)
+        if m["close"]:
+            return found, m.end()
+        if m["cut"] is not None or m["cut2"] is not None:
+            break
+        if m["name"]:
+            found.append((m["name"].lower(), m["double"] or m["single"] or m["plain"] or ""))
+        at = max(m.end(), at + 1)
+    return found, len(html) + 1
+
+
+def _role(name: str, attributes: list[tuple[str, str]], inner: bool) -> tuple[bool, bool, str]:
+    """Whether an element holds no article text, whether its class or id hints so, and the name that its path shows."""
     if name in APART or name == "header" and not inner:
         return True, False, name
     words: list[str] = []
     hinted = False
-    for m in _ATTR.finditer(attrs):
-        if not m[1]:
-            continue
-        kind, value = m[1].lower(), (m[2] or "").strip("\"'")
+    for kind, value in attributes:
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
             return True, False, name
         if kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -101,14 +127,18 @@ def _is_apart(name: str, attrs: str, stack: list[Element]) -> tuple[bool, bool,
                 if kind == "id" and (name in HEADINGS or inner and not all(w in HINTS or w in NEUTRAL or w.isdigit() for w in parts)):
                     continue
                 hinted |= bool(hits)
-    return False, hinted, f"{name}.{words[0]}" if words and name not in ("html", "body", "article", "main") else name
+    plain = name in ("html", "body", "article", "main")
+    return False, hinted and not plain, f"{name}.{words[0]}" if words and not plain else name
 
 
-def parse(html: str) -> list[Block]:
-    """Blocks of text in page order, each with the innermost element that it starts in."""
-    root = Element("", "", 0, None, False)
-    stack, blocks, block = [root], [], None
-    number = at = 0
+def parse(html: str) -> tuple[list[Element], list[Block]]:
+    """All elements in page order, and the blocks of text, each with the innermost element that it starts in."""
+    root = Element("", 0, None, 0)
+    elements, stack, open_ = [root], [root], Counter()
+    paths: dict[tuple[int, str], int] = {}
+    blocks: list[Block] = []
+    block: Block | None = None
+    at = 0
 
     def text(piece: str) -> None:
         nonlocal block
@@ -119,11 +149,30 @@ def parse(html: str) -> list[Block]:
                 return
             block = Block(stack[-1])
             blocks.append(block)
-        piece = unescape(piece)
-        block.pieces.append((piece, stack[-1]))
+        block.pieces.append((unescape(piece), stack[-1]))
+
+    def shut(first: int) -> None:
+        """Closes the open elements from the ``first``-th on."""
+        nonlocal block
+        for e in stack[first:]:
+            open_[e.name] -= 1
+            if e.name in BLOCK:
+                block = None
+        del stack[first:]
+
+    def close(names: tuple[str, ...], opened: str) -> None:
+        """Closes the innermost open element of ``names`` unless a container lies between."""
+        if not any(open_[n] for n in names):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
+                return shut(i)
+            if stack[i].name in BARRIERS and not (opened in CLOSES and stack[i].name in CLOSES[opened]):
+                return None
+        return None
 
     while at < len(html):
-        m = _TAG.search(html, at)
+        m = _OPEN.search(html, at)
         if not m:
             text(html[at:])
             break
@@ -131,172 +180,173 @@ def parse(html: str) -> list[Block]:
         at = m.end()
         if not m["name"]:
             continue
+        attributes, at = _attributes(html, at)
+        if at > len(html):  # a tag that doesn't end is none
+            break
         name = m["name"].lower()
         if m["end"]:
-            if any(e.name == name for e in stack[1:]):
-                closed = set()
-                while stack[-1].name != name:
-                    closed.add(stack.pop().name)
-                closed.add(stack.pop().name)
-                if closed & BLOCK:
-                    block = None
+            if open_[name]:
+                shut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name == "br":
             text(" ")
             continue
         if name in BLOCK:
             block = None
-            _close(stack, ("p",), name)
+            close(("p",), name)
         if name in CLOSES:
-            _close(stack, CLOSES[name], name)
+            close(CLOSES[name], name)
         if name in VOID:
             continue
-        number += 1
-        apart, hinted, key = _is_apart(name, m["attrs"], stack)
-        own = Element(name, key, number, stack[-1], apart or stack[-1].apart, hinted)
         if name in RAW:
-            if not m["attrs"].rstrip().endswith("/"):
+            if not (name in ("svg", "math") and html[at - 2] == "/"):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = end.end() if end else len(html)
             continue
-        if not (m["attrs"].rstrip().endswith("/") and name not in BLOCK):
-            stack.append(own)
-    return blocks
-
-
-def _close(stack: list[Element], names: tuple[str, ...], opened: str) -> None:
-    """Closes the innermost open element of ``names`` unless a container lies between."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name in names:
-            del stack[i:]
-            return
-        if stack[i].name in BARRIERS and not (opened in CLOSES and stack[i].name in CLOSES[opened]):
-            return
-
-
-def _path(element: Element) -> tuple[str, ...]:
-    keys = []
-    while element.parent is not None:
-        keys.append(element.key)
-        element = element.parent
-    return tuple(reversed(keys))
-
-
-def _chain(element: Element) -> Iterator[Element]:
-    while element.parent is not None:
-        yield element
-        element = element.parent
-
-
-def fused_ratios(nodes: list[tuple[tuple[str, ...], int, int]]) -> list[float]:
-    """For each text node (path, characters, punctuation) the smoothed and fused ratio of its path."""
-    totals: dict[tuple[str, ...], list[int]] = {}
-    for path, chars, marks in nodes:
-        total = totals.setdefault(path, [0, 0, 0])
-        total[0] += chars
-        total[1] += marks
-        total[2] += 1
-    fused = {p: (c / n) * math.log1p(1 + m / n) for p, (c, m, n) in totals.items()}
+        apart, hinted, key = _role(name, attributes, stack[-1].inner)
+        path = paths.setdefault((stack[-1].path, key), len(paths) + 1)
+        own = Element(name, len(elements), stack[-1], path, apart, hinted)
+        elements.append(own)
+        stack.append(own)
+        open_[name] += 1
+    return elements, blocks
+
+
+def _up(elements: list[Element], counted: Iterable[tuple[Element, int]]) -> list[int]:
+    """For each element the sum of what is counted in it (an element stands behind its parent)."""
+    sums = [0] * len(elements)
+    for e, n in counted:
+        sums[e.number] += n
+    for e in reversed(elements):
+        if e.parent is not None:
+            sums[e.parent.number] += sums[e.number]
+    return sums
+
+
+def _down(elements: list[Element], own: Iterable[int]) -> list[bool]:
+    """Whether each element is one of ``own`` or in one."""
+    flags = [False] * len(elements)
+    for k in own:
+        flags[k] = True
+    for e in elements:
+        if e.parent is not None and flags[e.parent.number]:
+            flags[e.number] = True
+    return flags
+
+
+def fused_ratios(nodes: list[tuple[int, int, int, int, float]]) -> list[float]:
+    """For each text node (path, characters, punctuation, link characters, prior) the fused and smoothed ratio of its path."""
+    totals: dict[int, list[float]] = {}
+    for path, chars, marks, links, prior in nodes:
+        total = totals.setdefault(path, [0, 0, 0, 0, 0.0])
+        for k, x in enumerate((chars, marks, links, 1, prior)):
+            total[k] += x
+    fused = {p: (c / n) * math.log1p(1 + m / n) * (1 - min(1.0, k / c) if c else 0.0) ** 2 for p, (c, m, k, n, _) in totals.items()}
     kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
-    raw, out = [fused[p] for p, _, _ in nodes], []
-    for i in range(len(raw)):
-        near = [(kernel[d + RADIUS], raw[i + d]) for d in range(-RADIUS, RADIUS + 1) if 0 <= i + d < len(raw)]
-        out.append(sum(k * x for k, x in near) / sum(k for k, _ in near))
-    return out
+    raw = [fused[p] for p, *_ in nodes]
+    sums: dict[int, list[float]] = {}
+    for i, (path, *_) in enumerate(nodes):
+        near = [(kernel[j - i + RADIUS], raw[j]) for j in range(max(0, i - RADIUS), min(len(raw), i + RADIUS + 1))]
+        held = sums.setdefault(path, [0.0, 0])
+        held[0] += sum(k * x for k, x in near) / sum(k for k, _ in near)
+        held[1] += 1
+    weighed = {p: held[0] / held[1] * totals[p][4] / totals[p][3] for p, held in sums.items()}  # priors last, so that they don't spread
+    return [weighed[p] for p, *_ in nodes]
 
 
 def extract_text(html: str | None) -> str:
     """The article's blocks, white space inside each made one space, joined by newlines."""
-    blocks = parse(html or "")
-    texts = [" ".join("".join(p for p, _ in b.pieces).split()) for b in blocks]
-    linked = [sum(len(p) for p, e in b.pieces if any(x.name == "a" for x in _chain(e))) for b in blocks]
-    nodes = [(_path(e), len(p.strip()), len(_PUNCTUATION.findall(p))) for b in blocks for p, e in b.pieces]
-    ratios = iter(fused_ratios(nodes))
-    scores = [max((next(ratios) for _ in b.pieces), default=0.0) for b in blocks]
-    usable = [bool(t) and not b.element.apart for t, b in zip(texts, blocks, strict=True)]
-    _drop_link_lists(blocks, texts, linked, usable)
-    _drop_hinted(blocks, texts, linked, scores, usable)
-    kept = [i for i, ok in enumerate(usable) if ok]
-    if not kept:
+    elements, found = parse(html or "")
+    blocks, texts, linked = [], [], []
+    for b in found:
+        t = " ".join("".join(p for p, _ in b.pieces).split())
+        if t and not b.element.apart:
+            blocks.append(b)
+            texts.append(t)
+            linked.append(sum(len(p) for p, e in b.pieces if e.linked))
+    lists = _link_lists(blocks, texts, linked)
+    keep = [i for i in range(len(blocks)) if i not in lists]
+    blocks, texts, linked = ([x[i] for i in keep] for x in (blocks, texts, linked))
+    if not blocks:
         return ""
-    mean = sum(scores[i] for i in kept) / len(kept)
-    content = [i for i in kept if scores[i] >= THRESHOLD * mean and linked[i] <= 0.5 * len(texts[i])] or kept
-    home = _home([(blocks[i].element, len(texts[i])) for i in content], [blocks[i].element for i in _with_headings(kept, content, blocks)])
-    return "\n".join(texts[i] for i in kept if home is None or any(e is home for e in _chain(blocks[i].element)))
+    marked = _marked(elements, blocks, texts, _content(blocks, texts, linked, [False] * len(elements)))
+    content = _content(blocks, texts, linked, marked)
+    usable = [i for i, b in enumerate(blocks) if not marked[b.element.number] or i in content]
+    core = _with_headings(usable, content, blocks)
+    around = _up(elements, [(blocks[i].element, 1) for i in core])
+    home = next(e for e in reversed(elements) if around[e.number] == len(core))
+    outer = home
+    while outer is not None and outer.name not in ("article", "main"):
+        outer = outer.parent
+    inside = _down(elements, [(outer or home).number])
+    first, last = min(core), max(core)
+    kept = [i for i in usable if inside[blocks[i].element.number] and (outer or first <= i <= last or blocks[i].element.textual)]
+    return "\n".join(texts[i] for i in kept)
+
+
+def _content(blocks: list[Block], texts: list[str], linked: list[int], marked: list[bool]) -> set[int]:
+    """The blocks with a node whose path's ratio reaches the threshold; all if none does."""
+    nodes = []
+    for b in blocks:
+        for piece, e in b.pieces:
+            chars = len(piece.strip())
+            prior = (ARTICLE if e.inner else 1.0) * (HINT if marked[e.number] else 1.0)
+            nodes.append((e.path, chars, len(_PUNCTUATION.findall(piece)), chars if e.linked else 0, prior))
+    ratios = fused_ratios(nodes)
+    mean = sum(r * n[1] * n[4] for r, n in zip(ratios, nodes, strict=True)) / (sum(n[1] * n[4] for n in nodes) or 1)
+    at, chosen = 0, set()
+    for i, b in enumerate(blocks):
+        score = max(ratios[at : at + len(b.pieces)])
+        at += len(b.pieces)
+        if score >= THRESHOLD * mean and linked[i] <= 0.5 * len(texts[i]):
+            chosen.add(i)
+    return chosen or set(range(len(blocks)))
 
 
-def _with_headings(kept: list[int], content: list[int], blocks: list[Block]) -> list[int]:
+def _with_headings(kept: list[int], content: set[int], blocks: list[Block]) -> set[int]:
     """The content blocks and the headings next to them."""
-    chosen, order = set(content), [*kept]
-    for seq in (order, order[::-1]):
-        for a, b in zip(seq, seq[1:], strict=False):
-            if a in chosen and b not in chosen and any(e.name in HEADINGS for e in _chain(blocks[b].element)):
+    chosen = set(content)
+    for order in (kept, kept[::-1]):
+        for a, b in zip(order, order[1:], strict=False):
+            if a in chosen and b not in chosen and blocks[b].element.name in HEADINGS:
                 chosen.add(b)
-    return sorted(chosen)
-
-
-def _home(votes: list[tuple[Element, int]], all_of: list[Element]) -> Element | None:
-    """The article or main element around ``SHARE`` of the votes, or else the innermost container of ``all_of``."""
-    chars: dict[Element, int] = {}
-    for element, count in votes:
-        for e in _chain(element):
-            if e.name in CONTAINERS:
-                chars[e] = chars.get(e, 0) + count
-    total = sum(c for _, c in votes)
-    fit = [e for e, c in chars.items() if c >= SHARE * total]
-    if fit:
-        best = max(fit, key=lambda e: sum(1 for _ in _chain(e)))
-        around = [e for e in _chain(best) if e.name in ("article", "main")]
-        if around:
-            return next((e for e in around if e.name == "article"), around[0])
-    common = [e for e in _chain(all_of[0]) if e.name in CONTAINERS]
-    for element in all_of[1:]:
-        within = set(_chain(element))
-        common = [e for e in common if e in within]
-    return common[0] if common else None
-
-
-def _drop_hinted(blocks: list[Block], texts: list[str], linked: list[int], scores: list[float], usable: list[bool]) -> None:
-    """Marks blocks in hinted elements as unusable, unless the element holds all articles or, where there is none, ``SHARE`` of the votes."""
-    open_ = [i for i, ok in enumerate(usable) if ok]
-    chains = {i: list(_chain(blocks[i].element)) for i in open_}
-    marked = {e for c in chains.values() for e in c if e.hinted and e.name not in ("html", "body", "article", "main")}
-    if not marked:
-        return
-    mean = sum(scores[i] for i in open_) / len(open_)
-    votes = {i: len(texts[i]) for i in open_ if scores[i] >= THRESHOLD * mean and linked[i] <= 0.5 * len(texts[i])}
-    held: dict[Element, int] = {}
-    for i, n in votes.items():
-        for e in chains[i]:
-            held[e] = held.get(e, 0) + n
-    total = sum(votes.values())
-    real = {e for c in chains.values() for e in c if e.name in ("article", "main") and not e.hinted}
-    real = {e for e in real if e.name == "article"} or real
-    around = [set(_chain(e)) for e in real]
-    for e in list(marked):
+    return chosen
+
+
+def _marked(elements: list[Element], blocks: list[Block], texts: list[str], content: set[int]) -> list[bool]:
+    """Whether an element is in a part whose class or id says that it is no article.
+
+    The word doesn't count on an element that holds all articles or, where there is none, ``SHARE`` of the content.
+    """
+    hinted = [e for e in elements if e.hinted]
+    if not hinted:
+        return [False] * len(elements)
+    votes = _up(elements, [(blocks[i].element, len(texts[i])) for i in content])
+    total = votes[0]
+    used = _up(elements, [(b.element, 1) for b in blocks])
+    real = [e for e in elements if e.name in ("article", "main") and used[e.number]]
+    real = [e for e in real if e.name == "article"] or real
+    within = _down(elements, [e.number for e in hinted])
+    if not all(within[e.number] for e in real):  # articles in such a part (comments, related ones) are not the article
+        real = [e for e in real if not within[e.number]]
+    held = _up(elements, [(e, 1) for e in real])
+    main = _down(elements, [e.number for e in elements if e.name == "main"])
+
+    def counts(e: Element) -> bool:
         if real:
-            within = any(x.name == "main" for x in _chain(e))
-            keep = all(e in a for a in around) and (not within or held.get(e, 0) >= MOST * total)
-        else:
-            keep = total > 0 and held.get(e, 0) >= SHARE * total
-        if keep:
-            marked.discard(e)
-    for i in open_:
-        if any(e in marked for e in chains[i]):
-            usable[i] = False
-
-
-def _drop_link_lists(blocks: list[Block], texts: list[str], linked: list[int], usable: list[bool]) -> None:
-    """Marks the items of lists that hold links only (three items or more) as unusable."""
-    lists: dict[Element, list[int]] = {}
+            return not (held[e.number] == len(real) and (not main[e.number] or votes[e.number] >= MOST * total))
+        return not (total > 0 and votes[e.number] >= SHARE * total)
+
+    return _down(elements, [e.number for e in hinted if counts(e)])
+
+
+def _link_lists(blocks: list[Block], texts: list[str], linked: list[int]) -> set[int]:
+    """The items of lists that hold links only (three items or more)."""
+    lists: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
-        holder = next((e for e in _chain(b.element) if e.name in ("ul", "ol")), None)
-        if holder is not None and texts[i]:
-            lists.setdefault(holder, []).append(i)
-    for items in lists.values():
-        if len(items) >= 3 and sum(linked[i] for i in items) >= 0.9 * sum(len(texts[i]) for i in items):
-            for i in items:
-                usable[i] = False
+        if b.element.listed is not None:
+            lists.setdefault(b.element.listed, []).append(i)
+    return {i for items in lists.values() if len(items) >= 3 and sum(linked[i] for i in items) >= 0.9 * sum(len(texts[i]) for i in items) for i in items}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -298,10 +298,49 @@ def test_hints_only_vote(html, text):
     assert extract_text(html) == text
 
 
+def test_the_ratios_select_the_nodes(monkeypatch):
+    page = f"<body><div>Site name, here</div><div><a href=a>One</a> <a href=b>Two</a></div><div><h1>Title</h1><p>{LONG * 3}</p><p>Short.</p><p>{LONG * 2}</p></div><div>Copyright, all rights.</div></body>"
+    assert extract_text(page) == "\n".join(["Title", (LONG * 3).strip(), "Short.", (LONG * 2).strip()])
+    monkeypatch.setattr("foliospark.llm.html.fused_ratios", lambda nodes: [1.0] * len(nodes))
+    assert "Site name" in extract_text(page)
+
+
+def test_articles_without_tags_or_classes_that_tell():
+    table = f"<table><tr><td><font><a href=a>A</a> | <a href=b>B</a></font></td></tr><tr><td><font><p>{LONG}</p><ul><li>first</li><li>second</li></ul><p>{LONG}</p></font></td></tr><tr><td>Imprint</td></tr></table>"
+    assert extract_text(table) == "\n".join([LONG.strip(), "first", "second", LONG.strip()])
+    spans = f"<div><span>Menu</span></div><div><div>{LONG}</div><div>{LONG}</div></div><div><span>Contact</span></div>"
+    assert extract_text(spans) == "\n".join([LONG.strip()] * 2)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p>One.</p><script src=x />code</script><p>Two.</p></article>", "One.\nTwo."),
+        ("<article><p class=it's>Text, here.</p></article>", "Text, here."),
+        ("<article><p>Before.</p><p title=\"foo>Long text</p></article>", "Before."),
+        ("<article><p title=\"a>b\">Text, here.</p></article>", "Text, here."),
+        ("<article><p a='x\"y' b = c>Text, here.</p></article>", "Text, here."),
+        ("<article><!--><p>Shown.</p><!-- a > b --><p>Too.</p></article>", "Shown.\nToo."),
+        ("<article><p>a < b and 1<2</p><p>x</p></article>", "a < b and 1<2\nx"),
+        ("<article><p>One <svg/>two <svg><text>no</text></svg>three.</p></article>", "One two three."),
+    ],
+)
+def test_tags_are_read_as_browsers_do(html, text):
+    assert extract_text(html) == text
+
+
+def test_time_is_linear_in_nesting():
+    import time
+
+    began = time.time()
+    assert extract_text("<div>" * 50_000 + "<b>" * 50_000 + "Deep, text." + "</b>" * 50_000 + "<p>More." + "</div>" * 50_000).startswith("Deep, text.")
+    assert time.time() - began < 20
+
+
 def test_pages_without_an_article_keep_all_parts():
     body, code = LONG * 8, "x = f(a, b); " * 60
     page = f"<body><div class=top>Site</div><div id=content><h1>Title</h1><div class=lead><p>{LONG}</p></div><div class=body><p>{body}</p><p>{body}</p></div></div></body>"
-    assert extract_text(page).split("\n")[-4:] == ["Title", LONG.strip(), body.strip(), body.strip()]
+    assert extract_text(page).split("\n") == ["Title", LONG.strip(), body.strip(), body.strip()]
     page = f"<body><p>{LONG * 4}</p><div class=code><pre>{code * 5}</pre></div><p>{LONG * 4}</p></body>"
     assert extract_text(page).count(LONG.strip()) == 8
 
