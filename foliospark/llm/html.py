@@ -66,6 +66,8 @@ _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 SIGMA, RADIUS = 0.5, 2
 #: Share of the mean ratio (by characters) that a path needs; weight of an article, and of a telling class or id.
 THRESHOLD, ARTICLE, HINT = 0.3, 3.0, 0.1
+#: Share with which a paragraph, item or cell next to content joins it (a heading always does).
+NEXT = 0.04
 #: Shares of the content with which a hinted element is no such part: on pages without an article, and inside a main element.
 SHARE, MOST = 0.7, 0.5
 #: Elements that are text on their own, wherever they stand.
@@ -269,10 +271,10 @@ def extract_text(html: str | None) -> str:
     blocks, texts, linked = ([x[i] for i in keep] for x in (blocks, texts, linked))
     if not blocks:
         return ""
-    marked = _marked(elements, blocks, texts, _content(blocks, texts, linked, [False] * len(elements)))
-    content = _content(blocks, texts, linked, marked)
+    marked = _marked(elements, blocks, texts, _content(blocks, texts, linked, [False] * len(elements))[0])
+    content, near = _content(blocks, texts, linked, marked)
     usable = [i for i, b in enumerate(blocks) if not marked[b.element.number] or i in content]
-    core = _with_headings(usable, content, blocks)
+    core = _with_next(usable, content, near, blocks)
     around = _up(elements, [(blocks[i].element, 1) for i in core])
     home = next(e for e in reversed(elements) if around[e.number] == len(core))
     outer = home
@@ -284,8 +286,8 @@ def extract_text(html: str | None) -> str:
     return "\n".join(texts[i] for i in kept)
 
 
-def _content(blocks: list[Block], texts: list[str], linked: list[int], marked: list[bool]) -> set[int]:
-    """The blocks with a node whose path's ratio reaches the threshold; all if none does."""
+def _content(blocks: list[Block], texts: list[str], linked: list[int], marked: list[bool]) -> tuple[set[int], set[int]]:
+    """The blocks with a node whose path's ratio reaches the threshold (all if none does), and those that reach the lower one."""
     nodes = []
     for b in blocks:
         for piece, e in b.pieces:
@@ -294,21 +296,24 @@ def _content(blocks: list[Block], texts: list[str], linked: list[int], marked: l
             nodes.append((e.path, chars, len(_PUNCTUATION.findall(piece)), chars if e.linked else 0, prior))
     ratios = fused_ratios(nodes)
     mean = sum(r * n[1] * n[4] for r, n in zip(ratios, nodes, strict=True)) / (sum(n[1] * n[4] for n in nodes) or 1)
-    at, chosen = 0, set()
+    at, chosen, near = 0, set(), set()
     for i, b in enumerate(blocks):
         score = max(ratios[at : at + len(b.pieces)])
         at += len(b.pieces)
-        if score >= THRESHOLD * mean and linked[i] <= 0.5 * len(texts[i]):
-            chosen.add(i)
-    return chosen or set(range(len(blocks)))
+        if linked[i] <= 0.5 * len(texts[i]):
+            if score >= THRESHOLD * mean:
+                chosen.add(i)
+            if score >= NEXT * mean and b.element.textual:
+                near.add(i)
+    return chosen or set(range(len(blocks))), near
 
 
-def _with_headings(kept: list[int], content: set[int], blocks: list[Block]) -> set[int]:
-    """The content blocks and the headings next to them."""
+def _with_next(kept: list[int], content: set[int], near: set[int], blocks: list[Block]) -> set[int]:
+    """The content blocks, and next to them headings and what is nearly content."""
     chosen = set(content)
     for order in (kept, kept[::-1]):
         for a, b in zip(order, order[1:], strict=False):
-            if a in chosen and b not in chosen and blocks[b].element.name in HEADINGS:
+            if a in chosen and (b in near or blocks[b].element.name in HEADINGS):
                 chosen.add(b)
     return chosen
 
