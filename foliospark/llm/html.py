@@ -66,7 +66,7 @@ _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 SIGMA, RADIUS = 0.5, 2
 #: Share of the mean ratio (by characters) that a path needs; weight of an article, and of a telling class or id.
 THRESHOLD, ARTICLE, HINT = 0.3, 3.0, 0.1
-#: Share with which a paragraph, item or cell next to content joins it (a heading always does).
+#: Share with which a paragraph, item or cell with punctuation next to content joins it (a heading always does).
 NEXT = 0.04
 #: Shares of the content with which a hinted element is no such part: on pages without an article, and inside a main element.
 SHARE, MOST = 0.7, 0.5
@@ -303,7 +303,7 @@ def _content(blocks: list[Block], texts: list[str], linked: list[int], marked: l
         if linked[i] <= 0.5 * len(texts[i]):
             if score >= THRESHOLD * mean:
                 chosen.add(i)
-            if score >= NEXT * mean and b.element.textual:
+            if score >= NEXT * mean and b.element.textual and _PUNCTUATION.search(texts[i]):
                 near.add(i)
     return chosen or set(range(len(blocks))), near
 
