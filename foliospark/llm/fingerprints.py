@@ -11,7 +11,9 @@ A sentinel per bin is sorted in with the hashes, so that the first element of ea
 run is its minimum and the array has one element for each bin, in order.
 
 Defined cases: a null text is empty; a text without words has only empty bins and one fixed
-fingerprint; fewer words than a shingle make one shingle; extra columns are ignored.
+fingerprint; fewer words than a shingle make one shingle; extra columns are ignored; ids may
+be any long, rows without an id come last, rows of equal ids follow one another by a hash of
+their text.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ EMPTY = (1 << LOW) - 1
 #: First places of a bin's order that are probed, and full bins below which ranks are compared instead.
 PROBES, FEW = 24, 16
 _PRIME = (1 << 31) - 1
-#: Rows that a bucket of neighbouring ids holds when ids are dense, and the most buckets.
-BUCKET_ROWS, MAX_BUCKETS = 2048, 20_000
+#: Rows in a range of neighbouring ids, and the most ranges, whose first keys the driver holds (33 bytes each).
+BUCKET_ROWS, MAX_BOUNDS = 2048, 100_000
 
 
 def _rank(i, j):
@@ -97,35 +99,40 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
-def with_next(frame: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
+def _order_key(key: str) -> Column:
+    """Text whose order is that of descending ids, nulls last, then of a hash of the text; any id has one."""
+    upside_down = F.bitwise_not(F.col(key).bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    digits = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.concat(F.when(F.col(key).isNull(), "1").otherwise("0"), F.coalesce(digits(upside_down), F.lit("")), digits(F.xxhash64("text")))
+
+
+def with_next(frame: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame], key: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``next``: a struct of ``carried`` of the row that follows in descending order of ``key``.
 
-    After the last row comes the first. Rows are dealt once into at most ``MAX_BUCKETS``
-    buckets of neighbouring ids; the first row of each bucket is also sent to the bucket
-    before it, so that a bucket knows what follows its last row. ``prepare`` adds columns
-    after the exchange, so that they don't travel. Rows without an id come last; rows of
-    equal ids follow one another by a hash of their text.
+    After the last row comes the first. A first pass over the order keys alone deals them into
+    ranges of about ``bucket_rows`` rows, whatever the ids look like (rows of equal or no id are
+    told apart by a hash of their text), and tells the first key of each. Rows then go to their
+    range once; the first row of each is also sent to the range before it, so that a range
+    knows what follows its last row. ``prepare`` adds columns after the exchange, so that they
+    don't travel. Beyond ``bucket_rows * MAX_BOUNDS`` rows the ranges grow; a task sorts its range with spilling.
     """
-    low, high, count = frame.agg(F.min(key), F.max(key), F.count("*")).first()
-    low, high = low or 0, high or 0
-    buckets = min(MAX_BUCKETS, -(-count // BUCKET_ROWS)) or 1
-    width = -(-(high - low + 1) // buckets)
-    # bucket 0 has the largest ids
-    bucket = F.coalesce(F.floor((F.lit(high) - F.col(key)) / F.lit(width)).cast("long"), F.lit(buckets))
-    order = F.struct(F.col(key).isNull().alias("n"), (-F.col(key)).alias("k"), F.xxhash64("text").alias("t"))
-    rows = frame.withColumn("_bucket", bucket).withColumn("_order", order)
-    heads = rows.groupBy("_bucket").agg(F.min("_order").alias("_head"))
-    # at most MAX_BUCKETS + 1 rows: each head goes to the bucket before, the first one's to the last
-    sent = heads.select(
-        F.col("_bucket").alias("_from"),
-        "_head",
-        F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy())).alias("_to"),
-    )
-    same = (rows["_bucket"] == sent["_from"]) & rows["_order"].eqNullSafe(sent["_head"])
-    guests = rows.join(F.broadcast(sent), same).drop("_bucket", "_from", "_head").withColumnRenamed("_to", "_bucket").dropDuplicates(["_bucket"])
+    rows = frame.withColumn("_key", _order_key(key))
+    wanted = max(1, min(MAX_BOUNDS, -(-frame.count() // bucket_rows)))
+    dealt = rows.select("_key").repartitionByRange(wanted, "_key").withColumn("_range", F.spark_partition_id())
+    heads = sorted(r["head"] for r in dealt.groupBy("_range").agg(F.min("_key").alias("head")).select("head").collect())
+    bounds, step = F.split(F.lit(",".join(heads)), ","), 1
+    while 2 * step < len(heads):
+        step *= 2
+    rows = rows.withColumn("_bucket", F.lit(0))
+    while step:  # a binary search; each step is a projection of its own
+        at = F.col("_bucket") + step
+        rows = rows.withColumn("_bucket", F.when((at < len(heads)) & (F.get(bounds, at) <= F.col("_key")), at).otherwise(F.col("_bucket")))
+        step //= 2
+    before = F.when(F.col("_bucket") == 0, F.lit(max(0, len(heads) - 1))).otherwise(F.col("_bucket") - 1)
+    guests = rows.where(F.col("_key") == F.get(bounds, F.col("_bucket"))).withColumn("_bucket", before).dropDuplicates(["_bucket"])
     every = rows.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
-    within = Window.partitionBy("_bucket").orderBy("_guest", "_order")
-    return prepare(every.repartition("_bucket")).withColumn("next", F.lead(F.struct(*carried)).over(within)).where(~F.col("_guest")).drop("_bucket", "_order", "_guest")
+    within = Window.partitionBy("_bucket").orderBy("_guest", "_key")
+    return prepare(every.repartition("_bucket")).withColumn("next", F.lead(F.struct(*carried)).over(within)).where(~F.col("_guest")).drop("_bucket", "_key", "_guest")
 
 
 def fingerprint_edits(documents: DataFrame) -> DataFrame:
