@@ -3,11 +3,14 @@
 Each partition tokenises its documents and packs the pieces best-fit decreasing. Full
 pieces and bins that are nearly full are final at once. Underfull bins are carried as
 items into a tree of merges (``FAN_IN`` groups at a time), where best-fit runs again,
-until one group is left. Two bins of one best-fit pass never fit together, so at most one
-bin of a group is half full or less, and only those can fill gaps of other groups: each
-group carries its roomiest ``CARRY`` bins and emits the others as they are. Nothing is
-left out; a bin that is not carried is a finished sequence. What a merge holds is bounded
-by ``FAN_IN * CARRY`` items.
+until one group is left. Each group carries its roomiest ``CARRY`` bins and emits the others
+as they are, and that costs no sequence. Two bins of one best-fit pass never fit together
+(the first item of the later one would have gone into the earlier one, and fills only grow),
+so at most one bin of a pass is half full or less. To join two bins one must be, so a
+merge of ``FAN_IN`` groups can save no more bins than it has of those, one for each pass
+below it; and a bin that fits into any bin of a group fits into a roomier one. With as many
+roomy bins carried as there are small ones, every join that all bins would allow is there.
+What a merge holds is bounded by ``FAN_IN * CARRY`` items, what a pass holds by ``PASS`` pieces.
 
 Defined cases: null texts are empty (one end token); a document of more than ``capacity``
 tokens is cut into pieces of ``capacity``; rows with equal or null ids are packed like any
@@ -32,8 +35,8 @@ from foliospark.llm.common import CACHE_WORDS, Scratch, slices, texts_of
 CAPACITY = 4096
 FAN_IN = 8
 CARRY = 2048
-#: A bin with no more room than this is finished in the first pass.
-SLACK = 8
+#: Pieces that one best-fit pass packs; a partition of more takes several passes.
+PASS = 200_000
 END_ID = 1
 
 #: Marks that the tokenizer always parts from a letter or digit before them.
@@ -67,7 +70,8 @@ class WordIds(dict):
         parts: list[tuple[bytes, bytes]] = []
         for w in words:
             head = w.rstrip(_MARKS)
-            whole = not head or len(head) == len(w) or not head.decode("utf-8", "replace")[-1].isalnum()
+            # a letter may become a letter and a mark when the tokenizer lowers it
+            whole = not head or len(head) == len(w) or not head.decode("utf-8", "replace")[-1].lower()[-1].isalnum()
             parts.append((w, b"") if whole else (head, w[len(head) :]))
         new = list({p for pair in parts for p in pair if p}.difference(self))
         for at in range(0, len(new), 2000):
@@ -117,27 +121,30 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _local(path: str, capacity: int):
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def packed(rows: list[tuple], first: int) -> tuple[pa.Table, int]:
+        columns = list(zip(*rows, strict=True))
+        bin_of, place, fills = best_fit(np.array(columns[3], np.int64), capacity)
+        arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(first + bin_of), pa.array(place), pa.array(fills[bin_of])]
+        return pa.Table.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "fill"]), len(fills)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
+        first = TaskContext.get().partitionId() << 32
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.ids(texts_of(batch)), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-        if not rows:
-            return
-        columns = list(zip(*rows, strict=True))
-        sizes = np.array(columns[3], np.int64)
-        bin_of, place, fills = best_fit(sizes, capacity)
-        base = TaskContext.get().partitionId() << 32
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        table = pa.Table.from_arrays(
-            [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(base + bin_of), pa.array(place), pa.array(fills[bin_of])],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "fill"],
-        )
-        yield from table.to_batches(max_chunksize=20_000)
+            if len(rows) >= PASS:
+                table, bins = packed(rows, first)
+                yield from table.to_batches(max_chunksize=20_000)
+                rows, first = [], first + bins
+        if rows:
+            yield from packed(rows, first)[0].to_batches(max_chunksize=20_000)
 
     return pack
 
@@ -162,8 +169,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, capacity: int =
     bins = pieces.where(F.col("place") == 0).select("bin", "fill", F.shiftright("bin", 32).alias("node"))
     moved = pieces.select("*", F.col("bin").alias("sequence_id"), F.col("place").alias("offset")).drop("bin", "place", "fill")
     nodes = (bins.agg(F.max("node")).first()[0] or 0) + 1
-    # the smallest `carry` fills of each node: counts of fills are bounded by the capacity
-    items = bins.where(F.col("fill") < capacity - SLACK)
+    items = bins.where(F.col("fill") < capacity)
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
         items = _roomiest(items, carry).withColumn("node", F.floor(F.col("node") / FAN_IN))
