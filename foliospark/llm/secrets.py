@@ -3,8 +3,9 @@
 Base patterns give candidate spans (assignments of credentials, access key ids, long hex
 strings). Structural confirmation then decodes base64 and hex runs and reports those whose
 bytes parse as a key: DER with nested lengths that fill the value exactly, length-prefixed
-key blobs, PEM bodies between their markers, and signed tokens whose header is a JSON
-object that names an algorithm. Confirmed spans are added; base spans always stay.
+key blobs and containers of them, PEM bodies between their markers, and signed tokens whose
+header is a JSON object that names an algorithm, whose claims are an object and whose
+signature decodes. Confirmed spans are added; base spans always stay.
 
 Defined cases: null texts are empty; offsets are code points, the end exclusive; matches of
 one kind do not overlap, kinds may; a document row is one row out, also when ids repeat.
@@ -92,27 +93,55 @@ def is_der(data: bytes) -> bool:
     return len(data) >= 24 and bool(seen & {0x02, 0x03, 0x04})
 
 
+def _fields(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at`` on (``count`` of them, or all up to the end) and where they end; None if one doesn't fit."""
+    found: list[bytes] = []
+    while at < len(data) if count is None else len(found) < count:
+        if at + 4 > len(data):
+            return None
+        size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if at + size > len(data):
+            return None
+        found.append(data[at : at + size])
+        at += size
+    return found, at
+
+
 def is_blob(data: bytes) -> bool:
-    """Length-prefixed fields that fill the data, the first an algorithm name; or a private key container."""
+    """Length-prefixed fields that fill the data, the first an algorithm name; or a private key container of such blobs."""
     if data.startswith(BLOB_MAGIC):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0] in BLOB_NAMES
-
-
-def is_token_header(part: str) -> bool:
-    """A base64url JSON object that names its algorithm."""
+        return is_container(data)
+    read = _fields(data, 0)
+    return read is not None and len(read[0]) >= 2 and read[0][0] in BLOB_NAMES
+
+
+def is_container(data: bytes) -> bool:
+    """Cipher, key derivation and its options, a count, that many public key blobs and the private part, which fill the data."""
+    read = _fields(data, len(BLOB_MAGIC), 3)
+    if read is None or read[1] + 4 > len(data) or not read[0][0] or not read[0][1]:
+        return False
+    count = int.from_bytes(data[read[1] : read[1] + 4], "big")
+    if not 1 <= count <= 16:
+        return False
+    keys = _fields(data, read[1] + 4, count + 1)
+    return keys is not None and keys[1] == len(data) and len(keys[0][-1]) >= 8 and all(not k.startswith(BLOB_MAGIC) and is_blob(k) for k in keys[0][:-1])
+
+
+def _object(part: str) -> dict | None:
+    """The JSON object that a base64url part holds."""
     try:
-        header = json.loads(decoded(part) or b"")
+        value = json.loads(decoded(part) or b"")
     except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def is_token(header: str, claims: str, signature: str) -> bool:
+    """A header that names its algorithm, claims that are an object, and a signature that decodes (none only if the algorithm is none)."""
+    named = (_object(header) or {}).get("alg")
+    if not isinstance(named, str) or _object(claims) is None:
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+    return named.lower() == "none" if not signature else bool(decoded(signature))
 
 
 def confirmed(text: str) -> list[tuple[int, int, str]]:
@@ -121,7 +150,7 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
     if "-----BEGIN" in text:
         spans += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if (b := decoded("".join(m[2].split()))) and (is_der(b) or is_blob(b))]
     if "eyJ" in text:
-        spans += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_token_header(m[1])]
+        spans += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_token(m[1], m[2], m[3])]
     if _LONG.search(text):
         for m in _BASE64.finditer(text):
             if data := decoded(m[0]):
