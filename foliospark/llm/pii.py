@@ -6,7 +6,9 @@ network over integers with cycle walking. Equal values get equal pseudonyms in e
 document; the separators, the length and the kind of the value stay, and the key holder
 can undo it. Dates keep their notation and link across notations. Every character of a
 mail address's local part and domain labels is permuted within its class; the top-level
-domain stays.
+domain stays. Addresses that differ by case only have pseudonyms that differ by case only.
+The key is the secret: whoever has it can undo all pseudonyms, so there is no default but in
+the registered queries, where the setting ``KEY_SETTING`` replaces a key that is public.
 
 Defined cases: null text stays null; text without findings is unchanged; other columns pass
 through untouched; rows with equal or null ids are treated alike; a value is replaced by the
@@ -23,7 +25,7 @@ from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +35,8 @@ KINDS = ("email", "iban", "ip", "card", "ssn", "date", "phone")
 ROUNDS = 8
 #: Dates are permuted among the days of these years.
 FIRST_YEAR, LAST_YEAR = 1900, 2099
-DEFAULT_KEY = b"foliospark pseudonyms"
+#: A key that everybody knows, for tests and samples, and the Spark setting that holds the real one.
+PUBLIC_KEY, KEY_SETTING = b"foliospark pseudonyms", "spark.foliospark.pii.key"
 
 # English month names, and lengths of IBANs by country.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -190,39 +193,42 @@ def _phone(value: str, key: bytes, back: bool) -> str | None:
     return _refill(value, d[:keep] + f"{feistel(key, f'phone{n}', 10**n).walk(int(d[keep:]), back=back):0{n}d}")
 
 
-def _classes(text: str, key: bytes, tweak: str, back: bool) -> str:
-    """Permutes all letters and digits together, each within its class, others stay."""
-    radix = [10 if c.isdigit() else 26 for c in text if c.isalnum()]
-    first = ["0" if c.isdigit() else "a" if c.islower() else "A" for c in text if c.isalnum()]
+def _classes(text: str, key: bytes, tweak: str, back: bool, *, fold: bool = False) -> str:
+    """Permutes all letters and digits together, each within its class, others stay; folded, a letter's case stays but counts for nothing."""
+    symbols = [c for c in text if c.isalnum()]
+    read = [c.lower() for c in symbols] if fold else symbols
+    first = ["0" if c.isdigit() else "a" if c.islower() else "A" for c in read]
+    radix = [10 if f == "0" else 26 for f in first]
     size, x = 1, 0
-    for c, r, f in zip((c for c in text if c.isalnum()), radix, first, strict=True):
+    for c, r, f in zip(read, radix, first, strict=True):
         size, x = size * r, x * r + ord(c) - ord(f)
     if size == 1:
         return text
     x, out = feistel(key, tweak + "".join(first), size).walk(x, back=back), []
-    for r, f in zip(reversed(radix), reversed(first), strict=True):
+    for r, f, c in zip(reversed(radix), reversed(first), reversed(symbols), strict=True):
         x, digit = divmod(x, r)
-        out.append(chr(ord(f) + digit))
+        new = chr(ord(f) + digit)
+        out.append(new.upper() if fold and c.isupper() else new)
     return _refill(text, "".join(reversed(out)))
 
 
 def _email(value: str, key: bytes, back: bool) -> str:
-    """Compared without regard to case in the domain; the top-level domain stays."""
+    """Compared without regard to case, which each letter keeps; the top-level domain stays."""
     local, _, domain = value.rpartition("@")
     labels, _, top = domain.rpartition(".")
-    return f"{_classes(local, key, 'mail', back)}@{_classes(labels, key, 'host', back)}.{top}"
+    return f"{_classes(local, key, 'mail', back, fold=True)}@{_classes(labels, key, 'host', back, fold=True)}.{top}"
 
 
 _PERMUTE = {"email": _email, "iban": _iban, "ip": _ip, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone}
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(kind: str, value: str, key: bytes = DEFAULT_KEY, back: bool = False) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes = PUBLIC_KEY, back: bool = False) -> str | None:
     """The pseudonym of a value of ``kind``; None if it isn't a valid one. ``back`` undoes it."""
     return _PERMUTE[kind](value, key, back)
 
 
-def replaced(text: str, key: bytes = DEFAULT_KEY, *, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def replaced(text: str, key: bytes = PUBLIC_KEY, *, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was replaced in the old text."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
@@ -303,7 +309,13 @@ def _scan(key: bytes, names: list[str], spans: str | None):
     return scan
 
 
-def pseudonymise(documents: DataFrame, *, key: bytes = DEFAULT_KEY, spans: str | None = None) -> DataFrame:
+def configured_key(spark: SparkSession) -> bytes:
+    """The key in the setting ``KEY_SETTING``; where it is unset, the public one, which protects nothing."""
+    value = spark.conf.get(KEY_SETTING, None)
+    return value.encode() if value else PUBLIC_KEY
+
+
+def pseudonymise(documents: DataFrame, key: bytes, *, spans: str | None = None) -> DataFrame:
     """All columns of ``documents`` with pseudonyms in ``text``; ``spans`` names a further column for what was replaced (a column of that name must not exist)."""
     typed = documents.withColumn("text", F.col("text").cast("string"))
     added = [T.StructField(spans, T._parse_datatype_string(SPANS))] if spans else []

@@ -9,7 +9,7 @@ from foliospark.llm.decontaminate import find_contamination
 from foliospark.llm.fingerprints import fingerprint_edits
 from foliospark.llm.html import extract_pages
 from foliospark.llm.packing import pack_documents
-from foliospark.llm.pii import KINDS, pseudonymise
+from foliospark.llm.pii import KINDS, configured_key, pseudonymise
 from foliospark.llm.secrets import BASE, find_secrets
 from foliospark.llm.simhash import near_duplicates
 from foliospark.llm.substrings import drop_repeated_windows
@@ -28,7 +28,7 @@ def tokenizer_path() -> str:
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymise(table(spark, sf_dir, "documents"), spans="pii_spans")
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark), spans="pii_spans")
     of = lambda kind: F.filter("pii_spans", lambda s: s["kind"] == kind)
     counts = (F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS)
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), *counts)
