@@ -5,8 +5,9 @@ super-k-mers are one content, whose first document is found by an aggregation th
 before the shuffle; in every later document all its windows are repeats. Only contents whose
 minimiser has other contents too need a comparison window by window: each travels once, as
 one packed string, to the bucket of its minimiser, where sorting the windows finds the
-first document of each exactly. Buckets of more than ``HOT`` contents are compared by an
-aggregation over their windows' 128-bit hashes instead, so that no task gathers them.
+first document of each exactly. A bucket of more than ``HOT`` contents is split: each of its
+windows travels as a packed string of its own, and a salted aggregation over the strings
+finds the first document of each, as exactly, without a task that gathers them.
 
 Defined cases: null texts have no words; documents of fewer words than a window keep all;
 a document without an id counts as later than all others; rows of equal ids are not
@@ -17,36 +18,32 @@ document only are kept; extra columns are ignored. Contents are told apart by 12
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Scratch, WordHashes, rolling, runs, slices, texts_of
+from foliospark.llm.common import Scratch, WordHashes, runs, slices, texts_of
 from foliospark.llm.superkmers import super_kmers
 
 WINDOW, GRAM = 50, 8
-HOT = 1000
+#: A minimiser with more contents is hot: its windows are dealt one by one, with ``SALTS`` salts.
+HOT, SALTS = 1000, 16
 NO_ID = (1 << 63) - 1
 #: A content: its minimiser and a hash of its symbols, 128 bits together.
 KEYS = ["mini", "c1"]
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text, and what identifies a row in the steps between: ord (the id; the largest if null) and tkey.
-
-    ``tkey`` is a hash of the text; where all ids are distinct the id is enough, and it is 0.
-    """
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    distinct = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    """doc_id, text, and what identifies a row in the steps between: ord (the id; the largest if null) and tkey, a hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"),
-        (F.lit(0).cast("long") if distinct else F.xxhash64(text)).alias("tkey"),
+        F.xxhash64(text).alias("tkey"),
     )
 
 
@@ -87,23 +84,30 @@ def _pack(window: int):
 
 
 def _unpack_hot(window: int):
-    """Documents with what is asked of them -> one row for each window of the hot contents."""
+    """Documents with what is asked of them -> one row, with its words, for each window of the hot contents."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in slices(batches):
             for text, order, asked in zip(texts_of(batch), batch.column("ord").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                words = cache.array(text.split())
+                words = text.split()
                 for a in asked:
-                    part = words[a["start"] : a["start"] + a["count"] + window - 1]
                     n = a["count"]
-                    hashes = [rolling(x, window, b).view(np.int64) for x, b in ((part, 0x9FB21C651E98DF25), (part * np.uint64(3) + np.uint64(1), 0xD6E8FEB86659FD93))]
+                    packed = [b" ".join(words[i : i + window]) for i in range(a["start"], a["start"] + n)]
                     ids = [np.full(n, a[k]) for k in KEYS]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, *ids, np.full(n, order), np.arange(n, dtype=np.int32))], names=["w1", "w2", *KEYS, "ord", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *(pa.array(x) for x in (*ids, np.full(n, order), np.arange(n, dtype=np.int32)))], names=["packed", *KEYS, "ord", "at"])
 
     return emit
 
 
+def _late_windows(each: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of rows (packed, mini, c1, ord, at) those whose window a smaller document has: minima by salted window first, so that no task gathers a common one."""
+    salted = scratch.keep(each.withColumn("salt", F.pmod(F.col("c1"), F.lit(SALTS))), "hot")
+    some = scratch.keep(salted.groupBy("packed", "salt").agg(F.min("ord").alias("low")), "low")
+    owner = some.groupBy("packed").agg(F.min("low").alias("owner"))
+    late = salted.join(some.select("packed", "salt").join(owner, "packed"), ["packed", "salt"])
+    return late.where(F.col("ord") > F.col("owner")).groupBy(*KEYS).agg(F.sort_array(F.collect_set("at")).alias("windows"))
+
+
 def first_owners(bucket: list[tuple[int, bytes]], window: int) -> list[list[int]]:
     """Of contents (document, packed words) the windows that a smaller document has too, by sorting them."""
     windows: list[tuple[bytes, int, int, int]] = []
@@ -136,7 +140,7 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _compare(window: int, count: Callable):
+def _compare(window: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
@@ -145,7 +149,7 @@ def _compare(window: int, count: Callable):
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.list_(pa.int32()))], names=[*KEYS, "windows"])
 
         for bucket in buckets(batches):
-            for row, windows in zip(bucket, count([(r["ord"], r["packed"]) for r in bucket], window), strict=True):
+            for row, windows in zip(bucket, first_owners([(r["ord"], r["packed"]) for r in bucket], window), strict=True):
                 if windows:
                     out.append((row["mini"], row["c1"], sorted(windows)))
             if len(out) >= 5000:
@@ -157,7 +161,7 @@ def _compare(window: int, count: Callable):
     return compare
 
 
-def repeated_windows(rows: DataFrame, occurrences: DataFrame, scratch: Scratch, window: int, packer, comparer, hot_windows, hot: int = HOT) -> DataFrame:
+def repeated_windows(rows: DataFrame, occurrences: DataFrame, scratch: Scratch, window: int, hot: int = HOT) -> DataFrame:
     """Per row (ord, tkey) the super-k-mers with repeats: array of struct(start, count, windows; null: all).
 
     Each step that others read, and each that shuffles much, is a table of its own, so that
@@ -171,15 +175,12 @@ def repeated_windows(rows: DataFrame, occurrences: DataFrame, scratch: Scratch,
     asked = scratch.keep(contested.groupBy("ord", "tkey").agg(ask.alias("asked"), F.max("hot").alias("hot")), "asked")
     wanted = rows.select("ord", "tkey", "text").join(asked, ["ord", "tkey"])
     of = lambda is_hot: wanted.select("ord", "text", F.filter("asked", lambda a: a["hot"] == F.lit(is_hot)).alias("asked"))
-    packed = of(False).mapInArrow(packer(window), "mini long, c1 long, ord long, packed binary")
-    found = packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(comparer, "mini long, c1 long, windows array<int>")
+    packed = of(False).mapInArrow(_pack(window), "mini long, c1 long, ord long, packed binary")
+    found = packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(_compare(window), "mini long, c1 long, windows array<int>")
     if not asked.where("hot").isEmpty():
         found = scratch.keep(found, "cold")
-        each = of(True).where(F.size("asked") > 0).mapInArrow(hot_windows(window), "w1 long, w2 long, mini long, c1 long, ord long, at int")
-        each = scratch.keep(each, "hot")
-        owner = each.groupBy("w1", "w2").agg(F.min("ord").alias("owner"))
-        late = each.join(owner, ["w1", "w2"]).where(F.col("ord") > F.col("owner"))
-        found = found.unionByName(late.groupBy(*KEYS).agg(F.sort_array(F.collect_set("at")).alias("windows")))
+        each = of(True).where(F.size("asked") > 0).mapInArrow(_unpack_hot(window), "packed binary, mini long, c1 long, ord long, at int")
+        found = found.unionByName(_late_windows(each, scratch))
     found = scratch.keep(found, "found")
     # contents that a later document has too, or of which the first document has repeats
     several = contents.where(F.col("last_ord") > F.col("first.ord")).select(*KEYS, F.col("first.ord").alias("first_ord"))
@@ -233,5 +234,5 @@ def drop_repeated_windows(documents: DataFrame, *, window: int = WINDOW, gram: i
     scratch = Scratch(documents.sparkSession, "windows")
     rows = keyed(documents)
     found = scratch.keep(rows.select("ord", "tkey", "text").mapInArrow(_occurrences(window, gram), "mini long, c1 long, ord long, tkey long, start int, count int"), "occurrences")
-    marks = repeated_windows(rows, found, scratch, window, _pack, _compare(window, first_owners), _unpack_hot, hot)
+    marks = repeated_windows(rows, found, scratch, window, hot)
     return rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "marks").mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,end:int>>")

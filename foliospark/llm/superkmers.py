@@ -3,7 +3,7 @@
 A window of ``size`` symbols has as minimiser the smallest hash among its runs of ``gram``
 symbols, which depends on the window alone: equal windows have equal minimisers wherever
 they are. Consecutive windows of one minimiser form a super-k-mer of ``count`` windows that
-spans ``count + size - 1`` symbols.
+spans ``count + size - 1`` symbols; longer runs than a minimiser can stay in sight are cut.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ def super_kmers(symbols: np.ndarray, lengths: np.ndarray, size: int, gram: int)
         none, hashes = np.empty(0, np.int64), np.empty(0, np.uint64)
         return SuperKmers(none, none, none, hashes, hashes)
     fresh = np.concatenate(([True], (np.diff(at) != 1) | (low[at[1:]] != low[at[:-1]])))
+    begun = np.flatnonzero(fresh)
+    fresh |= (np.arange(len(at)) - np.repeat(begun, np.diff(np.append(begun, len(at))))) % (size - gram + 1) == 0  # a repetitive text's runs are cut
     first = at[fresh]
     count = np.diff(np.append(np.flatnonzero(fresh), len(at)))
     doc = np.searchsorted(starts, first, side="right") - 1
