@@ -256,6 +256,26 @@ def test_fingerprints(spark, docs, sample):
     assert np.abs(errors).mean() < 0.04 and np.abs(errors).max() < 0.25
 
 
+@pytest.mark.parametrize("bucket_rows", [2048, 7])
+def test_next_of_any_ids(spark, docs, bucket_rows, monkeypatch):
+    from foliospark.llm import fingerprints as module
+
+    rng = random.Random(1)
+    rows = [(i, f"text {k}") for k, i in enumerate([-(2**62) - 9, 2**62 + 5, -(2**63), 2**63 - 1, 0, 1, 2, 3, *range(1000, 1040)])]
+    rows += [(None, f"none {k}") for k in range(20)] + [(5, f"five {k}") for k in range(20)]
+    rng.shuffle(rows)
+    frame = docs(rows).select("doc_id", "text").repartition(5)
+    got = module.with_next(frame, ["doc_id", "text"], lambda x: x, bucket_rows=bucket_rows).collect()
+    after = {(r["doc_id"], r["text"]): (r["next"]["doc_id"], r["next"]["text"]) for r in got}
+    assert len(got) == len(rows) and set(after) == set(rows)
+    chain = [max((r for r in rows if r[0] is not None), key=lambda r: r[0])]
+    while len(chain) < len(rows):
+        chain.append(after[chain[-1]])
+    assert after[chain[-1]] == chain[0] and set(chain) == set(rows)
+    ids = [i for i, _ in chain]
+    assert ids == sorted((i for i in ids if i is not None), reverse=True) + [None] * 20
+
+
 def test_no_python_in_the_native_plan(spark, docs):
     plan = fingerprint_edits(docs([(1, "a"), (2, "b")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -16,7 +16,7 @@ from foliospark.llm.html import extract_pages, extract_text
 from foliospark.llm.packing import WordIds, best_fit, pack_documents
 from foliospark.llm.pii import Feistel, luhn_digit, pseudonym, pseudonymise, replaced
 from foliospark.llm.queries import tokenizer_path
-from foliospark.llm.secrets import base_spans, confirmed, find_secrets, is_der, scan_text
+from foliospark.llm.secrets import base_spans, confirmed, find_secrets, is_blob, is_der, scan_text
 from foliospark.llm.toxicity import Network, Scorer, _sigmoid, score_toxicity, train, window_starts, words_of
 
 # --- PII ---
@@ -60,14 +60,20 @@ def test_cards_keep_their_check_digit():
     assert digits[0] == "4" and luhn_digit(digits[:-1]) == digits[-1]
 
 
+def test_addresses_link_across_case():
+    a, b = (pseudonym("email", x) for x in ("bob.x@Example.org", "BOB.x@example.org"))
+    assert a != b and a.lower() == b.lower() and a[6:] != b[6:]
+    assert pseudonym("email", a, back=True) == "bob.x@Example.org"
+
+
 def test_pseudonymise_keeps_rows_and_columns(docs):
     rows = [(1, "mail a.b@c.org"), (2, None), (None, "to a.b@c.org"), (2, "")]
     frame = docs(rows).withColumn("spans", F.lit("clash"))
-    got = pseudonymise(frame)
+    got = pseudonymise(frame, b"key")
     assert got.columns == frame.columns
     texts = [r["text"] for r in got.collect()]
     assert texts[1] is None and texts[3] == "" and texts[0].split()[1] == texts[2].split()[1] != "a.b@c.org"
-    assert pseudonymise(docs([])).count() == 0
+    assert pseudonymise(docs([]), b"key").count() == 0
 
 
 # --- HTML ---
@@ -109,6 +115,16 @@ def test_word_ids_equal_the_tokenizer(sample):
         assert np.frombuffer(ids.ids([text.encode()])[0], "<u4").tolist() == want
 
 
+def test_word_ids_of_any_unicode():
+    ids, rng = WordIds(tokenizer_path()), random.Random(3)
+    special = "İıßẞΣςσŉǰΐἼǅﬁﬀİ😀👩‍🚀é̂क्षि中文한국ท้ำ،؟。…—«»“”'\u0307\u200b\u00ad\ufeff\x00\x1c\x85\u2028\xa0"
+    plain = "abcXYZ 012.,:;!?*#$%&()[]{}<>@/\\|_~^`+=-\"'\t\n"
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice((special, plain, plain))) if rng.random() < 0.95 else chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(rng.randrange(1, 14)))
+        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.ids([text.encode()])[0], "<u4").tolist() == want, ascii(text)
+
+
 def test_best_fit():
     sizes = np.array([6, 5, 4, 3, 2])
     bins, place, fills = best_fit(sizes, 10)
@@ -144,6 +160,16 @@ def test_packing(docs, sample):
     assert pack_documents(docs([]), tokenizer_path()).count() == 0
 
 
+def test_carrying_the_roomiest_bins_costs_no_sequence(docs, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, " ".join(["a"] * rng.choice([1, 3, 9, 20, 33, 48, 60, 90]))) for k in range(300)]
+    frame = docs(rows).repartition(12)
+    used = {carry: pack_documents(frame, tokenizer_path(), capacity=100, carry=carry).select("sequence_id").distinct().count() for carry in (8, 100_000)}
+    assert used[8] == used[100_000]
+    monkeypatch.setattr("foliospark.llm.packing.PASS", 1)
+    check_packing(rows[:40], pack_documents(docs(rows[:40]).coalesce(2), tokenizer_path(), capacity=100).collect(), 100)
+
+
 # --- toxicity ---
 
 
@@ -237,6 +263,11 @@ def test_structures():
     assert kinds("k " + base64.b64encode(blob).decode()) == ["blob"]
     body = base64.b64encode(KEY).decode()
     assert "pem" in kinds("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + "\n-----END RSA PRIVATE KEY-----")
+    pack = lambda *x: b"".join(struct.pack(">I", len(b)) + b for b in x)
+    container = b"openssh-key-v1\0" + pack(b"none", b"none", b"") + struct.pack(">I", 1) + pack(blob, bytes(64))
+    assert is_blob(container) and kinds("k " + base64.b64encode(container).decode()) == ["blob"]
+    assert not is_blob(container[:-1]) and not is_blob(b"openssh-key-v1\0" + b"garbage!" * 6) and not is_blob(container + b"\0")
+    assert kinds(f"t {head}.bm90IGpzb24.c2ln x") == [] and kinds(f"t {head}.{claims}. x") == [] and kinds(f"t {head}.{claims}.c x") == []
     assert kinds("eyJhbGciOiJ.eyJ.x") == [] and kinds("A" * 400) == [] and kinds("0" * 400) == []
 
 
