@@ -120,14 +120,11 @@ def with_next(frame: DataFrame, carried: list[str], prepare: Callable[[DataFrame
     wanted = max(1, min(MAX_BOUNDS, -(-frame.count() // bucket_rows)))
     dealt = rows.select("_key").repartitionByRange(wanted, "_key").withColumn("_range", F.spark_partition_id())
     heads = sorted(r["head"] for r in dealt.groupBy("_range").agg(F.min("_key").alias("head")).select("head").collect())
-    bounds, step = F.split(F.lit(",".join(heads)), ","), 1
-    while 2 * step < len(heads):
-        step *= 2
-    rows = rows.withColumn("_bucket", F.lit(0))
-    while step:  # a binary search; each step is a projection of its own
-        at = F.col("_bucket") + step
-        rows = rows.withColumn("_bucket", F.when((at < len(heads)) & (F.get(bounds, at) <= F.col("_key")), at).otherwise(F.col("_bucket")))
-        step //= 2
+    bounds = F.split(F.lit(",".join(heads)), ",")
+    steps = [1 << k for k in reversed(range(max(0, len(heads) - 1).bit_length()))]
+    # a binary search for the last range that starts at or before the key
+    further = lambda at, step: F.when((at + step < len(heads)) & (F.get(bounds, at + step) <= F.col("_key")), at + step).otherwise(at)
+    rows = rows.withColumn("_bucket", F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further) if steps else F.lit(0))
     before = F.when(F.col("_bucket") == 0, F.lit(max(0, len(heads) - 1))).otherwise(F.col("_bucket") - 1)
     guests = rows.where(F.col("_key") == F.get(bounds, F.col("_bucket"))).withColumn("_bucket", before).dropDuplicates(["_bucket"])
     every = rows.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
