@@ -92,8 +92,34 @@ def remove(path: Column, *parts: str) -> Column:
     return F.filter(path, lambda p: ~p.isin(*parts))
 
 
-def remove_indices(path: Column) -> Column:
-    return F.filter(path, lambda p: ~is_index(p))
+def remove_indices(path: Column, num: int | None = None, *, reverse: bool = False) -> Column:
+    """Without list positions: all, or the first ``num`` of them (the last ones in reverse)."""
+    if num is None:
+        return F.filter(path, lambda p: ~is_index(p))
+    ordered = F.reverse(path) if reverse else path
+    # how many positions stand before each part
+    before = F.transform(ordered, lambda p, i: F.size(F.filter(F.slice(ordered, F.lit(1), i), is_index)))
+    kept = F.filter(ordered, lambda p, i: ~(is_index(p) & (F.get(before, i) < num)))
+    return F.reverse(kept) if reverse else kept
+
+
+def remove_by_type(path: Column, types: Column, *dropped: str) -> Column:
+    """Without the parts whose type (one for each part) is dropped."""
+    kept = F.filter(F.arrays_zip(path.alias("p"), types.alias("t")), lambda s: ~F.coalesce(s["t"].isin(*dropped), F.lit(False)))
+    return F.transform(kept, lambda s: s["p"])
+
+
+def valid_path(path: Column) -> Column:
+    """Whether no part is blank."""
+    return F.coalesce(~F.exists(path, lambda p: p.isNull() | (F.trim(p) == "")), F.lit(False))
+
+
+def update_delimiter(text: Column, delimiter: str, old: str | None = None) -> Column:
+    """A path's text with another delimiter; the old one is inferred if it isn't given."""
+    check_delimiter(delimiter)
+    if old is not None:
+        return join_path(split_path(text, old), delimiter)
+    return F.coalesce(F.replace(text, infer_delimiter(text), F.lit(delimiter)), text)
 
 
 def replace_indices(path: Column, constant: str = "i") -> Column:

@@ -170,7 +170,7 @@ def truncated(text: Column, length: int) -> Column:
 
 
 def encode_bytes(content: Column, prefix: str = "<hashbytes>") -> Column:
-    return F.concat(F.lit(prefix), F.base64(content))
+    return F.concat(F.lit(prefix), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))  # in one line
 
 
 def decode_bytes(text: Column, prefix: str = "<hashbytes>") -> Column:

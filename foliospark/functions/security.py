@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 
@@ -64,3 +65,32 @@ def mask_text(text: Column, masks: tuple = DEFAULT_MASKS) -> Column:
     for mask in masks:
         text = mask.apply(text)
     return text
+
+
+def mask_string(text: str, masks: tuple = DEFAULT_MASKS) -> str:
+    """The same masks on one text of the driver."""
+    for m in masks:
+        if isinstance(m, StringMask):
+            text = re.sub(m.pattern if m.regex else re.escape(m.pattern), lambda _, m=m: m.replacement, text)
+            continue
+        fields = m.fields if isinstance(m, FuzzyKeyMask) else (re.escape(m.field),)
+        names = "|".join(sorted(fields, key=lambda f: (-len(f), f)))
+        text = re.sub(rf"""((?:{names})["']?\s*[:=]\s*["']?)({m.pattern})""", lambda x, m=m: x[1] + m.replacement, text, flags=re.I)
+    return text
+
+
+class MaskingFilter(logging.Filter):
+    """Masks a log record's message and its text arguments."""
+
+    def __init__(self, masks: tuple = DEFAULT_MASKS) -> None:
+        super().__init__()
+        self.masks = masks
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        masked = lambda x: mask_string(x, self.masks) if isinstance(x, str) else x
+        record.msg = masked(record.msg)
+        if isinstance(record.args, dict):
+            record.args = {k: masked(v) for k, v in record.args.items()}
+        elif record.args:
+            record.args = tuple(map(masked, record.args))
+        return True

@@ -1,8 +1,8 @@
 """Keyed cache tables on Parquet: upsert by compaction, expiry, namespaces and validity.
 
-A store is a folder with a table (key, cache, namespace, updated_at, expire_at). Each change
-writes a new version beside the old one and switches a pointer file last, so readers see a
-whole version and a failed write leaves the old one.
+A store is a folder with a table (key, cache, updated_at, expire_at). Each change writes a new
+version beside the old one and renames it last, so readers see a whole version, a failed
+write leaves the old one, and those that still read the old one can.
 """
 
 from __future__ import annotations
@@ -44,6 +44,14 @@ def hits(wanted: DataFrame, entries: DataFrame, key: str = "key") -> DataFrame:
     return wanted.join(entries, key)
 
 
+def cached_scan(wanted: DataFrame, entries: DataFrame, fetch, key: str = "key", now: Column | None = None) -> DataFrame:
+    """Wanted keys with their entries: alive ones from the cache, the others from ``fetch`` (missing keys -> entries), with ``from_cache``."""
+    held = alive(entries, now) if "expire_at" in entries.columns else entries
+    found = hits(wanted, held, key).withColumn("from_cache", F.lit(True))
+    fresh = fetch(misses(wanted, held, key)).withColumn("from_cache", F.lit(False))
+    return found.unionByName(fresh, allowMissingColumns=True)
+
+
 def is_valid(stored_key: Column, key: Column, processed: Column, stored_hash: Column, content_hash: Column, stored_schema: Column | None = None, schema: Column | None = None) -> Column:
     """Same key, processed records present, same content hash, and the same schema if one was stored."""
     ok = (stored_key == key) & processed.isNotNull() & (stored_hash == content_hash)
@@ -62,11 +70,15 @@ class CacheTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/current")
+    def _versions(self) -> list[str]:
+        """Whole versions, the oldest first: their names sort by time, and a version is renamed to its name once it is whole."""
+        fs, p = self._fs(self.path)
         if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+            return []
+        return sorted(str(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().startswith("v-"))
+
+    def _current(self) -> str | None:
+        return (self._versions() or [None])[-1]
 
     def _key(self, key: Column) -> Column:
         return namespaced(key, self.namespace) if self.namespace else key
@@ -108,12 +120,17 @@ class CacheTable:
         self._replace(rest)
 
     def _replace(self, frame: DataFrame) -> None:
-        old, version = self._current(), f"v-{uuid.uuid4().hex}"
-        frame.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        if old:
-            fs, p = self._fs(f"{self.path}/{old}")
+        """Writes beside the table and renames, which switches readers at once; the last version before stays for those that read it."""
+        old = self._versions()
+        number = int(old[-1].split("-")[1]) + 1 if old else 1
+        draft, version = f"{self.path}/draft-{uuid.uuid4().hex}", f"{self.path}/v-{number:012d}"
+        frame.write.parquet(draft)
+        fs, p = self._fs(draft)
+        if not fs.rename(p, self._fs(version)[1]):
             fs.delete(p, True)
+            raise RuntimeError(f"another writer has made {version}")
+        for name in old[:-1]:
+            fs.delete(self._fs(f"{self.path}/{name}")[1], True)
 
 
 class NullTable(CacheTable):

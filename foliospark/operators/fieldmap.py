@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions.jsonpath import extract_key
+from foliospark.functions.jsonpath import values_at, values_by
 from foliospark.functions.scalars import collapse
 
 # The shared academic schema, in order.
@@ -25,14 +25,19 @@ UNIVERSAL_FIELDS = (
 UNIVERSAL_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in UNIVERSAL_FIELDS])
 
 
+#: Fields of the shared schema that hold several values.
+MULTI = ("authors", "keywords", "subjects")
+
+
 @dataclass(frozen=True)
 class FieldMap:
-    """Output field -> path, list of paths, or None."""
+    """Output field -> path, list of paths, or None; the fields named in ``multi`` are lists."""
 
     provider_name: str | None
     fields: Mapping[str, str | list[str] | None]
     extras: Mapping[str, str | list[str] | None] = field(default_factory=dict)
     defaults: Mapping[str, str] = field(default_factory=dict)
+    multi: tuple[str, ...] = MULTI
 
     def renamed(self, provider_name: str) -> FieldMap:
         return replace(self, provider_name=provider_name)
@@ -46,24 +51,34 @@ class FieldMap:
         found = {**self.fields, **self.extras}.get(name)
         return [p for p in ([found] if isinstance(found, str) else found or []) if p]
 
-    def normalise(self, records: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str | None = "; ") -> DataFrame:
+    @property
+    def slots(self) -> list[str]:
+        """Every path that is read, once; the record's own provider first."""
+        return list(dict.fromkeys(["provider_name", *(p for n in self.names for p in self.paths(n))]))
+
+    def normalise(self, records: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str | None = None) -> DataFrame:
         """records -> the kept columns and one column for each field; a kept column wins over a field of its name.
 
-        Each path is read once, in a projection below the one that combines them.
+        Without a delimiter the fields of ``multi`` are array<string>, and several values of another
+        field are JSON text; with one, every field is text and several values are joined.
         """
         keep = list(keep)
-        names = [n for n in self.names if n not in keep]
-        column = {p: f"_path_{i}" for i, p in enumerate(dict.fromkeys(p for n in names for p in self.paths(n)))}
-        own = F.get_json_object(F.col(record), "$.provider_name").alias("_provider_name")
-        read = records.select(*keep, own, *(extract_key(F.col(record), p).alias(c) for p, c in column.items()))
-        return read.select(*keep, *(self._value(n, column, delimiter).cast("string").alias(n) for n in names))
+        read = records.select(*keep, values_at(F.col(record), self.slots).alias("_v"))
+        return read.select(*keep, *(self.value(n, delimiter).alias(n) for n in self.names if n not in keep))
 
-    def _value(self, name: str, column: Mapping[str, str], delimiter: str | None) -> Column:
+    def value(self, name: str, delimiter: str | None) -> Column:
+        """A field from the slots in column ``_v``."""
+        at = {p: F.get("_v", F.lit(i)) for i, p in enumerate(self.slots)}
         default = self.defaults.get(name)
         if name == "provider_name":
-            return F.coalesce("_provider_name", F.lit(default), F.lit(self.provider_name))
-        found = [F.when(F.size(column[p]) > 0, collapse(F.col(column[p]), delimiter)) for p in self.paths(name)]
-        value = F.coalesce(*found) if found else F.lit(None).cast("string")
+            return F.coalesce(F.get(at["provider_name"], F.lit(0)), F.lit(default), F.lit(self.provider_name))
+        listed = delimiter is None and name in self.multi
+        if listed:
+            given = [F.when(F.size(at[p]) > 0, at[p]) for p in self.paths(name)]
+            value = F.coalesce(*given) if given else F.lit(None).cast("array<string>")
+            return value if default is None else F.when(value.isNull() | (F.array_join(value, "") == ""), F.array(F.lit(default))).otherwise(value)
+        given = [F.when(F.size(at[p]) > 0, collapse(at[p], delimiter)) for p in self.paths(name)]
+        value = F.coalesce(*given) if given else F.lit(None).cast("string")
         return value if default is None else F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
@@ -87,9 +102,27 @@ def union_normalised(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def normalise_pages(records: DataFrame, maps: Mapping[str, FieldMap], provider: str = "provider", record: str = "record", keep: Iterable[str] = ()) -> DataFrame:
-    """Each provider's records by its own map (the record is read once per provider), then the union."""
-    return union_normalised(m.normalise(records.where(F.col(provider) == name), record, keep) for name, m in maps.items())
+def normalise_pages(records: DataFrame, maps: Mapping[str, FieldMap], provider: str = "provider", record: str = "record", keep: Iterable[str] = (), delimiter: str | None = None) -> DataFrame:
+    """Each record by its provider's map, all in one pass; records of other providers are dropped. Columns that a map lacks are null."""
+    keep = list(keep)
+    names = [n for n in dict.fromkeys(n for m in maps.values() for n in m.names) if n not in keep]
+    known = records.where(F.col(provider).isin(list(maps)))
+    read = known.select(*keep, F.col(provider).alias("_k"), values_by(F.col(provider), F.col(record), {k: m.slots for k, m in maps.items()}).alias("_v"))
+
+    def chosen(name: str) -> Column:
+        cases = [(F.col("_k") == k, m.value(name, delimiter)) for k, m in maps.items() if name in m.names]
+        value = F.when(*cases[0])
+        for case in cases[1:]:
+            value = value.when(*case)
+        return value.alias(name)
+
+    return read.select(*keep, *(chosen(n) for n in names))
+
+
+def normalise_by(records: DataFrame, registry, url: str = "url", name: str | None = None, record: str = "record", keep: Iterable[str] = (), delimiter: str | None = None) -> DataFrame:
+    """Each record by the map of the provider of its page's URL, else of the given name; records of unknown providers are dropped."""
+    resolved = registry.resolve(records, F.col(url), F.col(name) if name else F.lit(None).cast("string"))
+    return normalise_pages(resolved, registry.maps, "provider", record, keep, delimiter)
 
 
 def coverage(frame: DataFrame, by: str, fields: Iterable[str]) -> DataFrame:

@@ -12,11 +12,14 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import paths as P
-from foliospark.functions.jsonpath import extract_key, split_key
+from foliospark.functions.jsonpath import as_text as _text
+from foliospark.functions.jsonpath import loaded as _loaded
+from foliospark.functions.jsonpath import split_key, values_at
 from foliospark.functions.scalars import collapse
 
 # Keys that hold metadata, and parts of keys that mark a record.
@@ -24,20 +27,6 @@ METADATA_KEYS = ("metadata", "facets", "IdList")
 RECORD_KEYS = ("title", "doi", "abstract")
 
 
-def _loaded(text: str | None) -> Any:
-    try:
-        return json.loads(text) if text is not None else None
-    except ValueError:
-        return None
-
-
-def _text(value: Any) -> str | None:
-    """A scalar as Python prints it, a container as JSON; None stays None."""
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list)) else str(value)
-
-
 def has_key(value: Any, test: Callable[[str], bool]) -> bool:
     """Whether a key at any depth, through lists, passes the test."""
     if isinstance(value, dict):
@@ -56,11 +45,17 @@ def _test(keys: Iterable[str], regex: bool) -> Callable[[str], bool]:
 
 def key_exists(record: Column, keys: Iterable[str], *, regex: bool = False) -> Column:
     """Whether one of ``keys`` is a key of the record at any depth."""
-    test = _test(list(keys), regex)
+    wanted = [k for k in keys if k]
+    test = _test(wanted, regex)
+
+    def holds(text: str | None) -> bool:
+        if text is None or not regex and "\\" not in text and not any(f'"{k}"' in text for k in wanted):
+            return False  # without escapes, a key that is there is there as it is written
+        return has_key(_loaded(text), test)
 
-    @F.pandas_udf("boolean")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: has_key(_loaded(t), test))
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array(map(holds, texts.to_pylist()), pa.bool_())
 
     return found(record)
 
@@ -78,8 +73,8 @@ def select_paths(frame: DataFrame, keys: Mapping[str, str] | Iterable[str], reco
     """Projection by path with rename: names -> paths, or paths that name themselves."""
     named = dict(keys) if isinstance(keys, Mapping) else {k: k for k in keys if k}
     keep = list(keep)
-    read = frame.select(*keep, *(extract_key(F.col(record), p).alias(f"_path_{i}") for i, p in enumerate(named.values())))
-    return read.select(*keep, *(collapse(F.col(f"_path_{i}"), delimiter).alias(n) for i, n in enumerate(named)))
+    read = frame.select(*keep, values_at(F.col(record), list(named.values())).alias("_v"))
+    return read.select(*keep, *(collapse(F.get("_v", F.lit(i)), delimiter).alias(n) for i, n in enumerate(named)))
 
 
 # --- extraction of records and metadata from a page ---
@@ -160,6 +155,11 @@ def leaves(value: Any, path: tuple = ()) -> Iterator[tuple[tuple, Any]]:
 _NODE = "array<struct<path:array<string>,is_index:array<boolean>,ord:int,value:string,value_type:string>>"
 
 
+def numbered(frame: DataFrame, name: str = "row") -> DataFrame:
+    """Adds a number for each row, for operators that must tell records apart whose other columns may be equal."""
+    return frame.withColumn(name, F.monotonically_increasing_id())
+
+
 def nodes(frame: DataFrame, record: str = "record", keep: Iterable[str] = (), max_depth: int | None = None) -> DataFrame:
     """One row for each leaf of each record: path, is_index, ord, value, value_type."""
 
@@ -175,16 +175,78 @@ def nodes(frame: DataFrame, record: str = "record", keep: Iterable[str] = (), ma
     return frame.select(*keep, F.explode(split(F.col(record))).alias("n")).select(*keep, "n.*")
 
 
-def flatten_records(frame: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str = "; ", ignore_parts: Iterable[str] = ()) -> DataFrame:
-    """All leaves as a map: index-free dotted path -> values joined in order; null values are skipped."""
-    keep, ignored = list(keep), list(ignore_parts)
-    flat = nodes(frame, record, keep).withColumn("key", P.join_path(P.drop_parts(F.col("path"), F.col("is_index"))))
-    if ignored:
-        flat = flat.where(~F.arrays_overlap("path", F.array(*map(F.lit, ignored))))
-    by_key = flat.groupBy(*keep, "key").agg(F.min("ord").alias("at"), F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("ord", "value")))).alias("v"))
-    text = F.nullif(F.array_join(F.transform("v", lambda x: x["value"]), delimiter), F.lit(""))
-    entries = F.array_sort(F.collect_list(F.struct("at", "key", text.alias("value"))))
-    return by_key.groupBy(*keep).agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"]))).alias("fields"))
+def short_name(path: tuple[str, ...], taken: set[str]) -> str:
+    """The shortest suffix of a path that is not taken; a number behind the whole path if all are."""
+    for n in range(1, len(path) + 1):
+        name = ".".join(path[-n:])
+        if name not in taken:
+            return name
+    base, k = ".".join(path), 1
+    while f"{base}.{k}" in taken:
+        k += 1
+    return f"{base}.{k}"
+
+
+def flat_fields(value: Any, delimiter: str = "; ", ignored: frozenset[str] = frozenset(), *, full_path: bool = True) -> dict[str, str | None]:
+    """All leaves of one record: name -> values joined in order; null values are skipped, none is null."""
+    found: dict[tuple[str, ...], list] = {}
+    for path, leaf in leaves(value):
+        named = tuple(p for p in path if not isinstance(p, int))
+        if path and not ignored.intersection(map(str, path)):
+            found.setdefault(tuple(p for p in named if p != "value") or named, []).append(leaf)
+    out: dict[str, str | None] = {}
+    for path, values in found.items():
+        name = ".".join(path) if full_path else short_name(path, set(out))
+        out[name] = delimiter.join(_text(v) for v in values if v is not None) or None
+    return out
+
+
+def _maps(rows: Iterable[dict[str, str | None] | None]) -> pa.Array:
+    return pa.array([None if r is None else list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))
+
+
+def flatten_records(
+    frame: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str = "; ", ignore_parts: Iterable[str] = (), *,
+    keep_keys: Iterable[str] | None = None, ignore_keys: Iterable[str] | None = None, regex: bool = True, full_path: bool = True,
+) -> DataFrame:
+    """Each record's leaves as a map: index-free dotted path -> values joined in order; null values are skipped.
+
+    One row for each record, in place, whatever ``keep`` holds; a null or broken record has a null map,
+    an empty one an empty map. ``keep_keys`` and ``ignore_keys`` choose records by their keys;
+    ignored keys, like ``ignore_parts``, also prune leaves below a part of that name. Without
+    ``full_path`` a name is the shortest suffix that the record has not used yet.
+    """
+    kept, dropped = list(keep_keys or ()), list(ignore_keys or ())
+    chosen = filter_records(frame, record, kept or None, dropped or None, regex=regex)
+    ignored = frozenset([*ignore_parts, *dropped])
+
+    @F.arrow_udf("map<string,string>")
+    def flat(texts: pa.Array) -> pa.Array:
+        values = map(_loaded, texts.to_pylist())
+        return _maps(None if v is None else {} if v == {} else flat_fields(v, delimiter, ignored, full_path=full_path) for v in values)
+
+    return chosen.select(*keep, flat(F.col(record)).alias("fields"))
+
+
+def distinct_leaves(nodes_frame: DataFrame, keep: Iterable[str]) -> DataFrame:
+    """One row for each (path without positions, value) of a record, with the first place of it."""
+    keep = list(keep)
+    plain = P.drop_parts(F.col("path"), F.col("is_index"), ())
+    return nodes_frame.groupBy(*keep, plain.alias("path"), "value").agg(F.min("ord").alias("ord"))
+
+
+def is_nested_json(record: Column) -> Column:
+    """Whether a value of the record is an object, or a list that holds a list, an object or text."""
+
+    def nested(value: Any) -> bool:
+        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        return any(isinstance(v, dict) or isinstance(v, list) and any(isinstance(x, (dict, list, str)) for x in v) for v in inner)
+
+    @F.arrow_udf("boolean")
+    def test(texts: pa.Array) -> pa.Array:
+        return pa.array([nested(_loaded(t)) for t in texts.to_pylist()], pa.bool_())
+
+    return test(record)
 
 
 def to_wide(frame: DataFrame, names: Iterable[str], fields: str = "fields", keep: Iterable[str] = ()) -> DataFrame:
@@ -193,24 +255,38 @@ def to_wide(frame: DataFrame, names: Iterable[str], fields: str = "fields", keep
 
 
 def discover_keys(frame: DataFrame, record: str = "record") -> DataFrame:
-    """key -> distinct index-free paths over the whole batch, with whether each is terminal."""
+    """key -> distinct index-free paths over all records, in the order in which they are first seen, with whether each is terminal.
 
-    @F.pandas_udf("array<struct<key:string,path:string,terminal:boolean>>")
-    def keys(texts: pd.Series) -> pd.Series:
-        def walk(value: Any, path: tuple[str, ...]) -> Iterator[tuple[str, str, bool]]:
-            if isinstance(value, dict):
-                for k, v in value.items():
-                    inner = (*path, k)
-                    yield k, ".".join(inner), _terminal(v)
-                    yield from walk(v, inner)
-            elif isinstance(value, list):
-                for v in value:
-                    yield from walk(v, path)
-
-        return texts.map(lambda t: [{"key": k, "path": p, "terminal": e} for k, p, e in dict.fromkeys(walk(_loaded(t), ()))])
+    Each Arrow batch sends a key and path once, so what is shuffled follows the schema and not the data.
+    """
 
-    found = frame.select(F.explode(keys(F.col(record))).alias("k")).select("k.*")
-    return found.groupBy("key", "path").agg(F.bool_and("terminal").alias("terminal")).groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.bool_or("terminal").alias("terminal"))
+    def walk(value: Any, path: tuple[str, ...]) -> Iterator[tuple[str, str, bool]]:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                inner = (*path, k)
+                yield k, ".".join(inner), _terminal(v)
+                yield from walk(v, inner)
+        elif isinstance(value, list):
+            for v in value:
+                yield from walk(v, path)
+
+    def discover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple[str, str], list] = {}
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("record").to_pylist(), strict=True):
+                for at, (key, path, terminal) in enumerate(walk(_loaded(text), ())):
+                    own = seen.setdefault((key, path), [row, at, True])
+                    own[2] &= terminal
+            rows = [(k, p, t, r, a) for (k, p), (r, a, t) in seen.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "path", "terminal", "row", "at"])
+
+    read = frame.select(F.monotonically_increasing_id().alias("row"), F.col(record).alias("record"))
+    found = read.mapInArrow(discover, "key string, path string, terminal boolean, row long, at int")
+    paths = found.groupBy("key", "path").agg(F.min(F.struct("row", "at")).alias("first"), F.bool_and("terminal").alias("terminal"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "path")))
+    return paths.groupBy("key").agg(F.transform(ordered, lambda p: p["path"]).alias("paths"), F.bool_or("terminal").alias("terminal"))
 
 
 def _terminal(value: Any) -> bool:
@@ -255,41 +331,120 @@ def simplified_names(groups: Iterable[list[str]], max_parts: int = 1) -> dict[tu
     return names
 
 
-#: Most distinct path groups for which names are made on the driver.
+#: Distinct path groups up to which the names go to the workers with the code; beyond, records are joined with them.
 MAX_GROUPS = 100_000
 
 
-def path_rows(frame: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str = "; ", keep_pattern: str | None = None, ignore_pattern: str | None = None) -> DataFrame:
+def _is_position(part: str | int) -> bool:
+    return isinstance(part, int) or part.isascii() and part.isdigit()
+
+
+def _group(path: tuple) -> tuple[str, ...]:
+    """A path without a last list position, other positions made alike."""
+    cut = path[:-1] if _is_position(path[-1]) else path
+    return tuple("i" if _is_position(p) else p for p in cut)
+
+
+def _sort_key(path: tuple) -> str:
+    """Natural order: depth as text, then the parts with digits padded to 8."""
+    return ".".join([str(len(path)), *(str(p).rjust(8, "0") if _is_position(p) else p for p in path)])
+
+
+def _groups(frame: DataFrame, record: str, wanted) -> DataFrame:
+    """The distinct path groups of all records with the first path of each; each Arrow batch sends a group once."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first: dict[tuple[str, ...], str] = {}
+            for text in batch.column(0).to_pylist():
+                for path, _ in wanted(text):
+                    g, k = _group(path), _sort_key(path)
+                    if g not in first or k < first[g]:
+                        first[g] = k
+            yield pa.RecordBatch.from_arrays([pa.array(map(list, first), pa.list_(pa.string())), pa.array(first.values(), pa.string())], names=["grp", "k"])
+
+    found = frame.select(F.col(record).cast("string").alias("record")).mapInArrow(find, "grp array<string>, k string")
+    return found.groupBy("grp").agg(F.min("k").alias("k"))
+
+
+def _joined(values: list, delimiter: str) -> str | None:
+    return None if len(values) == 1 and values[0] is None else delimiter.join("None" if v is None else _text(v) for v in values)
+
+
+def path_rows(frame: DataFrame, record: str = "record", keep: Iterable[str] = (), delimiter: str = "; ", keep_pattern: str | None = None, ignore_pattern: str | None = None, *, regex: bool = True) -> DataFrame:
     """Records as maps of short names -> values as text; names are chosen over the whole batch.
 
-    The distinct path groups (the schema, not the data) go to the driver, at most MAX_GROUPS.
+    One row for each record, in place, whatever ``keep`` holds; a null or broken record has a null map.
+    A record stays if one of its paths has the keep pattern and none the ignore pattern (searched in the dotted
+    path, or as plain text without ``regex``). The names follow the schema, not the data: one task makes them.
     """
-    keep = list(keep)
-    flat = nodes(frame, record, keep)
-    text = P.join_path(F.col("path"))
-    if keep_pattern is not None:
-        good = flat.where(text.rlike(keep_pattern)).select(*keep).distinct()
-        flat = flat.join(good, keep, "left_semi")
-    if ignore_pattern is not None:
-        bad = flat.where(text.rlike(ignore_pattern)).select(*keep).distinct()
-        flat = flat.join(bad, keep, "left_anti")
-    flat = flat.withColumn("grp", P.group(F.col("path")))
-    groups = flat.groupBy("grp").agg(F.min(P.sort_key(F.col("path"))).alias("k")).orderBy("k", F.array_join("grp", ".")).limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} distinct path groups")
-    names = simplified_names([g["grp"] for g in groups])
-    table = frame.sparkSession.createDataFrame([(list(g), n) for g, n in names.items()] or [([], "")], "grp array<string>, name string")
-    named = flat.join(F.broadcast(table), "grp")
-    cells = named.groupBy(*keep, "name").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("value", F.lit("None")).alias("value"), F.col("value").isNull().alias("null")))).alias("v"))
+    find = {k: re.compile(p if regex else re.escape(p)) for k, p in (("keep", keep_pattern), ("ignore", ignore_pattern)) if p is not None}
+
+    def wanted(text: str | None) -> list[tuple[tuple, Any]]:
+        value = _loaded(text)
+        found = [] if value is None or value in ({}, []) else [x for x in leaves(value) if x[0]]
+        dotted = [".".join(map(str, p)) for p, _ in found] if find else []
+        if "keep" in find and not any(find["keep"].search(p) for p in dotted) or "ignore" in find and any(find["ignore"].search(p) for p in dotted):
+            return []
+        return found
+
+    def passes(text: str | None) -> bool:
+        return bool(wanted(text)) or "keep" not in find and _loaded(text) in (None, {}, [])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [g for batch in batches for g in batch.column("grp").to_pylist()]
+        made = simplified_names(groups)
+        yield pa.RecordBatch.from_arrays([pa.array([list(g) for g in made], pa.list_(pa.string())), pa.array(list(made.values()), pa.string())], names=["grp", "name"])
+
+    if find:
+
+        @F.arrow_udf("boolean")
+        def kept(texts: pa.Array) -> pa.Array:
+            return pa.array([passes(t) for t in texts.to_pylist()], pa.bool_())
+
+        frame = frame.where(kept(F.col(record)))
+    named = _groups(frame, record, wanted).orderBy("k", F.array_join("grp", ".")).coalesce(1).mapInArrow(name, "grp array<string>, name string")
+    some = named.limit(MAX_GROUPS + 1).collect()
+    if len(some) > MAX_GROUPS:
+        return _joined_rows(frame, record, list(keep), delimiter, named, wanted)
+    names = {tuple(r["grp"]): r["name"] for r in some}
+
+    @F.arrow_udf("map<string,string>")
+    def rows(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            cells: dict[str, list] = {}
+            for path, v in wanted(text):
+                cells.setdefault(names[_group(path)], []).append(v)
+            out.append(None if _loaded(text) is None else {n: _joined(v, delimiter) for n, v in cells.items()})
+        return _maps(out)
+
+    return frame.select(*keep, rows(F.col(record)).alias("fields"))
+
+
+def _joined_rows(frame: DataFrame, record: str, keep: list[str], delimiter: str, named: DataFrame, wanted) -> DataFrame:
+    """The same where the names are too many to send: leaves meet their names in a join and return to their record by a row number."""
+
+    @F.arrow_udf("array<struct<grp:array<string>,ord:int,value:string>>")
+    def cells(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("grp", pa.list_(pa.string())), ("ord", pa.int32()), ("value", pa.string())]))
+        return pa.array([None if _loaded(t) is None else [{"grp": list(_group(p)), "ord": i, "value": _text(v)} for i, (p, v) in enumerate(wanted(t))] for t in texts.to_pylist()], kind)
+
+    numbered = frame.select(*keep, F.monotonically_increasing_id().alias("_row"), cells(F.col(record)).alias("_cells"))
+    flat = numbered.select("_row", F.explode("_cells").alias("c")).select("_row", "c.*").join(named, "grp")
+    listed = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("value", F.lit("None")).alias("value"), F.col("value").isNull().alias("null"))))
+    by_name = flat.groupBy("_row", "name").agg(listed.alias("v"))
     value = F.when((F.size("v") == 1) & F.col("v")[0]["null"], F.lit(None)).otherwise(F.array_join(F.transform("v", lambda x: x["value"]), delimiter))
-    return cells.groupBy(*keep).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", value.alias("value"))))).alias("fields"))
+    fields = by_name.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("name", value.alias("value")))).alias("fields"))
+    none = F.when(F.col("_cells").isNotNull(), F.expr("cast(map() as map<string,string>)"))
+    return numbered.join(fields, "_row", "left").select(*keep, F.coalesce("fields", none).alias("fields"))
 
 
 def combine_counts(nodes_frame: DataFrame, keep: Iterable[str]) -> DataFrame:
     """Pairs a ``count`` leaf with its one ``value`` sibling: value -> count under the value's path.
 
     Rows that take part are replaced by one row whose path is the value's path, the value and
-    ``count``; numeric values are quoted.
+    ``count``; numeric values are quoted. ``keep`` must tell records apart (see ``numbered``).
     """
     from foliospark.functions.scalars import quote_numeric
 
@@ -313,7 +468,7 @@ def combine_counts(nodes_frame: DataFrame, keep: Iterable[str]) -> DataFrame:
 
 
 def deepest_only(nodes_frame: DataFrame, keep: Iterable[str]) -> DataFrame:
-    """Without rows whose path is a proper prefix of another of the same record."""
+    """Without rows whose path is a proper prefix of another of the same record; ``keep`` must tell records apart (see ``numbered``)."""
     keep = list(keep)
     prefixes = nodes_frame.select(*keep, F.explode(P.ancestors(F.col("path"))).alias("path")).distinct()
     return nodes_frame.join(prefixes, [*keep, "path"], "left_anti")

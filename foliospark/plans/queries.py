@@ -93,22 +93,22 @@ def field_map_flat(spark, d):
 
 @query(f"SELECT 'nested' AS provider_name, CAST(o_orderkey AS VARCHAR) AS record_id, c_name AS title, parts AS keywords, o_orderstatus AS record_type FROM ({ORDERS_SQL}) t")
 def field_map_nested(spark, d):
-    return FieldMap("nested", {"record_id": "id", "title": "customer.name", "keywords": "lines.part", "record_type": "status"}).normalise(orders_json(spark, d))
+    return FieldMap("nested", {"record_id": "id", "title": "customer.name", "keywords": "lines.part", "record_type": "status"}).normalise(orders_json(spark, d), delimiter="; ")
 
 
 @query("SELECT event_id, 'events' AS provider_name, json_extract_string(props, '$.k') AS value FROM events")
 def field_map_fallback(spark, d):
-    return FieldMap("events", {"value": ["missing", "k"]}).normalise(table(spark, d, "events"), "props", keep=["event_id"])
+    return FieldMap("events", {"value": ["missing", "k"]}).normalise(table(spark, d, "events"), "props", keep=["event_id"], delimiter="; ")
 
 
 @query("SELECT event_id, 'events' AS provider_name, json_extract_string(props, '$.k') AS value, 'none' AS other FROM events")
 def field_map_defaults(spark, d):
-    return FieldMap("events", {"value": "k", "other": "missing"}, {}, {"other": "none", "value": "0"}).normalise(table(spark, d, "events"), "props", keep=["event_id"])
+    return FieldMap("events", {"value": "k", "other": "missing"}, {}, {"other": "none", "value": "0"}).normalise(table(spark, d, "events"), "props", keep=["event_id"], delimiter="; ")
 
 
 @query(f"SELECT {_universal(_DOC_COLUMNS, ', CAST(n_chars AS VARCHAR) AS n_chars')} FROM documents")
 def universal_schema(spark, d):
-    return DOC_MAP.normalise(documents_json(spark, d))
+    return DOC_MAP.normalise(documents_json(spark, d), delimiter="; ")
 
 
 @query(
@@ -117,7 +117,7 @@ def universal_schema(spark, d):
 )
 def normalize_union(spark, d):
     rows = orders_json(spark, d).select(F.lit("orders_api").alias("provider"), "record").unionByName(documents_json(spark, d).select(F.lit("docs_api").alias("provider"), "record"))
-    return normalise_pages(rows, {"orders_api": ORDER_MAP, "docs_api": DOC_MAP})
+    return normalise_pages(rows, {"orders_api": ORDER_MAP, "docs_api": DOC_MAP}, delimiter="; ")
 
 
 # --- projections ---
@@ -289,7 +289,10 @@ def url_cache_key(spark, d):
     return table(spark, d, "pages").select("page_id", S.url_cache_key(F.col("url"), F.lit(200)).alias("key"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(password[""'']?\s*[:=]\s*[""'']?)([A-Za-z0-9\-_.~%+/=@]+)', '\1***', 'g'), '[A-Za-z0-9._%+-]+(?:@|%40)[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '***', 'g') AS text FROM documents".replace('""', '"'))
+@query(
+    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(password["'']?\s*[:=]\s*["'']?)([A-Za-z0-9\-_.~%+/=@]+)', '\1***', 'g'),
+    '[A-Za-z0-9._%+-]+(?:@|%40)[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '***', 'g') AS text FROM documents"""
+)
 def mask_documents(spark, d):
     masks = (KeyMask("password"), StringMask(r"[A-Za-z0-9._%+-]+(?:@|%40)[A-Za-z0-9.-]+\.[A-Za-z]{2,}", regex=True))
     return table(spark, d, "documents").select("doc_id", mask_text(F.col("text"), masks).alias("text"))
@@ -571,13 +574,13 @@ def request_plan(spark, d):
 @query("SELECT q AS query, p AS provider_name, CAST(page AS INTEGER) AS page, 'processed' AS status, CAST(200 AS INTEGER) AS status_code FROM (VALUES ('alpha'), ('beta')) a(q), (VALUES ('crossref'), ('plos')) b(p), (SELECT unnest([1, 2, 3]) AS page) c WHERE page <= CASE WHEN p = 'plos' THEN 2 ELSE 3 END")
 def datasource_scan(spark, d):
     searches = [Search(p.name, p.base_url, p.query, p.start, p.page_size, ["alpha", "beta"], [1, 2, 3, 4, 5], p.records_per_page, p.zero_indexed, p.auto_calculate, 0.0, "total", "items") for p in PROVIDERS if p.name in ("crossref", "plos")]
-    return read_pages(spark, searches, "foliospark.sources.pages:catalog_get").select("query", "provider_name", "page", "status", "status_code")
+    return read_pages(spark, searches, "foliospark.plans.catalogue:catalog_get").select("query", "provider_name", "page", "status", "status_code")
 
 
 @query("SELECT CAST(page AS INTEGER) AS page, 'crossref' AS provider_name, 'alpha item ' || i AS title, 'A' || i % 7 || '; B' || i % 5 AS authors FROM (SELECT i, (i - 1) // 25 + 1 AS page FROM (SELECT unnest(range(1, 61)) AS i) t) u")
 def search_to_table(spark, d):
     p = Registry().get("crossref")
-    pages = read_pages(spark, [Search(p.name, p.base_url, p.query, p.start, p.page_size, ["alpha"], [1, 2, 3, 4], 25, False, True, 0.0, "total", "items")], "foliospark.sources.pages:catalog_get")
+    pages = read_pages(spark, [Search(p.name, p.base_url, p.query, p.start, p.page_size, ["alpha"], [1, 2, 3, 4], 25, False, True, 0.0, "total", "items")], "foliospark.plans.catalogue:catalog_get")
     return search_plan(pages, Registry().maps, {"crossref": "items"}).select("page", "provider_name", "title", "authors")
 
 
@@ -601,3 +604,6 @@ def window_counts(spark, d):
 
     pages = table(spark, d, "events").select(F.col("ts").alias("created_at"), F.col("event_type").alias("provider_name"), F.lit("processed").alias("status"))
     return counts_by_window(pages).select(F.col("window.start").alias("at"), "provider_name", "n_pages")
+
+
+from foliospark.plans import more_queries  # noqa: E402, F401 - registers further queries

@@ -63,7 +63,7 @@ def carry_metadata(pages: DataFrame, earlier: DataFrame, keys: list[str], column
     return joined.select(*(F.coalesce(c, f"_old_{c}").alias(c) if c in columns else F.col(c) for c in pages.columns))
 
 
-def search_plan(pages: DataFrame, maps: Mapping[str, FieldMap], record_paths: Mapping[str, str], include: tuple[str, ...] = ("page",)) -> DataFrame:
+def search_plan(pages: DataFrame, maps: Mapping[str, FieldMap], record_paths: Mapping[str, str], include: tuple[str, ...] = ("page",), delimiter: str | None = "; ") -> DataFrame:
     """Successful pages -> parsed -> records -> each provider's map -> union, with the page's tags.
 
     A record whose provider has no path is dropped; the tags win over fields of their names.
@@ -73,4 +73,4 @@ def search_plan(pages: DataFrame, maps: Mapping[str, FieldMap], record_paths: Ma
     for provider, path in record_paths.items():
         part = explode_records(parsed.where(F.col("provider_name") == provider), path, keep=["provider_name", *include])
         rows = part if rows is None else rows.unionByName(part)
-    return normalise_pages(rows.withColumnRenamed("provider_name", "_provider"), {p: m for p, m in maps.items() if p in record_paths}, "_provider", keep=[*include, "record_idx"])
+    return normalise_pages(rows.withColumnRenamed("provider_name", "_provider"), {p: m for p, m in maps.items() if p in record_paths}, "_provider", keep=[*include, "record_idx"], delimiter=delimiter)

@@ -20,13 +20,17 @@ SETTINGS = {
 
 
 def session(name: str = "foliospark", **settings: str) -> SparkSession:
-    return SparkSession.builder.appName(name).config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+    """A session with the settings of the operators, and this package on its workers."""
+    spark = SparkSession.builder.appName(name).config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Applies the settings to a session that exists already."""
+    """Applies the settings to a session that exists already, and ships this package to its workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 

@@ -207,12 +207,3 @@ def http_get(url: str, params: dict, timeout: float = 30.0) -> tuple[int, dict,
             return answer.status, dict(answer.headers), answer.read().decode("utf-8", "replace")
     except HTTPError as error:
         return error.code, dict(error.headers), error.read().decode("utf-8", "replace")
-
-
-def catalog_get(url: str, params: dict) -> tuple[int, dict, str]:
-    """A transport without a network: a catalogue of 60 items whose titles hold the query."""
-    total, size = 60, int(next(v for k, v in params.items() if k in ("rows", "limit", "per_page", "p", "max_results", "retmax")))
-    first = int(next((v for k, v in params.items() if k in ("start", "offset", "s", "retstart")), 1))
-    query = next(str(v) for k, v in params.items() if k in ("q", "query", "search", "term", "search_query"))
-    items = [{"id": f"{query}-{i}", "title": f"{query} item {i}", "author": [{"name": f"A{i % 7}"}, {"name": f"B{i % 5}"}]} for i in range(first, min(first + size, total + 1))]
-    return 200, {"Content-Type": "application/json"}, json.dumps({"total": total, "items": items})

@@ -9,7 +9,8 @@ from foliospark.operators import records as R
 from foliospark.operators.cache import CacheTable, NullTable, ViewTable, open_store
 from foliospark.operators.fieldmap import UNIVERSAL_FIELDS, FieldMap, union_normalised
 from foliospark.plans.workflow import Step, Workflow
-from foliospark.sources.pages import Limiter, Search, catalog_get, read_pages, retry_after, scan, with_retries
+from foliospark.plans.catalogue import catalog_get
+from foliospark.sources.pages import Limiter, Search, read_pages, retry_after, scan, with_retries
 from foliospark.sources.parse import parse_pages, parse_xml
 from foliospark.sources.providers import FIELD_MAPS, PROVIDERS, Registry
 
@@ -80,8 +81,11 @@ def test_key_filter_without_criteria(spark):
 def test_field_maps(spark):
     row = {"t": "", "u": [{"n": "x"}, {"n": "y"}], "provider_name": "own"}
     m = FieldMap("given", {"title": ["missing", "t", "u"], "names": "u.n", "other": None}, {}, {"other": "d", "title": "untitled"})
-    got = m.normalise(records(spark, row)).first().asDict()
+    got = m.normalise(records(spark, row), delimiter="; ").first().asDict()
     assert got == {"provider_name": "own", "title": "untitled", "names": "x; y", "other": "d"}
+    listed = FieldMap("given", {"authors": "u.n", "keywords": "k", "subjects": "none", "title": "u.n"}, {}, {"subjects": "all"})
+    got = listed.normalise(records(spark, {**row, "k": ["u", "v; w", True, 1.5]})).first().asDict()
+    assert got == {"provider_name": "own", "authors": ["x", "y"], "keywords": ["u", "v; w", "True", "1.5"], "subjects": ["all"], "title": '["x","y"]'}
     for name, fields in FIELD_MAPS.items():
         out = fields.normalise(records(spark, {})).columns
         assert out[: len(UNIVERSAL_FIELDS)] == list(UNIVERSAL_FIELDS), name
@@ -159,7 +163,7 @@ def test_retry_after_forms():
 
 
 def test_one_partition_per_provider(spark):
-    pages = read_pages(spark, [_search(), _search(), Search("p2", "https://y", "q", "start", "rows", ["b"], [1], 25, False, True, 0.0, "total", "items")], "foliospark.sources.pages:catalog_get")
+    pages = read_pages(spark, [_search(), _search(), Search("p2", "https://y", "q", "start", "rows", ["b"], [1], 25, False, True, 0.0, "total", "items")], "foliospark.plans.catalogue:catalog_get")
     assert pages.rdd.getNumPartitions() == 2
     assert pages.groupBy("provider_name").count().orderBy("provider_name").collect()[0]["count"] == 3
 
@@ -191,7 +195,7 @@ def test_streams(spark, tmp_path):
     from foliospark.streaming.pages import cache_stream, distinct_pages, normalise_stream, read_landed
 
     landed = tmp_path / "landed"
-    pages = read_pages(spark, [Search("crossref", "https://x", "query", "offset", "rows", ["a"], [1, 2], 25, False, True, 0.0, "total", "items")], "foliospark.sources.pages:catalog_get")
+    pages = read_pages(spark, [Search("crossref", "https://x", "query", "offset", "rows", ["a"], [1, 2], 25, False, True, 0.0, "total", "items")], "foliospark.plans.catalogue:catalog_get")
     for _ in range(2):
         pages.write.mode("append").json(str(landed))
     stream = read_landed(spark, str(landed))
