@@ -190,10 +190,22 @@ def short_name(path: tuple[str, ...], taken: set[str]) -> str:
 def flat_fields(value: Any, delimiter: str = "; ", ignored: frozenset[str] = frozenset(), *, full_path: bool = True) -> dict[str, str | None]:
     """All leaves of one record: name -> values joined in order; null values are skipped, none is null."""
     found: dict[tuple[str, ...], list] = {}
-    for path, leaf in leaves(value):
-        named = tuple(p for p in path if not isinstance(p, int))
-        if path and not ignored.intersection(map(str, path)):
-            found.setdefault(tuple(p for p in named if p != "value") or named, []).append(leaf)
+
+    def walk(value: Any, path: tuple[str, ...]) -> None:
+        if value and isinstance(value, dict):
+            for k, v in value.items():
+                if k not in ignored:
+                    walk(v, (*path, k))
+        elif value and isinstance(value, list):
+            for v in value:
+                walk(v, path)
+        elif path:
+            found.setdefault(path, []).append(value)
+
+    walk(value, ())
+    for path in [p for p in found if "value" in p]:  # the literal key says nothing, unless it is all there is
+        if bare := tuple(p for p in path if p != "value"):
+            found = _moved(found, path, bare)
     out: dict[str, str | None] = {}
     for path, values in found.items():
         name = ".".join(path) if full_path else short_name(path, set(out))
@@ -201,6 +213,14 @@ def flat_fields(value: Any, delimiter: str = "; ", ignored: frozenset[str] = fro
     return out
 
 
+def _moved(found: dict[tuple[str, ...], list], path: tuple[str, ...], to: tuple[str, ...]) -> dict[tuple[str, ...], list]:
+    """The same entries in their order, with those of a path under another one."""
+    moved: dict[tuple[str, ...], list] = {}
+    for p, values in found.items():
+        moved.setdefault(to if p == path else p, []).extend(values)
+    return moved
+
+
 def _maps(rows: Iterable[dict[str, str | None] | None]) -> pa.Array:
     return pa.array([None if r is None else list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))
 
