@@ -338,6 +338,35 @@ def test_the_stage_drops_near_copies_of_jaccard_80(spark, docs):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(rows[k][0]) for k in wanted)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 19, 1 << 10])
+def test_a_split_band_loses_no_link(spark, monkeypatch, block_bytes):
+    """One band holds sets like and unlike each other, each a component of its own but two."""
+    from foliospark.llm import jaccard as module
+
+    monkeypatch.setattr(module, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(4)
+    sets = []
+    for size in (4, 9, 30, 100):
+        for _ in range(5):
+            base = set(rng.sample(range(1 << 32), size))
+            for changed in range(4):
+                sets.append(np.array(sorted((base - set(rng.sample(sorted(base), changed))) | set(rng.sample(range(1 << 32), changed // 2))), np.uint32))
+    rows = [(5, k, k if k else 1, bytearray(x.tobytes())) for k, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "key long, fp long, root long, shingles binary")
+    links = [(r["a"], r["b"]) for r in module.split_links(frame.select("key", "fp", "root"), frame.select("fp", "shingles")).collect()]
+    assert all(module.similar(sets[a].tobytes(), sets[b].tobytes()) for a, b in links)
+
+    def components(edges):
+        label = list(range(len(sets)))
+        for a, b in [(0, 1), *edges]:
+            label = [label[a] if x == label[b] else x for x in label]
+        return len(set(label)), [label.index(x) for x in label]
+
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if module.similar(sets[a].tobytes(), sets[b].tobytes())]
+    assert components(links) == components(every)
+    assert len(every) > 60
+
+
 def test_clean_rows_of_null_and_equal_ids_stay(spark, docs):
     rng = random.Random(2)
     texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
