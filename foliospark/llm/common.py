@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ class Scratch:
             root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="foliospark-")
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.names: dict[str, str] = {}
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Writes ``frame`` and reads it again; the shuffle files of its plan go when the write ends."""
@@ -56,13 +57,21 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._scratch_path = path
+        self.names[path] = name
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
+        self._delete(frame._scratch_path for frame in frames)
+
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables that are left but those of these names."""
+        self._delete([path for path, name in self.names.items() if name not in names])
+
+    def _delete(self, paths: Iterable[str]) -> None:
+        for name in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.pop(name, None)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -226,4 +226,6 @@ def drop_near_duplicates(documents: DataFrame, *, max_bits: int = MAX_BITS) -> D
     scratch = Scratch(documents.sparkSession, "simhash")
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), body_hash(documents).alias("body"), F.col("text").cast("string").alias("text"))
     marked, rooted = _components(narrow, max_bits, scratch)
-    return one_of_each(documents, marked.join(rooted.select("fp", "root"), "fp"), scratch)
+    kept = one_of_each(documents, marked.join(rooted.select("fp", "root"), "fp"), scratch)
+    scratch.drop_but("first")
+    return kept
