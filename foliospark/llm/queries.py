@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm import centroids, codes
 from foliospark.llm.decontaminate import find_contamination
 from foliospark.llm.fingerprints import fingerprint_edits
 from foliospark.llm.html import extract_pages
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.pii import KINDS, configured_key, pseudonymise
 from foliospark.llm.secrets import BASE, find_secrets
+from foliospark.llm.sharding import shard_documents
 from foliospark.llm.simhash import near_duplicates
 from foliospark.llm.substrings import drop_repeated_windows
 from foliospark.llm.suffixes import drop_repeated_bytes
@@ -90,5 +92,31 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_suffix_array_dedup, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination, op9_secret_scan, op10_document_fingerprints)}
-ORACLE: dict[str, str] = {}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+        "map_version",
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.with_digests(*codes.compress_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_totals(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+_ALL = (
+    op1_pii_pseudonyms, op2_suffix_array_dedup, op3_html_extraction, op4_substring_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontamination,
+    op9_secret_scan, op10_document_fingerprints, op11_sharding, op12_vector_codes, op13_centroid_clustering,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE: dict[str, str] = {"op12_vector_codes": codes.oracle_sql(), "op13_centroid_clustering": centroids.oracle_sql()}
