@@ -6,7 +6,14 @@ smoothed over the nodes in page order, and thresholded against the mean by chara
 nodes of the paths above it are the content. Two priors weigh in the ratio: being inside an
 article or main element, and a class or id that names a notice, an advert, a comment section
 or the like. Elements whose tag or role says that they are no article (menus, forms, scripts,
-footers) are no candidates at all.
+footers, asides) are no candidates at all, wherever they stand: a byline in an article's footer or a quote in
+an aside goes with it.
+
+A class or id only counts in full if all words of one token name such a part (``cookie-banner``, ``comments``).
+One word among others (``social-history``, ``share-price``), or an id inside an article unless it names reader comments (ids are anchors there, as in
+a section on cookies), is a weak hint: inside an article the part goes only if its own ratio agrees,
+that is, if it is mostly links or has no punctuation at all and is no table or heading; elsewhere it weighs less.
+A list of links only, however long, stays inside an article (references); elsewhere it stays if there is punctuation in it.
 
 The text is what lies in the innermost element around all content nodes (or the article or
 main element that is in): its content nodes and what stands between them; before the first
@@ -64,8 +71,12 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、،]")
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 SIGMA, RADIUS = 0.5, 2
-#: Share of the mean ratio (by characters) that a path needs; weight of an article, and of a telling class or id.
-THRESHOLD, ARTICLE, HINT = 0.3, 3.0, 0.1
+#: Share of the mean ratio (by characters) that a path needs; weight of an article, of a telling class or id, and of one that tells in part.
+THRESHOLD, ARTICLE, HINT, PARTLY = 0.3, 3.0, 0.1, 0.5
+#: How much a class or id says.
+NONE, WEAK, STRONG = 0, 1, 2
+#: Words by which an id inside an article names its reader comments.
+REPLIES = frozenset("comment comments commentlist disqus".split())
 #: Share with which a paragraph, item or cell with punctuation next to content joins it (a heading always does).
 NEXT = 0.04
 #: Shares of the content with which a hinted element is no such part: on pages without an article, and inside a main element.
@@ -77,7 +88,7 @@ TEXTUAL = HEADINGS | frozenset("p li dt dd pre blockquote td th caption figcapti
 class Element:
     __slots__ = ("apart", "hinted", "inner", "linked", "listed", "name", "number", "parent", "path", "textual")
 
-    def __init__(self, name: str, number: int, parent: Element | None, path: int, apart: bool = False, hinted: bool = False) -> None:
+    def __init__(self, name: str, number: int, parent: Element | None, path: int, apart: bool = False, hinted: int = NONE) -> None:
         self.name, self.number, self.parent, self.path = name, number, parent, path
         self.hinted, self.apart = hinted, apart or (parent is not None and parent.apart)
         self.inner = name in ("article", "main") or (parent is not None and parent.inner)
@@ -108,29 +119,31 @@ def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], int]:
     return found, len(html) + 1
 
 
-def _role(name: str, attributes: list[tuple[str, str]], inner: bool) -> tuple[bool, bool, str]:
-    """Whether an element holds no article text, whether its class or id hints so, and the name that its path shows."""
+def _role(name: str, attributes: list[tuple[str, str]], inner: bool) -> tuple[bool, int, str]:
+    """Whether an element holds no article text, how much its class or id hints so, and the name that its path shows."""
     if name in APART or name == "header" and not inner:
-        return True, False, name
+        return True, NONE, name
     words: list[str] = []
-    hinted = False
+    hinted = NONE
     for kind, value in attributes:
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return True, False, name
+            return True, NONE, name
         if kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False, name
+            return True, NONE, name
         if kind == "role" and value.lower() in ROLES:
-            return True, False, name
+            return True, NONE, name
         if kind in ("class", "id"):
             for token in value.split():
                 parts = [w.lower() for w in _PART.findall(token)]
                 words += parts
                 hits = [w for a, w in zip(["", *parts], parts, strict=False) if (w in HINTS or w == "header" and not inner) and a not in STATES]
-                if kind == "id" and (name in HEADINGS or inner and not all(w in HINTS or w in NEUTRAL or w.isdigit() for w in parts)):
+                whole = all(w in HINTS or w in NEUTRAL or w.isdigit() for w in parts)
+                if not hits or kind == "id" and (name in HEADINGS or inner and not whole) or name in HEADINGS and inner and not whole:
                     continue
-                hinted |= bool(hits)
+                anchor = kind == "id" and inner and not REPLIES.intersection(parts)
+                hinted = max(hinted, STRONG if whole and not anchor else WEAK)
     plain = name in ("html", "body", "article", "main")
-    return False, hinted and not plain, f"{name}.{words[0]}" if words and not plain else name
+    return False, NONE if plain else hinted, f"{name}.{words[0]}" if words and not plain else name
 
 
 def parse(html: str) -> tuple[list[Element], list[Block]]:
@@ -271,7 +284,10 @@ def extract_text(html: str | None) -> str:
     blocks, texts, linked = ([x[i] for i in keep] for x in (blocks, texts, linked))
     if not blocks:
         return ""
-    marked = _marked(elements, blocks, texts, _content(blocks, texts, linked, [False] * len(elements))[0])
+    marked = _marked(elements, blocks, texts, linked, _content(blocks, texts, linked, [NONE] * len(elements))[0])
+    said = [marked[b.element.number] == STRONG for b in blocks]
+    if any(b.element.inner and not x for b, x in zip(blocks, said, strict=True)):  # there is an article besides the parts that say they are none
+        blocks, texts, linked = ([x for x, out in zip(xs, said, strict=True) if not out] for xs in (blocks, texts, linked))
     content, near = _content(blocks, texts, linked, marked)
     usable = [i for i, b in enumerate(blocks) if not marked[b.element.number] or i in content]
     core = _with_next(usable, content, near, blocks)
@@ -286,13 +302,13 @@ def extract_text(html: str | None) -> str:
     return "\n".join(texts[i] for i in kept)
 
 
-def _content(blocks: list[Block], texts: list[str], linked: list[int], marked: list[bool]) -> tuple[set[int], set[int]]:
+def _content(blocks: list[Block], texts: list[str], linked: list[int], marked: list[int]) -> tuple[set[int], set[int]]:
     """The blocks with a node whose path's ratio reaches the threshold (all if none does), and those that reach the lower one."""
     nodes = []
     for b in blocks:
         for piece, e in b.pieces:
             chars = len(piece.strip())
-            prior = (ARTICLE if e.inner else 1.0) * (HINT if marked[e.number] else 1.0)
+            prior = (ARTICLE if e.inner else 1.0) * (1.0, PARTLY, HINT)[marked[e.number]]
             nodes.append((e.path, chars, len(_PUNCTUATION.findall(piece)), chars if e.linked else 0, prior))
     ratios = fused_ratios(nodes)
     mean = sum(r * n[1] * n[4] for r, n in zip(ratios, nodes, strict=True)) / (sum(n[1] * n[4] for n in nodes) or 1)
@@ -318,40 +334,55 @@ def _with_next(kept: list[int], content: set[int], near: set[int], blocks: list[
     return chosen
 
 
-def _marked(elements: list[Element], blocks: list[Block], texts: list[str], content: set[int]) -> list[bool]:
-    """Whether an element is in a part whose class or id says that it is no article.
+def _marked(elements: list[Element], blocks: list[Block], texts: list[str], linked: list[int], content: set[int]) -> list[int]:
+    """How much says for each element that it is in a part that is no article.
 
-    The word doesn't count on an element that holds all articles or, where there is none, ``SHARE`` of the content.
+    A telling word doesn't count on an element that holds all articles or, where there is none, ``SHARE`` of the content.
+    A weak hint inside an article counts in full if the part's own text agrees, else not at all.
     """
     hinted = [e for e in elements if e.hinted]
     if not hinted:
-        return [False] * len(elements)
+        return [NONE] * len(elements)
     votes = _up(elements, [(blocks[i].element, len(texts[i])) for i in content])
     total = votes[0]
     used = _up(elements, [(b.element, 1) for b in blocks])
     real = [e for e in elements if e.name in ("article", "main") and used[e.number]]
     real = [e for e in real if e.name == "article"] or real
-    within = _down(elements, [e.number for e in hinted])
+    within = _down(elements, [e.number for e in hinted if e.hinted == STRONG])
     if not all(within[e.number] for e in real):  # articles in such a part (comments, related ones) are not the article
         real = [e for e in real if not within[e.number]]
     held = _up(elements, [(e, 1) for e in real])
     main = _down(elements, [e.number for e in elements if e.name == "main"])
+    chars = _up(elements, [(b.element, len(t)) for b, t in zip(blocks, texts, strict=True)])
+    links = _up(elements, [(b.element, k) for b, k in zip(blocks, linked, strict=True)])
+    marks = _up(elements, [(b.element, len(_PUNCTUATION.findall(t)) + (b.element.name in ("td", "th"))) for b, t in zip(blocks, texts, strict=True)])
 
-    def counts(e: Element) -> bool:
-        if real:
-            return not (held[e.number] == len(real) and (not main[e.number] or votes[e.number] >= MOST * total))
-        return not (total > 0 and votes[e.number] >= SHARE * total)
+    def level(e: Element) -> int:
+        if real and held[e.number] == len(real) and (not main[e.number] or votes[e.number] >= MOST * total):
+            return NONE
+        if not real and total > 0 and votes[e.number] >= SHARE * total:
+            return NONE
+        if e.hinted == WEAK and e.parent is not None and e.parent.inner:
+            return STRONG if links[e.number] > 0.5 * chars[e.number] or not marks[e.number] else NONE
+        return e.hinted
 
-    return _down(elements, [e.number for e in hinted if counts(e)])
+    levels = [(e.number, level(e)) for e in hinted]
+    strong, weak = _down(elements, [k for k, n in levels if n == STRONG]), _down(elements, [k for k, n in levels if n == WEAK])
+    return [STRONG if x else WEAK if y else NONE for x, y in zip(strong, weak, strict=True)]
 
 
 def _link_lists(blocks: list[Block], texts: list[str], linked: list[int]) -> set[int]:
-    """The items of lists that hold links only (three items or more)."""
+    """The items of lists outside articles that hold links only and no punctuation: their ratio is zero even if links counted as text."""
     lists: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
-        if b.element.listed is not None:
+        if b.element.listed is not None and not b.element.inner:
             lists.setdefault(b.element.listed, []).append(i)
-    return {i for items in lists.values() if len(items) >= 3 and sum(linked[i] for i in items) >= 0.9 * sum(len(texts[i]) for i in items) for i in items}
+    return {
+        i
+        for items in lists.values()
+        if sum(linked[i] for i in items) >= 0.9 * sum(len(texts[i]) for i in items) and not any(_PUNCTUATION.search(texts[i]) for i in items)
+        for i in items
+    }
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliospark.llm.html import extract_pages, extract_text
-from foliospark.llm.packing import WordIds, best_fit, pack_documents
+from foliospark.llm.packing import _MARKS, WordIds, best_fit, pack_documents
 from foliospark.llm.pii import Feistel, luhn_digit, pseudonym, pseudonymise, replaced
 from foliospark.llm.queries import tokenizer_path
 from foliospark.llm.secrets import base_spans, confirmed, find_secrets, is_blob, is_der, scan_text
@@ -125,6 +126,20 @@ def test_word_ids_of_any_unicode():
         assert np.frombuffer(ids.ids([text.encode()])[0], "<u4").tolist() == want, ascii(text)
 
 
+def test_word_ids_of_every_code_point_before_every_mark():
+    """All assigned code points but private ones, each at the end of a word before each mark, alone and behind a letter."""
+    ids = WordIds(tokenizer_path())
+    points = [chr(c) for c in range(0x21, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    assert len(points) > 140_000
+    marks = _MARKS.decode()
+    for at in range(0, len(points), 3000):
+        texts = [" ".join([*(c + m for m in marks), "a" + c + "."]) for c in points[at : at + 3000]]
+        want = ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for text, got, known in zip(texts, ids.ids([t.encode() for t in texts]), want, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == known.ids, ascii(text)
+        ids.clear()
+
+
 def test_best_fit():
     sizes = np.array([6, 5, 4, 3, 2])
     bins, place, fills = best_fit(sizes, 10)
@@ -384,3 +399,69 @@ def test_keys_after_an_equals_sign_and_any_hex():
     assert confirmed("0x" + KEY.hex()) == [(2, 2 + 2 * len(KEY), "der")]
     mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(KEY.hex()))
     assert confirmed(mixed) == [(0, len(mixed), "der")]
+
+
+PROSE = "It rained in the valley, and the river rose by a metre; nobody had seen that before."
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 4, 10])
+def test_reference_lists_stay(count):
+    items = [f"Author {k}, Title of work {k}" for k in range(count)]
+    plain = [f"Smith {1990 + k}" for k in range(count)]
+    listed = lambda texts: "<ol>" + "".join(f"<li><a href='/r'>{t}</a></li>" for t in texts) + "</ol>"
+    menu = "<ul>" + "".join(f"<li><a href='/m'>Menu {k}</a></li>" for k in range(count)) + "</ul>"
+    for refs in (items, plain):
+        page = f"<body>{menu}<div class='share-bar'><a href='#'>Share</a> <a href='#'>Post</a></div><article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p><h2>References</h2>{listed(refs)}</article>{menu}</body>"
+        assert extract_text(page) == "\n".join(["Title", PROSE, PROSE, "References", *refs])
+    page = f"<body>{menu}<div><h1>Title</h1><p>{PROSE}</p>{listed(items)}<p>{PROSE}</p></div>{menu}</body>"
+    assert extract_text(page) == "\n".join(["Title", PROSE, *items, PROSE])
+
+
+@pytest.mark.parametrize("hint", ["class='social-history'", "class='related-work'", "class='share-price'", "class='notice-period'", "class='lead-teaser'", "class='banner-year'", "id='cookies'"])
+def test_telling_words_keep_prose_of_the_article(hint):
+    short = "Prices fell, too."
+    part = f"<section {hint}><h2>On it</h2><p>{short}</p><p>{PROSE}</p></section>"
+    for page in (f"<article><h1>T</h1><p>{PROSE}</p>{part}<p>{PROSE}</p></article>", f"<main><h1>T</h1><p>{PROSE}</p>{part}<p>{PROSE}</p></main>"):
+        assert extract_text(page) == "\n".join(["T", PROSE, "On it", short, PROSE, PROSE])
+    assert extract_text(f"<article><h1>T</h1><p>{PROSE}</p><p {hint}>{short}</p><p>{PROSE}</p></article>") == "\n".join(["T", PROSE, short, PROSE])
+    assert short in extract_text(f"<article><h1>T</h1><p>{PROSE}</p><table {hint}><tr><td>{short}</td><td>12</td></tr></table></article>").split("\n")
+
+
+@pytest.mark.parametrize("part", ["<div class='share-buttons'><a href='#'>Share, please.</a></div>", "<div class='related-posts'><a href='#'>Other, better.</a></div>", "<div class='ad'>Buy this, now.</div>", "<div id='comments'><p>I agree, sir.</p></div>", "<div class='newsletter-signup'><p>Get our mail, weekly.</p></div>", "<div class='post-share'><span>Share</span></div>"])
+def test_parts_that_are_no_article_go(part):
+    assert extract_text(f"<article><h1>T</h1><p>{PROSE}</p>{part}<p>{PROSE}</p></article>") == "\n".join(["T", PROSE, PROSE])
+
+
+def test_generated_pages():
+    """Random pages whose article is known by construction: what is put in comes out, in order, and nothing of the frame."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randrange(2, 9)))
+    for case in range(400):
+        sentence = lambda: f"{word().capitalize()} {' '.join(word() for _ in range(rng.randrange(5, 14)))}, {word()} &amp; {word()}."  # noqa: B023, E731
+        para = lambda: " ".join(sentence() for _ in range(rng.randrange(1, 5)))  # noqa: B023, E731
+        body, want = [], []
+
+        def put(html, *texts):
+            body.append(html)  # noqa: B023
+            want.extend(t.replace("&amp;", "&") for t in texts)  # noqa: B023
+
+        title = " ".join(word() for _ in range(4))
+        put(f"<h1>{title}</h1>", title)
+        for _ in range(rng.randrange(3, 9)):
+            t, kind = para(), rng.randrange(8)
+            if kind < 3:
+                put(f"<p class='{rng.choice(['', 'lead', 'social-history', 'related-work', 'text'])}'>{t.replace(' ', rng.choice([' ', chr(10), '  ']))}", t)
+            elif kind == 3:
+                refs = [sentence() for _ in range(rng.randrange(1, 12))]
+                put("<ul>" + "".join(f"<li><a href=/x>{r}</a>" for r in refs) + "</ul>", *refs)
+            elif kind == 4:
+                put(f"<blockquote><p>{t}</p></blockquote>", t)
+            elif kind == 5:
+                put(f"<section id={rng.choice(['cookies', 'notice', 'sharing'])}><h2>{title}</h2><p>{t}</section>", title, t)
+            elif kind == 6:
+                put(f"<p>{t[:20]}<b>{t[20:30]}</b>{t[30:]}</p><script>if (a < b) '{t}'</script>", t)
+            else:
+                put(rng.choice([f"<div class='ad'>{t}</div>", f"<nav>{t}</nav>", f"<form>{t}</form>", f"<div class='share-links'><a href=/>{t}</a></div>", f"<div class=comments><p>{t}</p></div>", f"<!-- {t} -->"]))
+        frame = lambda: rng.choice([f"<nav><ul><li><a href=/>{word()}</a></ul></nav>", f"<div class=ad>{para()}</div>", f"<div class=sidebar><p>{sentence()}</p></div>", f"<footer><p>{sentence()}</p></footer>", f"<div class='cookie-banner'><p>{sentence()}</p></div>"])  # noqa: B023, E731
+        page = f"<!doctype html><html><head><title>{title}</title></head><body>{frame()}{frame()}<article>{''.join(body)}</article>{frame()}</body></html>"
+        assert extract_text(page) == "\n".join(want), (case, page)
