@@ -19,6 +19,7 @@ other; the end token counts as the document's last id.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,14 +65,21 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = _tokenizer(path)
+        self.ends: dict[str, bool] = {}
+
+    def ends_well(self, last: str) -> bool:
+        """Whether a word's last character is a letter or number to the tokenizer, which composes, decomposes and lowers it first."""
+        found = self.ends.get(last)
+        if found is None:
+            found = self.ends[last] = unicodedata.category(self.tokenizer.normalizer.normalize_str(last)[-1])[0] in "LN"
+        return found
 
     def learn(self, words: list[bytes]) -> None:
         """Adds words; what follows a last letter or digit is split off, as the tokenizer does."""
         parts: list[tuple[bytes, bytes]] = []
         for w in words:
             head = w.rstrip(_MARKS)
-            # a letter may become a letter and a mark when the tokenizer lowers it
-            whole = not head or len(head) == len(w) or not head.decode("utf-8", "replace")[-1].lower()[-1].isalnum()
+            whole = not head or len(head) == len(w) or not self.ends_well(head.decode("utf-8", "replace")[-1])
             parts.append((w, b"") if whole else (head, w[len(head) :]))
         new = list({p for pair in parts for p in pair if p}.difference(self))
         for at in range(0, len(new), 2000):
