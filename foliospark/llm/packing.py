@@ -23,6 +23,8 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import CACHE_WORDS, Scratch, slices, texts_of
+from foliospark.llm.common import Scratch, slices, texts_of
 
 CAPACITY = 4096
 FAN_IN = 8
@@ -39,6 +41,8 @@ CARRY = 2048
 #: Pieces that one best-fit pass packs; a partition of more takes several passes.
 PASS = 200_000
 END_ID = 1
+#: Words whose ids a worker keeps before it starts anew (some 200 bytes each).
+WORDS = 800_000
 
 #: Marks that the tokenizer always parts from a letter or digit before them.
 _MARKS = b".,;:!?*#$%&"
@@ -74,35 +78,50 @@ class WordIds(dict):
             found = self.ends[last] = unicodedata.category(self.tokenizer.normalizer.normalize_str(last)[-1])[0] in "LN"
         return found
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Adds words; what follows a last letter or digit is split off, as the tokenizer does."""
-        parts: list[tuple[bytes, bytes]] = []
+        new, parted = set(), []
         for w in words:
             head = w.rstrip(_MARKS)
-            whole = not head or len(head) == len(w) or not self.ends_well(head.decode("utf-8", "replace")[-1])
-            parts.append((w, b"") if whole else (head, w[len(head) :]))
-        new = list({p for pair in parts for p in pair if p}.difference(self))
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+            # the last byte of a character beyond ASCII is no letter among bytes
+            if len(head) < len(w) and head and (head[-1:].isalnum() or self.ends_well(head.decode("utf-8", "replace")[-1])):
+                parted.append((w, head, w[len(head) :]))
+                new.add(head)
+            else:
+                new.add(w)
+        new.update({tail for _, _, tail in parted})
+        fresh = list(filterfalse(self.__contains__, new))
+        for at in range(0, len(fresh), 2000):
+            part = fresh[at : at + 2000]
             texts = [w.decode("utf-8", "replace") for w in part]
             ends = np.cumsum([len(t) + 1 for t in texts])
             encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4").tobytes()
-            first = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded))
+            first = np.fromiter(map(itemgetter(0), encoded.offsets), np.int64, len(encoded))
             cuts = [0, *(4 * np.searchsorted(first, ends)).tolist()]
             self.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-        self.update((w, self[head] + self[tail]) for w, (head, tail) in zip(words, parts, strict=True) if tail)
+        for w, head, tail in parted:
+            self[w] = self[head] + self[tail]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > WORDS:
             self.clear()
         split = [t.lower().split() for t in texts]
-        self.learn(list(set().union(*split).difference(self)))
+        unknown: set[bytes] = set()
+        for words in split:
+            unknown.update(filterfalse(self.__contains__, words))
+        self.learn(unknown)
         get = self.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> WordIds:
+    """What this worker has learnt; a later task in the same process goes on with it."""
+    return WordIds(path)
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: each item's bin and its place there; each bin's fill."""
     bin_of, place = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
@@ -138,7 +157,7 @@ def _local(path: str, capacity: int):
         return pa.Table.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "fill"]), len(fills)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
+        cache, end = _words(path), np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
         first = TaskContext.get().partitionId() << 32
         for batch in slices(batches):
