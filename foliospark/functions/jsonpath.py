@@ -91,13 +91,27 @@ def values_at(record: Column, paths: Sequence[Path], *, flat: bool = True) -> Co
     return values(record)
 
 
-def values_by(kind: Column, record: Column, paths: Mapping[str, Sequence[Path]]) -> Column:
-    """Like ``values_at``, with the paths of each record's kind; none for other kinds."""
-    split = {k: [(p, split_key(p)) for p in ps] for k, ps in paths.items()}
+#: How many empty texts give way to a default: none (only absence does), a lone one, any number.
+NO_TEXT, ONE_TEXT, ANY_TEXT = 0, 1, 2
+
+
+def fields_by(kind: Column, record: Column, fields: Mapping[str, Sequence[tuple[Sequence[Path], Sequence[str], int]]]) -> Column:
+    """One array of values for each output field: those at the first path of the record's kind that has any.
+
+    ``fields`` has for each kind, in the order of the output, the paths of a field, its defaults (the first counts; none is allowed), and which
+    empty texts give way to the default. Records of other kinds have no fields. All
+    choices fall here, so a plan holds one expression a field, whatever the number of kinds.
+    """
+    plans = {k: [([(p, split_key(p)) for p in paths], list(defaults)[:1], blank) for paths, defaults, blank in own] for k, own in fields.items()}
+
+    def chosen(value: Any, paths: list, default: list[str], blank: int) -> list:
+        found = next((v for v in (flat_or_nested(value, p, steps) for p, steps in paths) if v), [])
+        empty = not found or blank >= ONE_TEXT and found == [""] or blank == ANY_TEXT and all(v == "" for v in found)
+        return default if empty and default else found
 
     @F.arrow_udf("array<array<string>>")
     def values(kinds: pa.Array, texts: pa.Array) -> pa.Array:
-        return nested_lists([[flat_or_nested(value, p, steps) for p, steps in split.get(k, ())] for k, value in zip(kinds.to_pylist(), map(loaded, texts.to_pylist()), strict=True)])
+        return nested_lists([[chosen(value, *field) for field in plans.get(k, ())] for k, value in zip(kinds.to_pylist(), map(loaded, texts.to_pylist()), strict=True)])
 
     return values(kind, record)
 

@@ -173,6 +173,29 @@ def sort_key(path: Column) -> Column:
     return F.concat_ws(DELIMITER, F.size(path).cast("string"), padded)
 
 
+def _number_code(digits: Column) -> Column:
+    """Digits as text whose order is that of the numbers, however long: their count (9 for each nine and the rest), then they."""
+    bare = F.regexp_replace(digits, r"\A0+(?=\d)", "")
+    return F.concat(F.repeat(F.lit("9"), F.floor(F.length(bare) / 9).cast("int")), (F.length(bare) % 9).cast("string"), bare)
+
+
+def order_key(path: Column, *, depth_first: bool = True) -> Column:
+    """Text whose order is the natural one of paths: numbers by value, of any length, also behind a name (``item12``).
+
+    Unlike ``sort_key`` it needs no padding width, and depths are numbers too. Stored beside a path, it lets ranges of
+    paths prune a scan: ``order_key(path, depth_first=False)`` of all paths below a prefix starts with that of the prefix and a delimiter.
+    """
+    number = r"\A([a-zA-Z_.\-]*)(\d+)\z"
+    coded = F.transform(path, lambda p: F.when(p.rlike(number), F.concat(F.lit("'"), F.regexp_extract(p, number, 1), F.lit("''"), _number_code(F.regexp_extract(p, number, 2)), F.lit("'"))).otherwise(p))
+    key = F.array_join(coded, DELIMITER)
+    return F.concat_ws(DELIMITER, _number_code(depth(path).cast("string")), key) if depth_first else key
+
+
+def contains(path: Column, part: Column) -> Column:
+    """Whether a path's text holds that of another one, cut at no particular component."""
+    return F.coalesce(F.array_join(path, "<<>>").contains(F.array_join(part, "<<>>")), F.lit(False))
+
+
 def sort_parts(path: Column) -> Column:
     return F.array_sort(path)
 

@@ -160,8 +160,9 @@ class ViewTable(CacheTable):
         return self.frame
 
     def _replace(self, frame: DataFrame) -> None:
-        self.frame = frame.cache()
-        self.frame.count()
+        old, self.frame = self.frame, frame.cache()
+        self.frame.count()  # from the old one, which is then free
+        old.unpersist()
 
 
 class JdbcTable(CacheTable):
@@ -181,8 +182,10 @@ class JdbcTable(CacheTable):
 
 
 def open_store(kind: str, spark: SparkSession, **options) -> CacheTable:
-    """memory, null, sql (JDBC) or parquet; the services redis and mongodb need a connector of their own."""
-    makers = {"inmemory": ViewTable, "memory": ViewTable, "null": NullTable, "parquet": CacheTable, "sql": JdbcTable, "sqlite": JdbcTable, "sqlalchemy": JdbcTable}
+    """memory, null, sql (upserts by key over DB-API), jdbc or parquet; the services redis and mongodb need a connector of their own."""
+    from foliospark.sources.sqlstore import SqlTable  # it builds on this module
+
+    makers = {"inmemory": ViewTable, "memory": ViewTable, "null": NullTable, "parquet": CacheTable, "jdbc": JdbcTable, "sql": SqlTable, "sqlite": SqlTable, "sqlalchemy": SqlTable}
     if kind not in makers:
         raise ValueError(f"no such store: {kind}")
     return makers[kind](spark, **options)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions.jsonpath import values_at, values_by
+from foliospark.functions.jsonpath import ANY_TEXT, NO_TEXT, ONE_TEXT, fields_by, values_at
 from foliospark.functions.scalars import collapse
 
 # The shared academic schema, in order.
@@ -51,6 +51,16 @@ class FieldMap:
         found = {**self.fields, **self.extras}.get(name)
         return [p for p in ([found] if isinstance(found, str) else found or []) if p]
 
+    def choices(self, names: Iterable[str], delimiter: str | None) -> list[tuple[list[str], list[str], int]]:
+        """For each output name its paths, its defaults, and how many empty texts give way to them."""
+        out = []
+        for n in names:
+            default = [d for d in (self.defaults.get(n), self.provider_name if n == "provider_name" else None) if d is not None]
+            paths = ["provider_name"] if n == "provider_name" else self.paths(n) if n in self.names else []
+            blank = NO_TEXT if n == "provider_name" else ANY_TEXT if delimiter == "" or delimiter is None and n in self.multi else ONE_TEXT
+            out.append((paths, default if n in self.names else [], blank))
+        return out
+
     @property
     def slots(self) -> list[str]:
         """Every path that is read, once; the record's own provider first."""
@@ -107,16 +117,16 @@ def normalise_pages(records: DataFrame, maps: Mapping[str, FieldMap], provider:
     keep = list(keep)
     names = [n for n in dict.fromkeys(n for m in maps.values() for n in m.names) if n not in keep]
     known = records.where(F.col(provider).isin(list(maps)))
-    read = known.select(*keep, F.col(provider).alias("_k"), values_by(F.col(provider), F.col(record), {k: m.slots for k, m in maps.items()}).alias("_v"))
+    read = known.select(*keep, fields_by(F.col(provider), F.col(record), {k: m.choices(names, delimiter) for k, m in maps.items()}).alias("_v"))
+    listed = {n for m in maps.values() for n in m.multi} if delimiter is None else set()
 
-    def chosen(name: str) -> Column:
-        cases = [(F.col("_k") == k, m.value(name, delimiter)) for k, m in maps.items() if name in m.names]
-        value = F.when(*cases[0])
-        for case in cases[1:]:
-            value = value.when(*case)
-        return value.alias(name)
+    def column(at: int, name: str) -> Column:
+        found = F.get("_v", F.lit(at))
+        if name == "provider_name":
+            return F.get(found, F.lit(0)).alias(name)
+        return F.when(F.size(found) > 0, found if name in listed else collapse(found, delimiter)).alias(name)
 
-    return read.select(*keep, *(chosen(n) for n in names))
+    return read.select(*keep, *(column(i, n) for i, n in enumerate(names)))
 
 
 def normalise_by(records: DataFrame, registry, url: str = "url", name: str | None = None, record: str = "record", keep: Iterable[str] = (), delimiter: str | None = None) -> DataFrame:

@@ -16,9 +16,9 @@ from foliospark.operators import records as R
 from foliospark.operators import results as X
 from foliospark.operators.fieldmap import UNIVERSAL_FIELDS, AcademicMap, FieldMap, coverage, first_by, normalise_pages, rename_flat
 from foliospark.plans.workflow import carry_metadata, hand_off, search_plan
-from foliospark.sources.pages import Search, read_pages
 from foliospark.sources.parse import is_valid_response, parse_pages, rebuilt
 from foliospark.sources.providers import PROVIDERS, Registry, request_parameters, request_url
+from foliospark.sources.requests import endpoint, fetch_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -571,17 +571,60 @@ def request_plan(spark, d):
     return table(spark, d, "benchmark").select("item_id", request_url(crossref, ordered).alias("url"))
 
 
-@query("SELECT q AS query, p AS provider_name, CAST(page AS INTEGER) AS page, 'processed' AS status, CAST(200 AS INTEGER) AS status_code FROM (VALUES ('alpha'), ('beta')) a(q), (VALUES ('crossref'), ('plos')) b(p), (SELECT unnest([1, 2, 3]) AS page) c WHERE page <= CASE WHEN p = 'plos' THEN 2 ELSE 3 END")
+# --- requests of a table, answered from an archive of pages ---
+
+_PAGED = """WITH n AS (SELECT c_custkey AS k, count(o_orderkey) AS n, 3 + c_custkey % 3 AS size, CASE c_custkey % 2 WHEN 0 THEN 'crossref' ELSE 'springernature' END AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+asked AS (SELECT *, unnest([1, 2, 3, 4]) AS page FROM n)"""
+
+
+def customer_requests(spark, d):
+    """Each customer is a query with a page size of its own, of which the first four pages are asked for."""
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        "c_custkey",
+        F.when(key % 2 == 0, "crossref").otherwise("springernature").alias("provider_name"),
+        F.concat(F.lit("c"), key.cast("string")).alias("query"),
+        (3 + key % 3).cast("int").alias("records_per_page"),
+        F.explode(F.expr("array(1, 2, 3, 4)")).alias("page"),
+    )
+
+
+def order_archive(spark, d):
+    """The answers of an API whose hits are a customer's orders; those of every tenth customer are missing and of every next one expired."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    own = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))  # the orders of one customer
+    asked = customer_requests(spark, d).join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
+    keys, size = F.coalesce("keys", F.expr("cast(array() as array<bigint>)")), F.col("records_per_page")
+    name = lambda letter, k, n: F.concat(F.lit(letter), (k % n).cast("string"))
+    item = lambda k: F.struct(
+        F.concat(F.lit("order "), k.cast("string")).alias("title"),
+        F.array(F.struct(name("A", k, 7).alias("name")), F.struct(name("B", k, 5).alias("name"))).alias("author"),
+        F.array(F.struct(name("A", k, 7).alias("creator")), F.struct(name("B", k, 5).alias("creator"))).alias("creators"),
+    )
+    found = F.to_json(F.struct(F.size(keys).alias("total"), F.transform(F.slice(keys, (F.col("page") - 1) * size + 1, size), item).alias("items")))
+    expires = F.when(F.col("c_custkey") % 10 == 1, F.lit("2020-01-01")).otherwise(F.lit("2999-01-01")).cast("timestamp")
+    return asked.where(F.col("c_custkey") % 10 != 0).select("provider_name", "query", "page", "records_per_page", F.lit(200).alias("status_code"), F.lit("application/json").alias("content_type"), found.alias("content"), expires.alias("expire_at"))
+
+
+def _archived_pages(spark, d):
+    endpoints = [endpoint(Registry().get(p), "total", "items", 0.0) for p in ("crossref", "springernature")]
+    return fetch_pages(customer_requests(spark, d).withColumn("search", F.col("query")), endpoints, cache=order_archive(spark, d))
+
+
+@query(
+    f"""{_PAGED} SELECT 'c' || k AS query, p AS provider_name, CAST(page AS INTEGER) AS page, CASE WHEN k % 10 < 2 THEN 'nonresponse' ELSE 'processed' END AS status, CASE WHEN k % 10 >= 2 THEN CAST(200 AS INTEGER) END AS status_code, k % 10 >= 2 AS from_cache
+    FROM asked WHERE page <= CASE WHEN k % 10 < 2 THEN 1 ELSE greatest(1, (n + size - 1) // size) END"""
+)
 def datasource_scan(spark, d):
-    searches = [Search(p.name, p.base_url, p.query, p.start, p.page_size, ["alpha", "beta"], [1, 2, 3, 4, 5], p.records_per_page, p.zero_indexed, p.auto_calculate, 0.0, "total", "items") for p in PROVIDERS if p.name in ("crossref", "plos")]
-    return read_pages(spark, searches, "foliospark.plans.catalogue:catalog_get").select("query", "provider_name", "page", "status", "status_code")
+    return _archived_pages(spark, d).select("query", "provider_name", "page", "status", "status_code", "from_cache")
 
 
-@query("SELECT CAST(page AS INTEGER) AS page, 'crossref' AS provider_name, 'alpha item ' || i AS title, 'A' || i % 7 || '; B' || i % 5 AS authors FROM (SELECT i, (i - 1) // 25 + 1 AS page FROM (SELECT unnest(range(1, 61)) AS i) t) u")
+@query(
+    f"""{_PAGED}, hits AS (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+    SELECT CAST(page AS INTEGER) AS page, p AS provider_name, 'order ' || o AS title, 'A' || o % 7 || '; B' || o % 5 AS authors FROM asked JOIN hits USING (k) WHERE k % 10 >= 2 AND (i - 1) // size + 1 = page"""
+)
 def search_to_table(spark, d):
-    p = Registry().get("crossref")
-    pages = read_pages(spark, [Search(p.name, p.base_url, p.query, p.start, p.page_size, ["alpha"], [1, 2, 3, 4], 25, False, True, 0.0, "total", "items")], "foliospark.plans.catalogue:catalog_get")
-    return search_plan(pages, Registry().maps, {"crossref": "items"}).select("page", "provider_name", "title", "authors")
+    return search_plan(_archived_pages(spark, d), Registry().maps, {"crossref": "items", "springernature": "items"}).select("page", "provider_name", "title", "authors")
 
 
 @query("SELECT o_orderkey, l_linenumber, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
@@ -606,4 +649,4 @@ def window_counts(spark, d):
     return counts_by_window(pages).select(F.col("window.start").alias("at"), "provider_name", "n_pages")
 
 
-from foliospark.plans import more_queries  # noqa: E402, F401 - registers further queries
+from foliospark.plans import harvest_queries, more_queries  # noqa: E402, F401 - register further queries

@@ -9,13 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Maps merge like dictionaries (the last value wins), times are UTC, Python gets Arrow batches.
+#: Maps merge like dictionaries (the last value wins), times are UTC, Python gets Arrow batches, page sources see filters.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

@@ -9,7 +9,7 @@ from foliospark.operators import records as R
 from foliospark.operators.cache import CacheTable, NullTable, ViewTable, open_store
 from foliospark.operators.fieldmap import UNIVERSAL_FIELDS, FieldMap, union_normalised
 from foliospark.plans.workflow import Step, Workflow
-from foliospark.plans.catalogue import catalog_get
+from tests.catalogue import catalog_get
 from foliospark.sources.pages import Limiter, Search, read_pages, retry_after, scan, with_retries
 from foliospark.sources.parse import parse_pages, parse_xml
 from foliospark.sources.providers import FIELD_MAPS, PROVIDERS, Registry
@@ -163,7 +163,7 @@ def test_retry_after_forms():
 
 
 def test_one_partition_per_provider(spark):
-    pages = read_pages(spark, [_search(), _search(), Search("p2", "https://y", "q", "start", "rows", ["b"], [1], 25, False, True, 0.0, "total", "items")], "foliospark.plans.catalogue:catalog_get")
+    pages = read_pages(spark, [_search(), _search(), Search("p2", "https://y", "q", "start", "rows", ["b"], [1], 25, False, True, 0.0, "total", "items")], "tests.catalogue:catalog_get")
     assert pages.rdd.getNumPartitions() == 2
     assert pages.groupBy("provider_name").count().orderBy("provider_name").collect()[0]["count"] == 3
 
@@ -195,7 +195,7 @@ def test_streams(spark, tmp_path):
     from foliospark.streaming.pages import cache_stream, distinct_pages, normalise_stream, read_landed
 
     landed = tmp_path / "landed"
-    pages = read_pages(spark, [Search("crossref", "https://x", "query", "offset", "rows", ["a"], [1, 2], 25, False, True, 0.0, "total", "items")], "foliospark.plans.catalogue:catalog_get")
+    pages = read_pages(spark, [Search("crossref", "https://x", "query", "offset", "rows", ["a"], [1, 2], 25, False, True, 0.0, "total", "items")], "tests.catalogue:catalog_get")
     for _ in range(2):
         pages.write.mode("append").json(str(landed))
     stream = read_landed(spark, str(landed))
