@@ -4,7 +4,9 @@ Detected values are validated (Luhn, mod 97, octet ranges, calendar, numbering p
 then permuted inside the set of valid values of their format, by a balanced Feistel
 network over integers with cycle walking. Equal values get equal pseudonyms in every
 document; the separators, the length and the kind of the value stay, and the key holder
-can undo it. Dates keep their notation and link across notations. Every character of a
+can undo it. Dates keep their notation and link across notations, month-first ones too (whether a day is past
+the twelfth is kept); a time of day behind one stays. Addresses of version 6 are permuted as numbers, so they
+link across notations, and undoing one may write it in another. Every character of a
 mail address's local part and domain labels is permuted within its class; the top-level
 domain stays. Addresses that differ by case only have pseudonyms that differ by case only.
 The key is the secret: whoever has it can undo all pseudonyms, so there is no default but in
@@ -40,15 +42,21 @@ PUBLIC_KEY, KEY_SETTING = b"foliospark pseudonyms", "spark.foliospark.pii.key"
 
 # English month names, and lengths of IBANs by country.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 _MONTH = "|".join(MONTHS + tuple(m[:3] for m in MONTHS))
 _PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|(?<![\w:.])[23][0-9A-Fa-f]{3}:[0-9A-Fa-f:]{2,34}(?![\w:]|\.\d)",
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}(?P<amex>[ -])\d{6}(?P=amex)\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": rf"(?<![\w./-])(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}|\d{{1,2}} (?:{_MONTH})\.?,? \d{{4}}|(?:{_MONTH})\.? \d{{1,2}},? \d{{4}})(?![\w/-])",
+    "date": rf"(?<![\w./-])(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}|\d{{1,2}} (?:{_MONTH})\.?,? \d{{4}}|(?:{_MONTH})\.? \d{{1,2}},? \d{{4}})(?:(?![\w/-])|(?=T\d\d:?\d\d))",
     "phone": r"(?<![\w+(.-])(?:(?:\+|00)[1-9]\d{0,2}(?:[ .-]?\(?\d{2,8}\)?){1,6}|(?:1[ .-])?(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}(?P<dash>[-. ])\d{3}(?P=dash)\d{4}))(?![\w-])",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in KINDS[1:]))
@@ -133,6 +141,8 @@ def _is_host(x: int) -> bool:
 
 
 def _ip(value: str, key: bytes, back: bool) -> str | None:
+    if ":" in value:
+        return _ip6(value, key, back)
     try:
         x = int(ipaddress.IPv4Address(value))
     except ValueError:
@@ -140,6 +150,19 @@ def _ip(value: str, key: bytes, back: bool) -> str | None:
     return str(ipaddress.IPv4Address(feistel(key, "ip", 1 << 32).walk(x, _is_host, back=back))) if _is_host(x) else None
 
 
+def _ip6(value: str, key: bytes, back: bool) -> str | None:
+    """Global unicast addresses, permuted as numbers: written out in full if they came so, else shortened; in the case they came in."""
+    try:
+        x = int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+    if x >> 125 != 1:
+        return None
+    new = ipaddress.IPv6Address(1 << 125 | feistel(key, "ip6", 1 << 125).walk(x & ((1 << 125) - 1), back=back))
+    text = new.exploded if len(value) == 39 else new.compressed
+    return text.upper() if any(c.isupper() for c in value) else text
+
+
 def _is_ssn(x: int) -> bool:
     area, group, serial = x // 10**6, x // 10**4 % 100, x % 10**4
     return 0 < area < 900 and area != 666 and group > 0 and serial > 0
@@ -151,7 +174,11 @@ def _ssn(value: str, key: bytes, back: bool) -> str | None:
 
 
 def _date(value: str, key: bytes, back: bool) -> str | None:
-    """Day-first unless that is no date; written back in the notation it came in."""
+    """Day-first unless that is no date; written back in the notation it came in.
+
+    Days up to the twelfth and later ones are permuted among themselves, whatever the notation: then a
+    later day stays one, and a date that was read month first is read so again.
+    """
     parts = re.split(r"([^0-9A-Za-z]+)", value)
     fields = parts[::2]
     words = [i for i, x in enumerate(fields) if x.isalpha()]
@@ -165,11 +192,8 @@ def _date(value: str, key: bytes, back: bool) -> str | None:
             continue
         if not low <= day <= high:
             return None
-        # only days that read back in this order keep the notation's meaning
-        ambiguous = not words and y == 2
-        fits = (lambda x: True) if not ambiguous or d == 0 else (lambda x: date.fromordinal(low + x).day > 12)
-        tweak = "date" if not ambiguous or d == 0 else "date-month-first"
-        new = date.fromordinal(low + feistel(key, tweak, high - low + 1).walk(day - low, fits, back=back))
+        late = date.fromordinal(day).day > 12
+        new = date.fromordinal(low + feistel(key, "date", high - low + 1).walk(day - low, lambda x: (date.fromordinal(low + x).day > 12) == late, back=back))
         wide = lambda old, x: f"{x:02d}" if len(old) == 2 and (old[0] == "0" or all(len(f) >= 2 for f in fields)) else str(x)
         name = MONTHS[new.month - 1]
         fields[y], fields[d] = f"{new.year:04d}", wide(fields[d], new.day)

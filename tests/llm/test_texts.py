@@ -1,6 +1,7 @@
 """Operators 1, 3, 6, 7, 9 and the pipeline on small fixtures."""
 
 import base64
+import ipaddress
 import json
 import random
 import re
@@ -465,3 +466,72 @@ def test_generated_pages():
         frame = lambda: rng.choice([f"<nav><ul><li><a href=/>{word()}</a></ul></nav>", f"<div class=ad>{para()}</div>", f"<div class=sidebar><p>{sentence()}</p></div>", f"<footer><p>{sentence()}</p></footer>", f"<div class='cookie-banner'><p>{sentence()}</p></div>"])  # noqa: B023, E731
         page = f"<!doctype html><html><head><title>{title}</title></head><body>{frame()}{frame()}<article>{''.join(body)}</article>{frame()}</body></html>"
         assert extract_text(page) == "\n".join(want), (case, page)
+
+
+def test_dates_link_across_all_notations():
+    for iso, others in {"1984-03-25": ["25/03/1984", "03/25/1984", "3/25/1984", "25.3.1984", "25 March 1984", "Mar 25, 1984", "1984/3/25"], "1999-12-05": ["05/12/1999", "5 December 1999", "Dec 5, 1999"]}.items():
+        year, month, day = map(int, pseudonym("date", iso).split("-"))
+        assert (year, month, day) != tuple(map(int, iso.split("-")))
+        for other in others:
+            new = pseudonym("date", other)
+            assert pseudonym("date", new, back=True) == other or not other[0].isdigit()
+            numbers = [int(x) for x in re.findall(r"\d+", new)]
+            assert year in numbers and day in numbers and (len(numbers) == 2 or month in numbers), (iso, other, new)
+    assert replaced("at 1984-03-25T10:00Z, 1984-03-25T1000 and 1984-03-25Txx")[1] == [("date", 3, 13), ("date", 22, 32)]
+
+
+@pytest.mark.parametrize("value", ["TR330006100519786457841326", "AE070331234567890123456", "BR1800360305000010009795493C1", "MU17BOMM0101101030300200000MUR", "SA0380000000608010167519", "XK051212012345678906", "LC55HEMM000100010012001200023015", "DE89 3704 0044 0532 0130 00"])
+def test_ibans_of_the_whole_registry(value):
+    new = pseudonym("iban", value)
+    plain = new.replace(" ", "")
+    assert new != value and len(new) == len(value) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert pseudonym("iban", new, back=True) == value and replaced(f"to {value}.")[1] == [("iban", 3, 3 + len(value))]
+
+
+def test_addresses_of_version_6():
+    forms = ["2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:DB8::1", "2001:db8:0:0:0:0:0:1"]
+    new = [pseudonym("ip", f) for f in forms]
+    assert len({ipaddress.ip_address(n) for n in new}) == 1 and len(new[1]) == 39 and new[2].isupper()
+    assert all(ipaddress.ip_address(pseudonym("ip", n, back=True)) == ipaddress.ip_address("2001:db8::1") for n in new)
+    text = "from 2a02:26f0::17, fe80::1, 2001:db8, 2023:10:11, ::1 and 3fff:1:2:3:4:5:6:7."
+    assert [text[a:b] for k, a, b in replaced(text)[1]] == ["2a02:26f0::17", "3fff:1:2:3:4:5:6:7"]
+
+
+def test_generated_personal_data():
+    """Random texts whose valid and invalid values are known by construction: just the valid ones are replaced, linked by value."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban():
+        country, n = rng.choice([("DE", 22), ("TR", 26), ("GE", 22), ("NO", 15), ("PL", 28)])
+        body = digits(n - 4)
+        return f"{country}{98 - int(body + ''.join(str(int(c, 36)) for c in country) + '00') % 97:02d}{body}"
+
+    def card():
+        payload = rng.choice("3456") + digits(14)
+        return payload + luhn_digit(payload)
+
+    broken = lambda v: v[:-1] + str((int(v[-1]) + 1) % 10)
+    made = {
+        "iban": iban, "card": card, "ip": lambda: f"{rng.randrange(11, 127)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}",
+        "date": lambda: f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", "ssn": lambda: f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}",
+        "email": lambda: f"user{digits(3)}@host{digits(2)}.example.org", "phone": lambda: f"({rng.randrange(201, 999)}) {rng.randrange(201, 999)}-{digits(4)}",
+    }
+    wrong = [lambda: broken(iban()), lambda: "1" * 16, lambda: "999.1.2.3", lambda: "2001-13-45", lambda: "000-12-3456", lambda: "someone@nowhere", lambda: "10.1.2.3", lambda: "v1.2.3", lambda: digits(5)]
+    seen = {}
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 12)):
+            text += rng.choice(["word ", "Größe, ", "it is; ", "\n", "(see) "])
+            kind = rng.choice([*made, None, None])
+            value = made[kind]() if kind else rng.choice(wrong)()
+            if kind:
+                want.append((kind, len(text), len(text) + len(value)))
+            text += value + rng.choice([" ", ", ", ". ", "; "])
+        new, spans = replaced(text)
+        assert spans == want, text
+        assert len(new) == len(text) or any(k == "ip" for k, *_ in want)
+        for k, a, b in want:
+            assert seen.setdefault((k, text[a:b]), pseudonym(k, text[a:b])) == pseudonym(k, text[a:b]) and pseudonym(k, pseudonym(k, text[a:b]), back=True) == text[a:b]
+        rest = re.split("|".join(re.escape(text[a:b]) for _, a, b in want), text) if want else [text]
+        assert all(part in new for part in rest)
