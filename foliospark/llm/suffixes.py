@@ -56,7 +56,6 @@ PIECE = 1 << 20
 HOT = 20_000
 
 _SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_LOW = np.uint64((1 << 48) - 1)
 _NONE = np.empty(0, np.int64)
 
 
@@ -109,10 +108,9 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _distinct(key: np.ndarray, row: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """The distinct keys by bucket (as bucket << 48 | 48 bits), with occurrences, whether several rows have them, and each key's place."""
-    place = (_bucket(key, buckets).astype(np.uint64) << np.uint64(48)) | (key & _LOW)
-    unique, inverse, counts = np.unique(place, return_inverse=True, return_counts=True)
+def _distinct(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order (which is by bucket, whatever their number), with occurrences, whether several rows have them, and each key's place."""
+    unique, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
     least, most = np.full(len(unique), len(row) and row.max()), np.zeros(len(unique), np.int64)
     np.minimum.at(least, inverse, row)
     np.maximum.at(most, inverse, row)
@@ -165,8 +163,8 @@ def _ask(window: int, gram: int, buckets: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs_of(batches, "shard"):
             text, _, _, key = super_kmers(_texts(table), window, gram)
-            unique, counts, several, _ = _distinct(key, _numbers(table)[text], buckets)
-            bucket = (unique >> np.uint64(48)).astype(np.int64)
+            unique, counts, several, _ = _distinct(key, _numbers(table)[text])
+            bucket = _bucket(unique, buckets)
             firsts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else _NONE
             cuts = np.append(firsts, len(bucket))
             low = np.ascontiguousarray(unique.view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
@@ -399,7 +397,7 @@ def shard_transform(data: np.ndarray, own: Strings, shard: int, window: int, buc
     return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "transform", "pieces", "row", "start", "tail", "ord", "done"]), single
 
 
-def _transforms(window: int, gram: int, asks: int, buckets: int, each: int):
+def _transforms(window: int, gram: int, buckets: int, each: int):
     """Answers, then rows, of each shard -> its transforms."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +408,7 @@ def _transforms(window: int, gram: int, asks: int, buckets: int, each: int):
                 continue
             texts, number, owner = _texts(rows), _numbers(rows), rows.column("ord").to_numpy()
             text, start, count, key = super_kmers(texts, window, gram)
-            _, _, _, place = _distinct(key, number[text], asks)
+            _, _, _, place = _distinct(key, number[text])
             by = np.argsort(told.column("bucket").to_numpy(), kind="stable")
             statuses = told.column("status").to_pylist()
             status = np.frombuffer(b"".join(statuses[i] for i in by.tolist()), np.uint8)[place]
@@ -591,7 +589,7 @@ def drop_repeated_bytes(documents: DataFrame, *, window: int = WINDOW, gram: int
     told = _grouped(rows.select("shard", "ord", "tkey", "text"), _ask(window, gram, asks), _ASKS, "shard", "ord", "tkey")
     answers = scratch.keep(_grouped(told, _answer(hot), "shard long, bucket int, status binary", "bucket"), "answers")
     asked = answers.unionByName(rows.select("shard", "ord", "tkey", "text"), allowMissingColumns=True)
-    made = _grouped(asked, _transforms(window, gram, asks, parts * each, each), _TRANSFORMS, "shard", "ord", "tkey")
+    made = _grouped(asked, _transforms(window, gram, parts * each, each), _TRANSFORMS, "shard", "ord", "tkey")
     marks = scratch.keep(_grouped(made, _merge(window), _MARKS, "part"), "marks")
     scratch.drop(answers)
     every = marks.unionByName(rows, allowMissingColumns=True)

@@ -86,6 +86,19 @@ def shard_of(strings):
     return data, np.cumsum([len(s) + 1 for s in strings])
 
 
+def test_minimisers_keep_their_order_in_any_number_of_buckets(monkeypatch, spark, docs):
+    keys = np.random.default_rng(6).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    unique, counts, several, place = suffixes._distinct(np.concatenate((keys, keys[:100])), np.arange(5100))
+    for buckets in (1, 3, 1 << 16, 10_000_000):
+        found = suffixes._bucket(unique, buckets)
+        assert (np.diff(found) >= 0).all() and found.min() >= 0 and found.max() < buckets
+    assert (unique[place[:5000]] == keys).all() and counts.sum() == 5100 and several.sum() == 100
+    monkeypatch.setattr(suffixes, "ASK_BYTES", 1)  # a bucket a byte: more than 2 ** 16 of them
+    text = "".join(random.Random(k).choice("abcdefgh") for k in range(80_000))
+    rows = {r["doc_id"]: r["n_removed"] for r in drop_repeated_bytes(docs([(1, text), (2, text[500:900] + "x" + text[70:119])])).collect()}
+    assert rows == {1: 0, 2: 400}
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(1)
     for _ in range(40):
