@@ -311,7 +311,7 @@ def test_rolling_and_minimum():
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert substrings.WINDOW == suffixes.WINDOW == 50
 
 
