@@ -159,10 +159,11 @@ def parse_iso(text: Column) -> Column:
 
 
 def retry_after_seconds(value: Column, now: Column) -> Column:
-    """Whole seconds, or the time until an ISO or HTTP date, never below 0."""
+    """Whole seconds, or the time until an ISO or HTTP date, never below 0; null for other text."""
     http = F.regexp_replace(value, r"^[A-Za-z]{3}, | GMT$", "")
     at = F.coalesce(parse_iso(value), F.try_to_timestamp(http, F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.greatest(F.lit(0).cast("long"), F.coalesce(coerce_int(value), at.cast("long") - now.cast("long")))
+    seconds = F.coalesce(coerce_int(value), at.cast("long") - now.cast("long"))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0).cast("long"), seconds))
 
 
 def truncated(text: Column, length: int) -> Column:

@@ -649,4 +649,4 @@ def window_counts(spark, d):
     return counts_by_window(pages).select(F.col("window.start").alias("at"), "provider_name", "n_pages")
 
 
-from foliospark.plans import harvest_queries, more_queries  # noqa: E402, F401 - register further queries
+from foliospark.plans import harvest_queries, more_queries, response_queries  # noqa: E402, F401 - register further queries

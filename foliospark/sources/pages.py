@@ -16,19 +16,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from email.utils import parsedate_to_datetime
 from typing import Any
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, SimpleDataSourceStreamReader
 
-from foliospark.functions.scalars import RETRYABLE
+from foliospark.sources.retries import Answer, RetryPolicy, Validator, asked_wait, well_answered
 
 SCHEMA = "query string, provider_name string, page int, status string, url string, status_code int, content_type string, content string, cache_key string, created_at string, error string, message string"
-#: Back-off: first wait and longest wait in seconds, and attempts after the first.
-FIRST_WAIT, LONGEST_WAIT, RETRIES = 0.5, 120.0, 3
-
-#: Status, headers and body.
-Answer = tuple[int, dict, str]
 
 
 @dataclass
@@ -76,43 +70,6 @@ class Limiter:
         self.hold = max(self.hold or 0, self.clock() + seconds)
 
 
-def retry_after(value: str | None, now: datetime) -> float | None:
-    """Seconds to wait by a Retry-After header: a number, an ISO or an HTTP date; never below 0."""
-    if not value:
-        return None
-    try:
-        return max(0, int(value))
-    except ValueError:
-        pass
-    for read in (lambda v: datetime.fromisoformat(v.replace("Z", "+00:00")), parsedate_to_datetime):
-        try:
-            at = read(value)
-        except (TypeError, ValueError):
-            continue
-        return max(0, int((at.replace(tzinfo=at.tzinfo or UTC) - now).total_seconds()))
-    return None
-
-
-def well_answered(status: int, headers: dict, body: str) -> bool:
-    """The validator by default: any status that is no error."""
-    return 200 <= status < 400
-
-
-def with_retries(send: Callable[[], Answer], sleep: Callable[[float], None] = time.sleep, retries: int = RETRIES, valid: Callable[[int, dict, str], bool] = well_answered) -> Answer:
-    """Sends again while the answer isn't valid and its status is worth it, after the header's or a doubling wait."""
-    for attempt in range(retries + 1):
-        status, headers, body = send()
-        if valid(status, headers, body) or status not in RETRYABLE or attempt == retries:
-            return status, headers, body
-        wait = asked_wait(headers)
-        sleep(min(FIRST_WAIT * 2**attempt, LONGEST_WAIT) if wait is None else wait)
-    raise AssertionError("unreachable")
-
-
-def asked_wait(headers: dict) -> float | None:
-    return retry_after({k.lower(): v for k, v in headers.items()}.get("retry-after"), datetime.now(UTC))
-
-
 def page_facts(body: str, hits_path: str | None, records_path: str | None) -> tuple[int | None, int | None]:
     """Total hits and number of records of a page, where the paths lead to them."""
     try:
@@ -139,8 +96,8 @@ class Harvest:
     of the provider's. What a Retry-After header of any answer asks for is kept until the next call, whichever search makes it.
     """
 
-    def __init__(self, transport: Callable | None, limiter: Limiter, sleep: Callable[[float], None] = time.sleep, valid: Callable[[int, dict, str], bool] = well_answered) -> None:
-        self.transport, self.limiter, self.sleep, self.valid = transport, limiter, sleep, valid
+    def __init__(self, transport: Callable | None, limiter: Limiter, sleep: Callable[[float], None] = time.sleep, valid: Validator = well_answered, policy: RetryPolicy = RetryPolicy()) -> None:
+        self.transport, self.limiter, self.sleep, self.valid, self.policy = transport, limiter, sleep, valid, policy
         self.ended: object = None
         self.stopped = False
 
@@ -160,12 +117,12 @@ class Harvest:
         def send() -> Answer:
             self.limiter.wait()
             answer = self.transport(search.base_url, params)
-            if answer[0] not in RETRYABLE and (wait := asked_wait(answer[1])):  # a retry waits by itself
+            if answer[0] not in self.policy.statuses and (wait := asked_wait(answer[1])):  # a retry waits by itself
                 self.limiter.hold_for(wait)
             return answer
 
         try:
-            status, headers, body = kept or with_retries(send, self.sleep, valid=self.valid)
+            status, headers, body = kept or self.policy.run(send, self.sleep, self.valid)
         except Exception as error:  # no response: a row, not a failed task
             self.stopped = page > 0
             return (*tags, "nonresponse", search.base_url, None, None, None, key, made, type(error).__name__, str(error))
@@ -176,7 +133,7 @@ class Harvest:
             last = math.ceil(hits / search.records_per_page) <= page if hits is not None else count is not None and count < search.records_per_page
         if not good or last:
             self.ended = own
-            self.stopped = not good and status not in RETRYABLE
+            self.stopped = not good and status not in self.policy.statuses
         return (*tags, "processed" if good else "error", search.base_url, status, kind, body, key, made, None if good else "HTTPError", None if good else f"status {status}")
 
 

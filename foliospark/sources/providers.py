@@ -123,6 +123,11 @@ class Registry:
         found = found.join(by_url, F.col("_u") == F.col("_base"), "left").join(by_name, F.col("_n") == F.col("_by_name"), "left")
         return found.withColumn("provider", F.coalesce("_by_url", "_by_name")).drop("_u", "_n", "_base", "_by_url", "_by_name")
 
+    def relabelled(self, pages: DataFrame, url: str = "url", name: str = "provider_name") -> DataFrame:
+        """Pages of a plan of several steps under the provider that their last URL belongs to; the given name stays where none is known."""
+        by_url = self.resolve(pages.withColumn("_given", F.col(name)), F.col(url), F.lit(None).cast("string"))
+        return by_url.select(*(F.coalesce("provider", "_given").alias(name) if c == name else F.col(c) for c in pages.columns))
+
 
 def request_parameters(provider: Provider, query: Column, page: Column, page_size: Column | None = None, **specific: Column) -> Column:
     """The provider's own parameters as a map, without nulls; the core ones cannot be overridden."""

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.sources import pages as P
-from foliospark.sources.pages import Harvest, Limiter, Search, read_pages, scan_all, stream_pages, with_retries
+from foliospark.sources.pages import Harvest, Limiter, Search, read_pages, scan_all, stream_pages
+from foliospark.sources.retries import RetryPolicy
 from foliospark.sources.requests import endpoint, fetch_pages
 from foliospark.sources.providers import Registry
 
@@ -65,15 +66,15 @@ def test_a_search_ends_alone_and_an_error_ends_all():
     harvest = Harvest(get, Limiter(0), sleep=lambda s: None)
     rows = list(scan_all([search("p", [q], [1, 2, 3], 20, "u") for q in answers], harvest))
     assert [(r[0], r[2], r[3]) for r in rows] == [("q1", 1, "processed"), ("q1", 2, "processed"), ("q2", 1, "error"), ("q3", 1, "processed"), ("q4", 1, "error")]
-    assert Counter(sent) == {"q1": 2, "q2": 1 + P.RETRIES, "q3": 1, "q4": 1}
+    assert Counter(sent) == {"q1": 2, "q2": 1 + RetryPolicy().retries, "q3": 1, "q4": 1}
 
 
 def test_a_validator_decides_what_is_sent_again():
     bodies = iter(["wait", "wait", "done"])
     valid = lambda status, headers, body: body == "done"
-    assert with_retries(lambda: (429, {}, next(bodies)), lambda s: None, valid=valid)[2] == "done"
-    assert with_retries(lambda: (200, {}, "wrong"), lambda s: None, valid=valid)[2] == "wrong"  # not worth a retry
-    assert with_retries(lambda: (503, {}, "kept"), pytest.fail, valid=lambda *a: True)[2] == "kept"
+    assert RetryPolicy().run(lambda: (429, {}, next(bodies)), lambda s: None, valid=valid)[2] == "done"
+    assert RetryPolicy().run(lambda: (200, {}, "wrong"), lambda s: None, valid=valid)[2] == "wrong"  # not worth a retry
+    assert RetryPolicy().run(lambda: (503, {}, "kept"), pytest.fail, valid=lambda *a: True)[2] == "kept"
     rows = list(scan_all([search("p", ["q"], [1], 20, "u")], Harvest(lambda u, p: (200, {}, "no"), Limiter(0), valid=valid)))
     assert rows[0][3] == "error"
 

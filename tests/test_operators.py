@@ -10,7 +10,8 @@ from foliospark.operators.cache import CacheTable, NullTable, ViewTable, open_st
 from foliospark.operators.fieldmap import UNIVERSAL_FIELDS, FieldMap, union_normalised
 from foliospark.plans.workflow import Step, Workflow
 from tests.catalogue import catalog_get
-from foliospark.sources.pages import Limiter, Search, read_pages, retry_after, scan, with_retries
+from foliospark.sources.pages import Limiter, Search, read_pages, scan
+from foliospark.sources.retries import RetryPolicy, retry_after
 from foliospark.sources.parse import parse_pages, parse_xml
 from foliospark.sources.providers import FIELD_MAPS, PROVIDERS, Registry
 
@@ -140,8 +141,8 @@ def test_limiter_waits():
 
 def test_retries_and_stop():
     answers, slept = [(503, {}, ""), (429, {"Retry-After": "3"}, ""), (200, {}, "{}")], []
-    assert with_retries(lambda: answers.pop(0), slept.append)[0] == 200
-    assert slept == [0.5, 3]
+    assert RetryPolicy().run(lambda: answers.pop(0), slept.append)[0] == 200
+    assert slept == [1.0, 3]  # the first wait is the factor doubled once
     quiet = Limiter(0, sleep=lambda s: None)
     assert [r[2] for r in scan(_search(), catalog_get, quiet)] == [1, 2, 3]
     failed = list(scan(_search(), lambda u, p: (404, {}, "no"), quiet))
