@@ -51,8 +51,8 @@ SHARD_BYTES, SORT_BYTES = 3 << 20, 2 << 20
 ASK_BYTES, MERGE_BYTES = 16 << 20, 2 << 20
 #: A shard sends its transforms in ``PARTS`` rows, each of one or more buckets; one more set for every ``PARTS_BYTES`` of text.
 PARTS, PARTS_BYTES = 1024, 64 << 30
-#: Bytes of a text that are read at a time.
-PIECE = 1 << 20
+#: Bytes of text that are hashed at a time, so that hashes stay in a core's cache; bytes of a batch of results.
+PIECE, BATCH_BYTES = 1 << 17, 1 << 20
 HOT = 20_000
 
 _SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -66,14 +66,21 @@ def _piece_runs(data: np.ndarray, lengths: np.ndarray, window: int, gram: int) -
     """(piece, start, count, key) of the super-k-mers of pieces that lie one after the other."""
     starts = np.cumsum(lengths) - lengths
     low = sliding_min(rolling(_SYMBOLS[data], gram), window - gram + 1)
-    at = np.flatnonzero(inside(starts, lengths, window, len(data))[: len(low)]) if len(low) else _NONE
-    if not len(at):
+    if not len(low):
         return _NONE, _NONE, _NONE, np.empty(0, np.uint64)
-    fresh = np.concatenate(([True], (np.diff(at) != 1) | (low[at[1:]] != low[at[:-1]])))
-    ordinal = np.arange(len(at)) - np.repeat(np.flatnonzero(fresh), np.diff(np.append(np.flatnonzero(fresh), len(at))))
-    fresh |= ordinal % (window - gram + 1) == 0  # a repetitive text's runs are cut, or strings would have any length
-    first = at[fresh]
-    count = np.diff(np.append(np.flatnonzero(fresh), len(at)))
+    held = inside(starts, lengths, window, len(data))[: len(low)]
+    change = np.ones(len(low) + 1, bool)
+    change[1:-1] = (low[1:] != low[:-1]) | (held[1:] != held[:-1])
+    edges = np.flatnonzero(change)
+    first, count = edges[:-1], np.diff(edges)
+    own = held[first]
+    first, count = first[own], count[own]
+    longest = window - gram + 1
+    if len(count) and count.max() > longest:  # a repetitive text's runs are cut, or strings would have any length
+        pieces = -(-count // longest)
+        which = np.repeat(np.arange(len(count)), pieces)
+        step = longest * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        first, count = first[which] + step, np.minimum(count[which] - step, longest)
     piece = np.searchsorted(starts, first, side="right") - 1  # empty pieces share a start with the next one; the last counts
     return piece, first - starts[piece], count, mixed(low[first])  # the smallest of many hashes is small: mixed again
 
@@ -559,7 +566,7 @@ def _strip(window: int):
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 out.append((doc_id, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in spans]))
                 size += len(kept)
-                if size > PIECE or len(out) >= 2000:
+                if size > BATCH_BYTES or len(out) >= 2000:
                     yield _batch(out, kinds)
                     out, size = [], 0
             if out:
