@@ -466,40 +466,44 @@ def merge_transforms(transform: np.ndarray, sizes: np.ndarray, counts: np.ndarra
         length[own[~more]] = steps
         row, own = longer[row[more]], own[more]
         steps += 1
-    # the bytes before a row, up to five at a time, and the row they lead to
-    two = transform.astype(np.uint32) | transform[longer].astype(np.uint32) << np.uint32(8)
-    longer2 = longer[longer]
-    four, longer4 = two | two[longer2] << np.uint32(16), longer2[longer2]
-    ways = {1: (transform, longer), 2: (two, longer2), 4: (four, longer4), 5: (four.astype(np.uint64) | transform[longer4].astype(np.uint64) << np.uint64(32), longer[longer4])}
+    # the strings backwards, one after the other, so that the bytes before a row lie behind one another
+    base = np.cumsum(length + 1) - length - 1
+    spot = base.astype(np.int32)[string] + back
+    text = np.zeros(n + 8, np.uint8)
+    text[spot] = transform
+    ahead = np.ndarray((n,), "<u8", text, strides=(1,)).copy()  # the next eight bytes of each place
     # the interleave: places that have a whole window of their string before them
-    now = np.flatnonzero(length[string] - back >= window).astype(np.int32)
-    rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)[string]
+    now = spot[length[string] - back >= window]
+    home = np.repeat(np.arange(len(owner), dtype=np.int32), length + 1)  # the string of each place
+    rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)
     block, starts, read, rounds = np.zeros(len(now), np.int32), np.zeros(len(now), bool), 0, 0
     while read < window and len(now):
         bits = np.uint64(len(now).bit_length())
-        width = max(w for w in ways if w <= window - read and 8 * w + int(bits) <= 64)
-        symbols, leads = ways[width]
-        symbol = symbols[now].astype(np.uint64)
+        width = min(window - read, (64 - int(bits)) // 8)
+        symbol = ahead[now]
+        symbol &= np.uint64((1 << 8 * width) - 1)
         symbol <<= bits
         symbol |= np.arange(len(now), dtype=np.uint64)  # the place is part of the key: a stable sort
         symbol.sort()
         by = (symbol & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
         symbol >>= bits
-        now, block = leads[now[by]], block[by]
+        now, block = now[by], block[by]
+        now += np.int32(width)
         starts = np.empty(len(now), bool)
         starts[0] = True
         np.not_equal(symbol[1:], symbol[:-1], out=starts[1:])
         starts[1:] |= block[1:] != block[:-1]
         read, rounds = read + width, rounds + 1
-        if rounds in (3, 6):  # blocks of one owner hold no repeat, nor will what they refine to
+        if rounds == 3:  # blocks of one owner hold no repeat, nor will what they refine to
             firsts = np.flatnonzero(starts)
-            held = rank[now]
+            held = rank[home[now]]
             several = np.minimum.reduceat(held, firsts) != np.maximum.reduceat(held, firsts)
             stay = np.repeat(several, np.diff(np.append(firsts, len(now))))
             now, starts = now[stay], starts[stay]
         block = np.cumsum(starts, dtype=np.int32)
-    late = now[_late(starts, rank[now])] if len(now) else now
-    return string[late].astype(np.int64), (length[string[late]] - back[late]).astype(np.int64)
+    late = now[_late(starts, rank[home[now]])] if len(now) else now
+    found = home[late].astype(np.int64)
+    return found, length[found] - (late - base[found])
 
 
 def _spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
