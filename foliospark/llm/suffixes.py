@@ -39,7 +39,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Scratch, inside, mixed, rolling, runs, sliding_min, texts_of
+from foliospark.llm.common import Scratch, inside, mixed, rolling, sliding_min, texts_of
 
 WINDOW, GRAM = 50, 16
 #: A byte that UTF-8 never has ends each indexed string.
@@ -545,6 +545,14 @@ def _found(shard: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(shard), *(pa.array(x.astype(np.int32)) for x in (row, first, count))], names=["shard", "row", "first", "count"])
 
 
+def _covered(start: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs (start, end) of what some spans cover; what touches is one run. Costs memory by the spans, not by the text."""
+    by = np.argsort(start, kind="stable")
+    start, reach = start[by], np.maximum.accumulate((start + length)[by])
+    heads = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return list(zip(start[heads].tolist(), reach[np.append(heads[1:], len(start)) - 1].tolist(), strict=True))
+
+
 def _strip(window: int):
     """Marks, then rows, of each shard -> its rows with what is kept of them."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -562,12 +570,9 @@ def _strip(window: int):
             for text, doc_id, a, b in zip(_texts(rows), ids, np.searchsorted(row, number).tolist(), np.searchsorted(row, number, side="right").tolist(), strict=True):
                 kept, spans = text, []
                 if a < b:
-                    edge = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(edge, first[a:b], 1)
-                    np.add.at(edge, first[a:b] + count[a:b] + window - 1, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    spans = list(zip(*(x.tolist() for x in runs(gone)), strict=True))
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                    spans = _covered(first[a:b].astype(np.int64), count[a:b] + np.int64(window - 1))
+                    edges = [0, *(x for span in spans for x in span), len(text)]
+                    kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
                 out.append((doc_id, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in spans]))
                 size += len(kept)
                 if size > BATCH_BYTES or len(out) >= 2000:

@@ -386,3 +386,18 @@ def test_clean_rows_of_null_and_equal_ids_stay(spark, docs):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (9, texts[5]), (9, texts[5])]
     wanted = sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5])], key=str)
     assert sorted(((r["doc_id"], r["text"]) for r in drop_near_duplicates(docs(rows)).collect()), key=str) == wanted
+
+
+def test_covered_runs_are_those_of_the_bytes():
+    import random
+
+    import numpy as np
+
+    from foliospark.llm.suffixes import _covered
+
+    dice = random.Random(5)
+    for _ in range(200):
+        spans = [(dice.randrange(60), dice.randrange(1, 9)) for _ in range(dice.randrange(1, 12))]
+        covered = {i for a, n in spans for i in range(a, a + n)}
+        plain = [(a, next(b for b in range(a, 99) if b not in covered)) for a in sorted(covered) if a - 1 not in covered]
+        assert _covered(np.array([a for a, _ in spans]), np.array([n for _, n in spans])) == plain
