@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,7 @@ from foliospark.functions.jsonpath import as_text as _text
 from foliospark.functions.jsonpath import loaded as _loaded
 from foliospark.functions.jsonpath import split_key, values_at
 from foliospark.functions.scalars import collapse
+from foliospark.operators.trie import above_others
 
 # Keys that hold metadata, and parts of keys that mark a record.
 METADATA_KEYS = ("metadata", "facets", "IdList")
@@ -153,6 +155,7 @@ def leaves(value: Any, path: tuple = ()) -> Iterator[tuple[tuple, Any]]:
 
 
 _NODE = "array<struct<path:array<string>,is_index:array<boolean>,ord:int,value:string,value_type:string>>"
+_PLAIN = "array<struct<path:array<string>,ord:int,value:string>>"
 
 
 def numbered(frame: DataFrame, name: str = "row") -> DataFrame:
@@ -160,19 +163,74 @@ def numbered(frame: DataFrame, name: str = "row") -> DataFrame:
     return frame.withColumn(name, F.monotonically_increasing_id())
 
 
-def nodes(frame: DataFrame, record: str = "record", keep: Iterable[str] = (), max_depth: int | None = None) -> DataFrame:
-    """One row for each leaf of each record: path, is_index, ord, value, value_type."""
+class _Shape:
+    """The distinct paths of a batch as nested dictionaries; at a type stands the number of a leaf of that type, at None the path.
 
-    @F.pandas_udf(_NODE)
-    def split(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            value = _loaded(t)
-            found = [] if value is None else list(leaves(value))
-            out.append([{"path": [str(p) for p in path], "is_index": [isinstance(p, int) for p in path], "ord": i, "value": _text(v), "value_type": type(v).__name__} for i, (path, v) in enumerate(found) if max_depth is None or len(path) <= max_depth])
-        return pd.Series(out)
+    Records of a table share their paths, so a path is made once for a batch and a leaf is its number.
+    """
+
+    def __init__(self) -> None:
+        self.root: dict = {None: ()}
+        self.kinds: list[tuple[tuple, type]] = []
+
+    def walk(self, value: Any, node: dict, numbers: list[int], values: list) -> None:
+        """Appends the number and the value of each leaf, as ``leaves`` has them."""
+        if not value or not isinstance(value, (dict, list)):
+            self.leaf(value, node, numbers, values)
+            return
+        for key, inner in value.items() if isinstance(value, dict) else enumerate(value):
+            below = node.get(key)
+            if below is None:
+                below = node[key] = {None: (*node[None], key)}
+            if inner and isinstance(inner, (dict, list)):
+                self.walk(inner, below, numbers, values)
+            else:
+                self.leaf(inner, below, numbers, values)
+
+    def leaf(self, value: Any, node: dict, numbers: list[int], values: list) -> None:
+        kind = type(value)
+        number = node.get(kind)
+        if number is None:
+            number = node[kind] = len(self.kinds)
+            self.kinds.append((node[None], kind))
+        numbers.append(number)
+        values.append(value if kind is str else _text(value))
+
+
+def _starts(ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of lists, and the place of each element in its list."""
+    offsets = np.array([0, *ends], np.int32)
+    return offsets, np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets))
+
+
+def leaf_list(record: Column, max_depth: int | None = None) -> Column:
+    """All leaves of a record in one array, in place: path, is_index, ord, value, value_type."""
+
+    @F.arrow_udf(_NODE)
+    def split(texts: pa.Array) -> pa.Array:
+        shape, numbers, values, ends = _Shape(), [], [], []
+        for value in map(_loaded, texts.to_pylist()):
+            if value is not None:
+                shape.walk(value, shape.root, numbers, values)
+            ends.append(len(numbers))
+        offsets, place = _starts(ends)
+        at, texts_of = np.array(numbers, np.int64), pa.array(values, pa.string())
+        if max_depth is not None:
+            kept = np.array([len(p) <= max_depth for p, _ in shape.kinds], bool)[at]
+            offsets = np.concatenate([[0], np.cumsum(kept)])[offsets].astype(np.int32)
+            at, place, texts_of = at[kept], place[kept], texts_of.filter(pa.array(kept))
+        path = pa.array([[str(p) for p in path] for path, _ in shape.kinds], pa.list_(pa.string()))
+        index = pa.array([[isinstance(p, int) for p in path] for path, _ in shape.kinds], pa.list_(pa.bool_()))
+        kind = pa.array([k.__name__ for _, k in shape.kinds], pa.string())
+        columns = [path.take(pa.array(at)), index.take(pa.array(at)), pa.array(place), texts_of, kind.take(pa.array(at))]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["path", "is_index", "ord", "value", "value_type"]))
+
+    return split(record)
 
-    return frame.select(*keep, F.explode(split(F.col(record))).alias("n")).select(*keep, "n.*")
+
+def nodes(frame: DataFrame, record: str = "record", keep: Iterable[str] = (), max_depth: int | None = None) -> DataFrame:
+    """One row for each leaf of each record: path, is_index, ord, value, value_type."""
+    return frame.select(*keep, F.explode(leaf_list(F.col(record), max_depth)).alias("n")).select(*keep, "n.*")
 
 
 def short_name(path: tuple[str, ...], taken: set[str]) -> str:
@@ -255,6 +313,33 @@ def distinct_leaves(nodes_frame: DataFrame, keep: Iterable[str]) -> DataFrame:
     return nodes_frame.groupBy(*keep, plain.alias("path"), "value").agg(F.min("ord").alias("ord"))
 
 
+def distinct_leaf_list(record: Column) -> Column:
+    """What ``distinct_leaves`` gives for one record, in place and without a shuffle: path, ord, value."""
+
+    @F.arrow_udf(_PLAIN)
+    def split(texts: pa.Array) -> pa.Array:
+        shape, plain = _Shape(), {}
+        of_leaf, at, place, values, ends = [], [], [], [], []
+        for value in map(_loaded, texts.to_pylist()):
+            numbers, found = [], []
+            if value is not None:
+                shape.walk(value, shape.root, numbers, found)
+            for path, _ in shape.kinds[len(of_leaf) :]:
+                of_leaf.append(plain.setdefault(tuple(p for p in path if not isinstance(p, int)), len(plain)))
+            first: dict[tuple, int] = {}
+            for i, own in enumerate(zip(map(of_leaf.__getitem__, numbers), found, strict=True)):
+                first.setdefault(own, i)
+            at += [n for n, _ in first]
+            values += [v for _, v in first]
+            place += first.values()
+            ends.append(len(at))
+        path = pa.array(map(list, plain), pa.list_(pa.string())).take(pa.array(at, pa.int64()))
+        columns = [path, pa.array(place, pa.int32()), pa.array(values, pa.string())]
+        return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.StructArray.from_arrays(columns, ["path", "ord", "value"]))
+
+    return split(record)
+
+
 def is_nested_json(record: Column) -> Column:
     """Whether a value of the record is an object, or a list that holds a list, an object or text."""
 
@@ -488,7 +573,19 @@ def combine_counts(nodes_frame: DataFrame, keep: Iterable[str]) -> DataFrame:
 
 
 def deepest_only(nodes_frame: DataFrame, keep: Iterable[str]) -> DataFrame:
-    """Without rows whose path is a proper prefix of another of the same record; ``keep`` must tell records apart (see ``numbered``)."""
+    """Without rows whose path is a proper prefix of another of the same record; ``keep`` must tell records apart (see ``numbered``).
+
+    The rows of a record meet once; where they are still in one array, ``deepest`` needs no shuffle.
+    """
     keep = list(keep)
-    prefixes = nodes_frame.select(*keep, F.explode(P.ancestors(F.col("path"))).alias("path")).distinct()
-    return nodes_frame.join(prefixes, [*keep, "path"], "left_anti")
+    rest = [c for c in nodes_frame.columns if c not in keep]
+    gathered = nodes_frame.groupBy(*keep).agg(F.collect_list(F.struct(*rest)).alias("_rows"))  # the nodes of one record
+    above = above_others(F.transform("_rows", lambda r: r["path"]))
+    rows = gathered.select(*keep, F.explode(F.arrays_zip(F.col("_rows").alias("row"), above.alias("above"))).alias("_n"))
+    return rows.where(~F.col("_n.above") | (F.size("_n.row.path") == 0)).select(*keep, "_n.row.*").select(*nodes_frame.columns)
+
+
+def deepest(paths: Column) -> Column:
+    """Of the paths of one record, those that are no proper prefix of another one, in place; the empty path is no part of others here, as in ``paths.ancestors``."""
+    marked = F.filter(F.arrays_zip(paths.alias("path"), above_others(paths).alias("above")), lambda x: ~x["above"] | (F.size(x["path"]) == 0))
+    return F.transform(marked, lambda x: x["path"])

@@ -8,9 +8,12 @@ that are sent twice only add up. Within one record no shuffle is needed at all (
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +28,14 @@ class Trie:
         self.root: dict = {}
         self.size = 0
 
-    def insert(self, path: list[str]) -> None:
+    def insert(self, path: list[str], times: int = 1) -> None:
         node = self.root
         for part in path:
             if part not in node:
                 node[part] = {}
                 self.size += 1
             node = node[part]
-        node[None] = node.get(None, 0) + 1
+        node[None] = node.get(None, 0) + times
 
     def rows(self) -> Iterator[tuple[list[str], int, int]]:
         """Every node with the paths that end there and those that end below, the deepest first."""
@@ -50,12 +53,81 @@ class Trie:
                 yield path, node.get(None, 0), below
 
 
+def prefix_numbers(paths: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of a batch of paths: their lengths, the number of each path, and for each depth (places of the paths that deep, numbers of their prefixes).
+
+    Equal prefixes have equal numbers; the empty path has 0. Nothing is made for each path in Python.
+    """
+    lengths = pc.fill_null(pc.list_value_length(paths), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = paths.flatten().dictionary_encode(null_encoding="encode")
+    codes = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, numbers, depths, known = np.cumsum(lengths) - lengths, np.zeros(len(paths), np.int64), [], 1
+    for depth in range(int(lengths.max(initial=0))):
+        deep = np.flatnonzero(lengths > depth)
+        found, own = np.unique(numbers[deep] * len(parts.dictionary) + codes[starts[deep] + depth], return_inverse=True)
+        numbers[deep] = known + own
+        known += len(found)
+        depths.append((deep, numbers[deep]))
+    return lengths, numbers, depths
+
+
+def above_others(paths: Column) -> Column:
+    """Of the paths of one record, which are a proper prefix of another one: a boolean for each, in place."""
+
+    @F.arrow_udf("array<boolean>")
+    def above(records: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(records), 0).to_numpy(zero_copy_only=False)
+        record = np.repeat(np.arange(len(records)), sizes)
+        lengths, numbers, depths = prefix_numbers(records.flatten())
+        span = int(numbers.max(initial=0)) + 1  # of a record's own numbers
+        longer = [(deep[lengths[deep] > d + 1], own[lengths[deep] > d + 1]) for d, (deep, own) in enumerate(depths)]
+        prefixes = np.concatenate([np.empty(0, np.int64), *(record[deep] * span + own for deep, own in longer)])
+        flags = np.isin(record * span + numbers, prefixes) | (lengths == 0) & np.isin(record, record[lengths > 0])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flags, pa.bool_()))
+
+    return above(paths)
+
+
+_NUMBERED = re.compile(r"([a-zA-Z_.\-]*)([0-9]+)")
+
+
+def _number_code(digits: str) -> str:
+    bare = digits.lstrip("0") or "0"
+    return "9" * (len(bare) // 9) + str(len(bare) % 9) + bare
+
+
+def order_text(path: list[str | None]) -> str:
+    """What ``paths.order_key`` gives for a path."""
+    parts = [p for p in path if p is not None]
+    coded = [f"'{m[1]}''{_number_code(m[2])}'" if (m := _NUMBERED.fullmatch(p)) else p for p in parts]
+    return ".".join([_number_code(str(0 if path in ([], [""]) else len(path))), ".".join(coded)])
+
+
+def natural_order(paths: Column) -> Column:
+    """The paths of one record in their natural order (see ``paths.order_key``), in place; a key is made once for each distinct path of a batch."""
+
+    @F.arrow_udf("array<array<string>>")
+    def ordered(records: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(records), 0).to_numpy(zero_copy_only=False)
+        flat = records.flatten()
+        _, first, at = np.unique(prefix_numbers(flat)[1], return_index=True, return_inverse=True)
+        keys = [order_text(p or []).encode() for p in flat.take(pa.array(first)).to_pylist()]
+        rank = np.empty(len(keys), np.int64)
+        rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+        order = np.lexsort((rank[at], np.repeat(np.arange(len(records)), sizes)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat.take(pa.array(order)))
+
+    return ordered(paths)
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie = Trie()
     for batch in batches:
-        for path in batch.column(0).to_pylist():
-            if path is not None and None not in path:
-                trie.insert(path)
+        lengths, numbers, _ = prefix_numbers(batch.column(0))
+        _, first, times = np.unique(numbers, return_index=True, return_counts=True)
+        for path, n in zip(batch.column(0).take(pa.array(first)).to_pylist(), times.tolist(), strict=True):
+            if path and None not in path:
+                trie.insert(path, n)
             if trie.size >= NODES:
                 yield _sent(trie)
                 trie = Trie()
@@ -80,10 +152,6 @@ def insert_conflicts(frame: DataFrame, path: str = "path") -> DataFrame:
 
 
 def leaves_above(paths: Column) -> Column:
-    """Of the paths of one record, those that are a proper prefix of another one.
-
-    In the order of arrays a path's successor starts with it if any path does.
-    """
-    ordered = F.array_sort(F.array_distinct(paths))
-    following = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: F.when((F.size(a) < F.size(b)) & (F.slice(b, F.lit(1), F.size(a)) == a), a))
-    return F.filter(following, lambda p: p.isNotNull())
+    """Of the paths of one record, those that are a proper prefix of another one, each once and in order."""
+    marked = F.filter(F.arrays_zip(paths.alias("path"), above_others(paths).alias("above")), lambda x: x["above"])
+    return F.array_sort(F.array_distinct(F.transform(marked, lambda x: x["path"])))
