@@ -6,6 +6,8 @@ A path is an array of components; list positions are digit strings. ``split_path
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,7 +44,13 @@ def infer_delimiter(text: Column) -> Column:
 
 
 def is_index(part: Column) -> Column:
-    return part.rlike(r"\A\d+\z")
+    """Whether a part is digits only; the first character decides for most names before the pattern is tried."""
+    return (part >= "0") & (part < ":") & part.rlike(r"\A\d+\z")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once and not again for each element that looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def depth(path: Column) -> Column:
@@ -97,9 +105,9 @@ def remove_indices(path: Column, num: int | None = None, *, reverse: bool = Fals
     if num is None:
         return F.filter(path, lambda p: ~is_index(p))
     ordered = F.reverse(path) if reverse else path
-    # how many positions stand before each part
-    before = F.transform(ordered, lambda p, i: F.size(F.filter(F.slice(ordered, F.lit(1), i), is_index)))
-    kept = F.filter(ordered, lambda p, i: ~(is_index(p) & (F.get(before, i) < num)))
+    found = F.filter(F.transform(ordered, lambda p, i: F.when(is_index(p), i)), lambda i: i.isNotNull())
+    dropped = F.slice(found, F.lit(1), F.lit(num))
+    kept = _let(dropped, lambda own: F.filter(ordered, lambda p, i: ~F.array_contains(own, i)))
     return F.reverse(kept) if reverse else kept
 
 
@@ -173,9 +181,9 @@ def sort_key(path: Column) -> Column:
     return F.concat_ws(DELIMITER, F.size(path).cast("string"), padded)
 
 
-def _number_code(digits: Column) -> Column:
-    """Digits as text whose order is that of the numbers, however long: their count (9 for each nine and the rest), then they."""
-    bare = F.regexp_replace(digits, r"\A0+(?=\d)", "")
+def _number_code(digits: Column, *, bare: bool = False) -> Column:
+    """Digits as text whose order is that of the numbers, however long: their count (9 for each nine and the rest), then they; bare ones have no leading zeros."""
+    bare = digits if bare else F.regexp_replace(digits, r"\A0+(?=\d)", "")
     return F.concat(F.repeat(F.lit("9"), F.floor(F.length(bare) / 9).cast("int")), (F.length(bare) % 9).cast("string"), bare)
 
 
@@ -186,9 +194,12 @@ def order_key(path: Column, *, depth_first: bool = True) -> Column:
     paths prune a scan: ``order_key(path, depth_first=False)`` of all paths below a prefix starts with that of the prefix and a delimiter.
     """
     number = r"\A([a-zA-Z_.\-]*)(\d+)\z"
-    coded = F.transform(path, lambda p: F.when(p.rlike(number), F.concat(F.lit("'"), F.regexp_extract(p, number, 1), F.lit("''"), _number_code(F.regexp_extract(p, number, 2)), F.lit("'"))).otherwise(p))
+    last = lambda p: F.substring(p, -1, 1).between("0", "9")  # noqa: E731 - tells most names from numbers before the pattern is tried
+    short = lambda p: (F.length(p) < 9) & (~p.startswith("0") | (p == "0")) & is_index(p)  # noqa: E731 - list positions, whose code needs no pattern
+    plain = lambda p: F.concat(F.lit("'''"), F.length(p).cast("string"), p, F.lit("'"))
+    coded = F.transform(path, lambda p: F.when(short(p), plain(p)).when(last(p) & p.rlike(number), F.concat(F.lit("'"), F.regexp_extract(p, number, 1), F.lit("''"), _number_code(F.regexp_extract(p, number, 2)), F.lit("'"))).otherwise(p))
     key = F.array_join(coded, DELIMITER)
-    return F.concat_ws(DELIMITER, _number_code(depth(path).cast("string")), key) if depth_first else key
+    return F.concat_ws(DELIMITER, _number_code(depth(path).cast("string"), bare=True), key) if depth_first else key
 
 
 def contains(path: Column, part: Column) -> Column:
