@@ -17,6 +17,7 @@ from foliospark.functions.jsonpath import loaded
 
 # Fixed value: what marks text that stands for bytes.
 PREFIX = "<hashbytes>"
+_dumped = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
 def serialise(**columns: Column) -> Column:
@@ -56,7 +57,7 @@ def encode_tree(record: Column, *keys: str) -> Column:
 
     @F.arrow_udf("string")
     def encode(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else json.dumps(_encoded(loaded(t), wanted), ensure_ascii=False, separators=(",", ":")) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else _dumped(_encoded(loaded(t), wanted)) for t in texts.to_pylist()], pa.string())
 
     return encode(record)
 
@@ -66,7 +67,7 @@ def decode_tree(record: Column) -> Column:
 
     @F.arrow_udf("string")
     def decode(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else json.dumps(_decoded(loaded(t)), ensure_ascii=False, separators=(",", ":")) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else _dumped(_decoded(loaded(t))) for t in texts.to_pylist()], pa.string())
 
     return decode(record)
 
