@@ -401,3 +401,40 @@ def test_covered_runs_are_those_of_the_bytes():
         covered = {i for a, n in spans for i in range(a, a + n)}
         plain = [(a, next(b for b in range(a, 99) if b not in covered)) for a in sorted(covered) if a - 1 not in covered]
         assert _covered(np.array([a for a, _ in spans]), np.array([n for _, n in spans])) == plain
+
+
+@pytest.mark.parametrize("short, piece_rows", [(32, 50_000), (1, 10)])
+def test_the_stage_meets_sets_by_deletion_variants(spark, monkeypatch, short, piece_rows):
+    """Fingerprints meet where one segment differs by one bit, not where all differ by two; a tree names its smallest member."""
+    from foliospark.llm import jaccard as module
+
+    monkeypatch.setattr(module, "SHORT", short)
+    monkeypatch.setattr(module, "PIECE_ROWS", piece_rows)
+    rng = random.Random(6)
+    size, rows, wanted = module.SEGMENT, [], set()
+    for case in range(40):
+        base = rng.getrandbits(64 * module.WORDS)
+        near = base
+        for segment in range(64 * module.WORDS // size):
+            for bit in rng.sample(range(size), 1 if case % 2 and segment == case else 2):
+                near ^= 1 << (segment * size + bit)
+        rows += [(2 * case, bytearray(base.to_bytes(8 * module.WORDS, "little"))), (2 * case + 1, bytearray(near.to_bytes(8 * module.WORDS, "little")))]
+        wanted |= {(2 * case, 2 * case + 1)} if case % 2 else set()
+    rows += [(100 + k, rows[0][1]) for k in range(5)] + [(200, None)]
+    wanted |= {(0, 100 + k) for k in range(5)}
+    got = module.near_trees(spark.createDataFrame(rows, "fp long, bits binary")).collect()
+    assert {(r["a"], r["b"]) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_sets_of_jaccard_80_meet():
+    from foliospark.llm import jaccard as module
+
+    rng = np.random.default_rng(3)
+    for shared, left, right in [(4, 0, 1), (5, 0, 1), (8, 1, 1), (16, 0, 4), (80, 10, 10), (320, 40, 40)]:
+        words = 2 * module.WORDS if shared + right <= module.SMALL else module.WORDS
+        both = [rng.integers(0, 1 << 63, shared, dtype=np.uint64) for _ in range(200)]
+        x, y = (module.wide_fingerprints([np.concatenate([s, rng.integers(0, 1 << 63, n, dtype=np.uint64)]) for s in both], words) for n in (left, right))
+        bits = np.unpackbits((x ^ y).view(np.uint8), axis=1, bitorder="little")
+        count = 64 * words // module.SEGMENT
+        met = (bits[:, : count * module.SEGMENT].reshape(200, count, -1).sum(2) <= 1).any(1) & (bits[:, :128].sum(1) <= module.MAX_BITS)
+        assert met.mean() > 0.99
