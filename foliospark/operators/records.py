@@ -173,8 +173,8 @@ class _Shape:
         self.root: dict = {None: ()}
         self.kinds: list[tuple[tuple, type]] = []
 
-    def walk(self, value: Any, node: dict, numbers: list[int], values: list) -> None:
-        """Appends the number and the value of each leaf, as ``leaves`` has them."""
+    def walk(self, value: Any, node: dict, numbers: list[int], values: list | None) -> None:
+        """Appends the number and the value of each leaf, as ``leaves`` has them; no values where there is no list for them."""
         if not value or not isinstance(value, (dict, list)):
             self.leaf(value, node, numbers, values)
             return
@@ -187,14 +187,15 @@ class _Shape:
             else:
                 self.leaf(inner, below, numbers, values)
 
-    def leaf(self, value: Any, node: dict, numbers: list[int], values: list) -> None:
+    def leaf(self, value: Any, node: dict, numbers: list[int], values: list | None) -> None:
         kind = type(value)
         number = node.get(kind)
         if number is None:
             number = node[kind] = len(self.kinds)
             self.kinds.append((node[None], kind))
         numbers.append(number)
-        values.append(value if kind is str else _text(value))
+        if values is not None:
+            values.append(value if kind is str else _text(value))
 
 
 def _starts(ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -455,20 +456,45 @@ def _sort_key(path: tuple) -> str:
     return ".".join([str(len(path)), *(str(p).rjust(8, "0") if _is_position(p) else p for p in path)])
 
 
-def _groups(frame: DataFrame, record: str, wanted) -> DataFrame:
-    """The distinct path groups of all records with the first path of each; each Arrow batch sends a group once."""
+def _leaf_reader(find: Mapping[str, re.Pattern], texts: bool = True) -> tuple[list[tuple[tuple, type]], Callable[[str | None], tuple[Any, list[int], list]]]:
+    """The leaf kinds (path, type) seen so far, and text -> value, numbers of its leaves in these, their texts if wanted; no leaves where the patterns fail.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    For the records of one Arrow batch: a path is searched by the patterns once for a batch, not once for each leaf.
+    """
+    shape = _Shape()
+    found: dict[str, list[bool]] = {k: [] for k in find}
+
+    def read(text: str | None) -> tuple[Any, list[int], list]:
+        value, numbers, values = _loaded(text), [], []
+        if not value or not isinstance(value, (dict, list)):
+            return value, numbers, values  # no leaf but the record itself
+        shape.walk(value, shape.root, numbers, values if texts else None)
+        for k, flags in found.items():
+            flags += (find[k].search(".".join(map(str, path))) is not None for path, _ in shape.kinds[len(flags) :])
+        if "keep" in found and not any(map(found["keep"].__getitem__, numbers)) or "ignore" in found and any(map(found["ignore"].__getitem__, numbers)):
+            return value, [], []
+        return value, numbers, values
+
+    return shape.kinds, read
+
+
+def _groups(frame: DataFrame, record: str, find: Mapping[str, re.Pattern]) -> DataFrame:
+    """The distinct path groups of all records that pass with the first path of each; each Arrow batch sends a group once."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[tuple[str, ...], str] = {}
+            kinds, read = _leaf_reader(find, texts=False)
+            used: set[int] = set()
             for text in batch.column(0).to_pylist():
-                for path, _ in wanted(text):
-                    g, k = _group(path), _sort_key(path)
-                    if g not in first or k < first[g]:
-                        first[g] = k
+                used.update(read(text)[1])
+            first: dict[tuple[str, ...], str] = {}
+            for path in {kinds[n][0] for n in used}:
+                g, k = _group(path), _sort_key(path)
+                if g not in first or k < first[g]:
+                    first[g] = k
             yield pa.RecordBatch.from_arrays([pa.array(map(list, first), pa.list_(pa.string())), pa.array(first.values(), pa.string())], names=["grp", "k"])
 
-    found = frame.select(F.col(record).cast("string").alias("record")).mapInArrow(find, "grp array<string>, k string")
+    found = frame.select(F.col(record).cast("string").alias("record")).mapInArrow(search, "grp array<string>, k string")
     return found.groupBy("grp").agg(F.min("k").alias("k"))
 
 
@@ -485,55 +511,52 @@ def path_rows(frame: DataFrame, record: str = "record", keep: Iterable[str] = ()
     """
     find = {k: re.compile(p if regex else re.escape(p)) for k, p in (("keep", keep_pattern), ("ignore", ignore_pattern)) if p is not None}
 
-    def wanted(text: str | None) -> list[tuple[tuple, Any]]:
-        value = _loaded(text)
-        found = [] if value is None or value in ({}, []) else [x for x in leaves(value) if x[0]]
-        dotted = [".".join(map(str, p)) for p, _ in found] if find else []
-        if "keep" in find and not any(find["keep"].search(p) for p in dotted) or "ignore" in find and any(find["ignore"].search(p) for p in dotted):
-            return []
-        return found
-
-    def passes(text: str | None) -> bool:
-        return bool(wanted(text)) or "keep" not in find and _loaded(text) in (None, {}, [])
-
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = [g for batch in batches for g in batch.column("grp").to_pylist()]
         made = simplified_names(groups)
         yield pa.RecordBatch.from_arrays([pa.array([list(g) for g in made], pa.list_(pa.string())), pa.array(list(made.values()), pa.string())], names=["grp", "name"])
 
+    # the names come from one reading of all records, which applies the patterns itself
+    named = _groups(frame, record, find).orderBy("k", F.array_join("grp", ".")).coalesce(1).mapInArrow(name, "grp array<string>, name string")
     if find:
 
         @F.arrow_udf("boolean")
         def kept(texts: pa.Array) -> pa.Array:
-            return pa.array([passes(t) for t in texts.to_pylist()], pa.bool_())
+            _, read = _leaf_reader(find, texts=False)
+            return pa.array([bool(numbers) or "keep" not in find and value in (None, {}, []) for value, numbers, _ in map(read, texts.to_pylist())], pa.bool_())
 
         frame = frame.where(kept(F.col(record)))
-    named = _groups(frame, record, wanted).orderBy("k", F.array_join("grp", ".")).coalesce(1).mapInArrow(name, "grp array<string>, name string")
     some = named.limit(MAX_GROUPS + 1).collect()
     if len(some) > MAX_GROUPS:
-        return _joined_rows(frame, record, list(keep), delimiter, named, wanted)
+        return _joined_rows(frame, record, list(keep), delimiter, named, find)
     names = {tuple(r["grp"]): r["name"] for r in some}
 
     @F.arrow_udf("map<string,string>")
     def rows(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
+        kinds, read = _leaf_reader(find)
+        out, of_leaf = [], []
+        for value, numbers, values in map(read, texts.to_pylist()):
+            of_leaf += (names.get(_group(path)) for path, _ in kinds[len(of_leaf) :])
             cells: dict[str, list] = {}
-            for path, v in wanted(text):
-                cells.setdefault(names[_group(path)], []).append(v)
-            out.append(None if _loaded(text) is None else {n: _joined(v, delimiter) for n, v in cells.items()})
+            for n, v in zip(numbers, values, strict=True):
+                cells.setdefault(of_leaf[n], []).append(v)
+            out.append(None if value is None else {n: _joined(v, delimiter) for n, v in cells.items()})
         return _maps(out)
 
     return frame.select(*keep, rows(F.col(record)).alias("fields"))
 
 
-def _joined_rows(frame: DataFrame, record: str, keep: list[str], delimiter: str, named: DataFrame, wanted) -> DataFrame:
+def _joined_rows(frame: DataFrame, record: str, keep: list[str], delimiter: str, named: DataFrame, find: Mapping[str, re.Pattern]) -> DataFrame:
     """The same where the names are too many to send: leaves meet their names in a join and return to their record by a row number."""
 
     @F.arrow_udf("array<struct<grp:array<string>,ord:int,value:string>>")
     def cells(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("grp", pa.list_(pa.string())), ("ord", pa.int32()), ("value", pa.string())]))
-        return pa.array([None if _loaded(t) is None else [{"grp": list(_group(p)), "ord": i, "value": _text(v)} for i, (p, v) in enumerate(wanted(t))] for t in texts.to_pylist()], kind)
+        kinds, read = _leaf_reader(find)
+        out = []
+        for value, numbers, values in map(read, texts.to_pylist()):
+            out.append(None if value is None else [{"grp": list(_group(kinds[n][0])), "ord": i, "value": v} for i, (n, v) in enumerate(zip(numbers, values, strict=True))])
+        return pa.array(out, kind)
 
     numbered = frame.select(*keep, F.monotonically_increasing_id().alias("_row"), cells(F.col(record)).alias("_cells"))
     flat = numbered.select("_row", F.explode("_cells").alias("c")).select("_row", "c.*").join(named, "grp")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,32 @@ def test_cached_searches_of_a_provider_are_dealt(spark):
 def test_records_by_provider_are_dealt(spark):
     for name in ("normalise_by_url", "normalise_by_name"):
         assert QUERIES[name](spark, DATA).rdd.getNumPartitions() > 4
+
+
+def test_patterns_search_a_path_once_for_a_batch():
+    class Counted:
+        searched = 0
+
+        def search(self, path):
+            self.searched += 1
+            return re.search(r"^lines\.1\.", path)
+
+    pattern = Counted()
+    kinds, read = R._leaf_reader({"keep": pattern})
+    texts = [json.dumps({"id": i, "lines": [{"n": k} for k in range(i % 3)]}) for i in range(300)]
+    got = [read(t) for t in texts]
+    assert [bool(numbers) for _, numbers, _ in got] == [i % 3 == 2 for i in range(300)]
+    assert got[2][2] == ["2", "0", "1"] and pattern.searched == len(kinds) == 4
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_path_rows_by_patterns_of_odd_records(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "MAX_GROUPS", most)
+    texts = [None, "{", "5", '"a"', "{}", "[]", "0", '{"a": {"b": null}}', '{"a": {"b": [1, {}, null, "x"]}, "c": []}', '{"c": {"b": 1.5}}', '{"a": 1, "c": true}']
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, record string")
+    rows = lambda **how: {r["id"]: r["fields"] for r in R.path_rows(frame, keep=["id"], **how).collect()}
+    assert set(rows(keep_pattern=r"^a\.b")) == {7, 8}
+    assert set(rows(ignore_pattern=r"^c$")) == {0, 1, 4, 5, 7, 9}
+    assert set(rows(keep_pattern="a", ignore_pattern="a.b", regex=False)) == {10}
+    found = rows(keep_pattern="^a")
+    assert found[7] == {"b": None} and found[8] == {"b": "1; {}; None; x", "c": "[]"} and found[10] == {"a": "1", "c": "True"}
