@@ -426,6 +426,59 @@ def test_the_stage_meets_sets_by_deletion_variants(spark, monkeypatch, short, pi
     assert {(r["a"], r["b"]) for r in got} == wanted and len(got) == len(wanted)
 
 
+def _components(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    return {x: find(x) for x in parent}
+
+
+def test_a_large_group_makes_few_edges_a_member(spark):
+    """Members that meet in many runs, each run with a smallest member of its own, stay one tree of few edges."""
+    from foliospark.llm import jaccard as module
+
+    rng = np.random.default_rng(8)
+    base = rng.random(64 * module.WORDS) < 0.5
+    flips = rng.random((600, len(base))) < 0.05
+    ids = rng.permutation(1 << 20)[: len(flips)]
+    rows = [(int(i), bytearray(np.packbits(base ^ f, bitorder="little").tobytes())) for i, f in zip(ids, flips, strict=True)]
+    got = [(r["a"], r["b"]) for r in module.near_trees(spark.createDataFrame(rows, "fp long, bits binary")).collect()]
+    assert _components(got) == {int(i): int(ids.min()) for i in ids}
+    assert len(got) == len(set(got)) <= (module.KEPT + 1) * len(ids)
+
+
+def test_thinned_edges_have_the_same_components(spark):
+    from foliospark.llm import jaccard as module
+
+    rng = random.Random(12)
+    edges = {tuple(sorted(rng.sample(range(k * 1000, k * 1000 + size), 2))) for k, (size, n) in enumerate([(90, 2500), (40, 60), (300, 280), (2, 1)]) for _ in range(n)}
+    edges |= {(-x, 5000 + x) for x in range(1, 30)} | {(a, 6000) for a in range(5900, 5990)}
+    got = [(r["a"], r["b"]) for r in module.thinned(spark.createDataFrame(sorted(edges) * 2, "a long, b long")).collect()]
+    assert all(a < b for a, b in got) and len(got) == len(set(got)) < len(edges)
+    assert _components(got) == _components(edges)
+
+
+def test_a_piece_sends_one_edge_a_member():
+    import pyarrow as pa
+
+    from foliospark.llm import jaccard as module
+
+    rng = np.random.default_rng(8)
+    base = rng.random(64 * module.WORDS) < 0.5
+    bits = [np.packbits(base ^ (rng.random(len(base)) < 0.05), bitorder="little").tobytes() for _ in range(300)]
+    rows = pa.RecordBatch.from_pydict({"fp": pa.array(range(300), pa.int64()), "bits": pa.array(bits, pa.binary())})
+    halves = pa.Table.from_batches(list(module._halves(iter([rows])))).sort_by("key")
+    got = [(r["a"], r["b"]) for batch in module._trees(iter(halves.combine_chunks().to_batches())) for r in batch.to_pylist()]
+    assert sorted(got) == [(0, k) for k in range(1, 300)]
+
+
 def test_sets_of_jaccard_80_meet():
     from foliospark.llm import jaccard as module
 
